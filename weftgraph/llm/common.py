@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,3 +80,38 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
 def wider(df: DataFrame, added: str) -> StructType:
     """The schema of df with added fields, as DDL, behind its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
+class Index(dict):
+    """Numbers keys in order of their first use; `new` lists those that were added since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def of(self, keys: list[list]) -> np.ndarray:
+        """The numbers of all keys of all lists."""
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(keys)), np.int64, sum(map(len, keys)))
+
+
+class Runs:
+    """Runs of ids in one array: run i is ids[starts[i] : starts[i] + lens[i]]."""
+
+    def __init__(self, kind: type) -> None:
+        self.ids, self.starts, self.lens = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+        self.lens = np.concatenate([self.lens, lens])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+
+    def join(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs `at`, one behind the other, and the end of each."""
+        n = self.lens[at]
+        ends = np.cumsum(n)
+        return self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())], ends

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, wider
+from .common import Index, Runs, slices, wider
 
 MARK = "\u2581"
 #: Chunks, and their characters, in a worker's table before it starts anew.
@@ -29,7 +29,7 @@ _WORKERS: dict[str, ChunkTable] = {}
 
 
 class ChunkTable:
-    """Segments texts by distinct chunks. Ids of chunk i: ids[starts[i] : starts[i] + lengths[i]]."""
+    """Segments texts by distinct chunks. Run i holds the ids of chunk i."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -43,10 +43,7 @@ class ChunkTable:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.decoded: list[str] = []
-        self.chars = 0
-        self.flat, self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.index, self.runs, self.decoded, self.chars = Index(), Runs(np.int32), [], 0
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -68,13 +65,9 @@ class ChunkTable:
             elif x == " ":
                 ids[i] = [self.sp.piece_to_id(MARK)]
         said = self.sp.decode([self.anchor + x for x in ids], num_threads=1) if ids else []
-        self.index.update(zip(new, range(len(self.decoded), len(self.decoded) + len(new)), strict=True))
         self.decoded.extend(d[1:] for d in said)
         self.chars += sum(map(len, new))
-        lens = np.array([len(i) for i in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.array([y for i in ids for y in i], np.int32)])
+        self.runs.add(np.array([y for i in ids for y in i], np.int32), np.array([len(i) for i in ids], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Numbers of ids, all ids, decoded texts."""
@@ -84,20 +77,17 @@ class ChunkTable:
         if len(self.index) > TABLE_CHUNKS or self.chars > TABLE_CHARS:
             self.clear()
         cut = [self.chunks(t) for t in texts]
-        index = self.index
-        if new := list({c for x in cut for c in x if c not in index}):
+        at = self.index.of(cut)
+        if new := self.index.new:
+            self.index.new = []
             self.add(new)
-        at = [np.fromiter(map(index.__getitem__, x), np.int64, len(x)) for x in cut]
-        lens = [self.lens[x] for x in at]
-        per_text = np.array([x.sum() for x in lens], np.int64)
-        where, n = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*lens, np.zeros(0, np.int64)])
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[where] - ends + n, n) + np.arange(n.sum())]
-        said, decoded = self.decoded, []
-        for x in cut:
-            whole = "".join([said[index[c]] for c in x])
+        ids, ends = self.runs.join(at)
+        said, decoded = list(map(self.decoded.__getitem__, at.tolist())), []
+        stops = np.cumsum([0, *map(len, cut)])
+        for a, b in zip(stops, stops[1:], strict=False):
+            whole = "".join(said[a:b])
             decoded.append(whole[1:] if whole[:1] == " " else whole)
-        return per_text, ids, decoded
+        return np.diff(np.concatenate([[0], ends])[stops]), ids, decoded
 
 
 def _table(model: str) -> ChunkTable:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import mixing, pieces
-from .common import table
+from . import mixing, pieces, simhash, tokens
+from .common import Scratch, table
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.hex_fingerprint(simhash.classes(table(spark, sf_dir, "documents")))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +18,20 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokens.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark))
+    return tokens.read_ids(*files)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.shares(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "finish")
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
 }
 ORACLE_SQL: dict[str, str] = {}
