@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, simhash, tokens
+from . import embeddings, mixing, pieces, simhash, tokens, urls
 from .common import Scratch, table
 
 
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hex_fingerprint(simhash.classes(table(spark, sf_dir, "documents")))
 
@@ -29,9 +41,38 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_links": op1_embedding_links,
+    "op2_url_rules": op2_url_rules,
     "op3_simhash": op3_simhash,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_links": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), r(vec_id, low) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.vec_id WHERE r.low < l.b
+), c AS (SELECT vec_id, min(low) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op2_url_rules": """
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages
+), r(rule_host, rule_path, rule_verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (SELECT DISTINCT host, path FROM p WHERE host <> ''),
+f AS (
+  SELECT host, path, rule_host || rule_path AS rule, rule_verdict,
+         row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+  FROM u JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path AND k = 1""",
+}
