@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, pieces, simhash, tokens, urls
+from . import embeddings, jpeg, lm, mixing, pieces, quality, simhash, tokens, urls
 from .common import Scratch, table
 
 
@@ -25,11 +25,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hex_fingerprint(simhash.classes(table(spark, sf_dir, "documents")))
 
 
+def op4_jpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(jpeg.read(jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "bad_posterior", "score", "kept")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op8_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels.where("quality = 1 and toxic = 0"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokens.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), Scratch(spark))
     return tokens.read_ids(*files)
@@ -44,7 +57,10 @@ QUERIES = {
     "op1_embedding_links": op1_embedding_links,
     "op2_url_rules": op2_url_rules,
     "op3_simhash": op3_simhash,
+    "op4_jpeg_payloads": op4_jpeg_payloads,
+    "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_lm_difference": op8_lm_difference,
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
 }
