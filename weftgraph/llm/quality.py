@@ -1,10 +1,10 @@
 """Quality classifier: EM over heuristic labellers, whose posteriors train a hashed linear scorer.
 
-Each labeller looks at a whole text and votes bad, good or abstains. The votes of a document form a pattern, and the
-counts of patterns over all documents hold all that EM needs; there are at most 3 ** labellers of them. EM fits the rate
-of documents that are bad and, for each labeller and class, how often it casts each vote. The posteriors of a sample of at
-most SAMPLE documents, drawn by hash, train a logistic scorer over hashed features: words, their shapes, and coarse facts
-of the text. The scorer then judges every document.
+Each labeller looks at a whole text and votes bad, good or abstains; most know one defect and vote bad or abstain. The
+votes of a document form a pattern, and the counts of patterns over all documents hold all that EM needs; there are at
+most 3 ** labellers of them. EM fits the rate of documents that are bad and the accuracy of each labeller's votes. The
+posteriors of a sample of at most SAMPLE documents, drawn by hash, train a logistic scorer over hashed features: words,
+their shapes, and coarse facts of the text. The scorer then judges every document.
 
 Defined cases: a null text counts as empty; a text without words is rejected with score 0; equal texts get equal scores;
 an empty table gives an empty table; columns named like an added one are replaced, all others are carried along.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Index, byte_values, slices, wider
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
-LABELLERS = ["capitals", "symbols", "bars", "exclamations", "neighbours", "variety", "sentences"]
+LABELLERS = ["capitals", "symbols", "bars", "exclamations", "neighbours", "variety", "sentences", "prose"]
 #: Documents, at most, whose posteriors train the scorer.
 SAMPLE = 6000
 DIMENSIONS = 1 << 18
@@ -33,6 +33,7 @@ WORKER_WORDS, WORKER_BYTES = 500_000, 20_000_000
 _UPPER, _LOWER = np.arange(65, 91), np.arange(97, 123)
 #: Punctuation that does not belong to prose; vertical bars have a labeller of their own.
 _SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{}~", np.uint8)
+_PROSE = re.compile(rb"['\"(]*[A-Za-z\x80-\xff'-]+[.,;:?)'\"]*!?").fullmatch
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^A-Za-z0-9])\1+"), rb"\1\1")]
 
 
@@ -42,6 +43,7 @@ def facts(text: bytes, words: list[bytes]) -> np.ndarray:
     letters = n[_UPPER].sum() + n[_LOWER].sum()
     solid = len(text) - n[32] - n[9:14].sum()
     ends = sum(w[-1] in b".?!" for w in words)
+    prose = sum(map(bool, map(_PROSE, words)))
     return np.array([
         n[_UPPER].sum() / max(letters, 1),
         n[_SYMBOLS].sum() / max(solid, 1),
@@ -50,24 +52,28 @@ def facts(text: bytes, words: list[bytes]) -> np.ndarray:
         sum(map(eq, words, words[1:])) / max(len(words) - 1, 1),
         len(set(words)) / max(len(words), 1) ** 0.8,
         ends / max(len(words), 1),
+        prose / max(len(words), 1),
     ])
 
 
-#: (good at most, bad from) of the first five; variety is good from and bad at most.
-_BOUNDS = [(0.25, 0.6), (0.02, 0.1), (0.02, 0.2), (0.1, 0.5), (0.05, 0.3)]
+#: From where the labellers of one defect vote bad.
+_DEFECTS = [0.6, 0.08, 0.2, 0.4, 0.25]
+#: Where EM starts from: whoever knows one defect is rarely wrong about it.
+_FIRST_GUESS = np.array([0.95] * 6 + [0.9, 0.7])
+#: A labeller is better than chance and never certain.
+_RANGE = (0.6, 0.999)
 
 
 def votes(measures: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     """A vote per document (row) and labeller (column)."""
     out = np.full(measures.shape, ABSTAIN)
-    for i, (good, bad) in enumerate(_BOUNDS):
-        out[measures[:, i] <= good, i] = GOOD
+    for i, bad in enumerate(_DEFECTS):
         out[measures[:, i] >= bad, i] = BAD
-    variety, sentences = measures[:, 5], measures[:, 6]
-    out[variety >= 0.6, 5] = GOOD
+    variety, sentences, prose = measures[:, 5], measures[:, 6], measures[:, 7]
     out[(variety <= 0.35) & (n_words >= 20), 5] = BAD
-    out[(sentences > 0.005) & (sentences < 0.45), 6] = GOOD
     out[((sentences == 0) & (n_words >= 40)) | (sentences > 0.7) & (n_words >= 8), 6] = BAD
+    out[(prose >= 0.9) & (variety >= 0.85), 7] = GOOD
+    out[(prose <= 0.7) & (n_words >= 8), 7] = BAD
     out[n_words == 0] = ABSTAIN
     return out
 
@@ -76,31 +82,28 @@ def patterns(voted: np.ndarray) -> np.ndarray:
     return voted @ 3 ** np.arange(voted.shape[1])
 
 
-def fit_labellers(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 200) -> tuple[float, np.ndarray]:
-    """(rate of bad documents, chance of each vote by class, labeller and vote); class 0 is bad."""
+def fit_labellers(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray]:
+    """(rate of bad documents, accuracy of each labeller) by EM over the counts of vote patterns."""
     keys = np.array(sorted(counts), np.int64)
     n = np.array([counts[k] for k in keys.tolist()], float)
-    voted = keys[:, None] // 3 ** np.arange(labellers) % 3
-    rate, chance = 0.2, np.empty((2, labellers, 3))
-    chance[0], chance[1] = [0.4, 0.2, 0.4], [0.05, 0.15, 0.8]
+    voted = keys[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
+    rate, accuracy = 0.2, _FIRST_GUESS
     for _ in range(rounds):
-        bad = _bad(voted, rate, chance)
-        new = np.empty_like(chance)
-        for c, share in enumerate((bad, 1 - bad)):
-            w = n * share
-            for vote in range(3):
-                new[c, :, vote] = ((voted == vote) * w[:, None]).sum(axis=0) + 0.5
-        new /= new.sum(axis=2, keepdims=True)
-        rate, done = float(((n * bad).sum() + 0.5) / (n.sum() + 1)), np.abs(new - chance).max() < 1e-9
-        chance = new
+        bad = _bad(voted, rate, accuracy)
+        right = ((voted == BAD) * (n * bad)[:, None] + (voted == GOOD) * (n * (1 - bad))[:, None]).sum(axis=0)
+        cast = ((voted != ABSTAIN) * n[:, None]).sum(axis=0)
+        new = np.clip((right + 20 * _FIRST_GUESS) / (cast + 20), *_RANGE)
+        rate, done = float(((n * bad).sum() + 0.5) / (n.sum() + 1)), np.abs(new - accuracy).max() < 1e-9
+        accuracy = new
         if done:
             break
-    return rate, chance
+    return rate, accuracy
 
 
-def _bad(voted: np.ndarray, rate: float, chance: np.ndarray) -> np.ndarray:
-    logs = [np.log(chance[c][np.arange(voted.shape[1]), voted]).sum(axis=1) for c in (0, 1)]
-    return 1 / (1 + np.exp(np.clip(logs[1] - logs[0] + np.log((1 - rate) / rate), -500, 500)))
+def _bad(voted: np.ndarray, rate: float, accuracy: np.ndarray) -> np.ndarray:
+    weight = np.log(accuracy / (1 - accuracy))
+    z = ((voted == BAD) * weight - (voted == GOOD) * weight).sum(axis=1) + np.log(rate / (1 - rate))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def posterior_bad(voted: np.ndarray, model: tuple[float, np.ndarray]) -> np.ndarray:
@@ -185,7 +188,7 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
     found = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in found}
     total = sum(counts.values())
-    labellers = fit_labellers(counts) if counts else (0.5, np.full((2, len(LABELLERS), 3), 1 / 3))
+    labellers = fit_labellers(counts) if counts else (0.5, _FIRST_GUESS)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
