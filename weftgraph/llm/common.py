@@ -105,8 +105,9 @@ class Runs:
     def __init__(self, kind: type) -> None:
         self.ids, self.starts, self.lens = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, ids: np.ndarray, lens: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
+    def add(self, ids: np.ndarray, lens: np.ndarray, starts: np.ndarray | None = None) -> None:
+        """Runs one behind the other, or those that start at the given places of ids."""
+        self.starts = np.concatenate([self.starts, len(self.ids) + (np.cumsum(lens) - lens if starts is None else starts)])
         self.lens = np.concatenate([self.lens, lens])
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
 

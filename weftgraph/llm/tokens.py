@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,12 @@ from .common import Index, Runs, Scratch, byte_values, slices
 
 END_ID = 2
 #: Words in a worker's table before it starts anew, and their bytes.
-TABLE_WORDS, TABLE_BYTES = 700_000, 20_000_000
+TABLE_WORDS, TABLE_BYTES = 1_500_000, 40_000_000
 _WORKERS: dict[str, WordTable] = {}
-# How the tokenizer splits a word after lower-casing, written for ASCII and the letters of Latin-1.
+# How the tokenizer splits a word after lower-casing, written for ASCII and the letters of Latin-1,
+# with a line break between words.
 LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff\u00df"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\n]+|\n").findall
 PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
@@ -53,36 +55,37 @@ class WordTable:
     def clear(self) -> None:
         self.words, self.runs, self.bytes = Index(), Runs(np.uint16), 0
         self.parts, self.part_runs = Index(), Runs(np.uint16)
+        self.parts.of([["\n"]])  # the break between words has no ids
+        self.parts.new = []
+        self.part_runs.add(np.zeros(0, np.uint16), np.zeros(1, np.int64))
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([y for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for y in x.ids], np.int64)
 
     def _add(self) -> None:
         """Words of plain letters, digits and punctuation are split as the tokenizer does; distinct parts are encoded."""
-        new, ids, lens = self.words.new, [], []
-        self.words.new = []
-        for i in range(0, len(new), 50_000):
-            texts = [x.decode() for x in new[i : i + 50_000]]
-            plain = [bool(PLAIN(x)) and "<|" not in x for x in texts]
-            cut = [PARTS(x.lower()) for x, ok in zip(texts, plain, strict=True) if ok]
-            at = self.parts.of(cut)
-            if fresh := self.parts.new:
-                self.parts.new = []
-                said = np.array([y for x in self._encode([" ".join(fresh[j : j + 500]) for j in range(0, len(fresh), 500)]) for y in x], np.int64)
-                stops = np.nonzero(self.ends[said])[0] + 1  # a part ends where a token does that ends a word
-                assert len(stops) == len(fresh) and stops[-1] == len(said)
-                self.part_runs.add(said, np.diff(stops, prepend=0))
-            joined, stops = self.part_runs.join(at)
-            stops = np.concatenate([[0], stops])[np.cumsum([0, *map(len, cut)])]
-            rest = self._encode([x for x, ok in zip(texts, plain, strict=True) if not ok and x])
-            rest = iter([np.array(x, np.uint16) for x in rest])
-            done = iter(np.split(joined, stops[1:-1]) if cut else ())
-            end = np.array([END_ID], np.uint16)
-            found = [next(done) if ok else next(rest) if x else end for x, ok in zip(texts, plain, strict=True)]
-            ids.extend(found)
-            lens.extend(map(len, found))
-            self.bytes += sum(map(len, texts))
-        self.runs.add(np.concatenate(ids), np.array(lens, np.int64))
+        new, self.words.new = self.words.new, []
+        words = b"\n".join(new).decode().split("\n")
+        self.bytes += sum(map(len, words))
+        plain = np.array([bool(PLAIN(x)) and "<|" not in x for x in words])
+        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat = PARTS("\n".join(compress(words, plain)).lower() + "\n") if plain.any() else []
+        at = self.parts.of([flat])
+        if fresh := self.parts.new:
+            self.parts.new = []
+            said = self._encode([" ".join(fresh[j : j + 500]) for j in range(0, len(fresh), 500)])
+            stops = np.nonzero(self.ends[said])[0] + 1  # a part ends where a token does that ends a word
+            assert len(stops) == len(fresh) and stops[-1] == len(said)
+            self.part_runs.add(said, np.diff(stops, prepend=0))
+        ids, stops = self.part_runs.join(at)
+        stops = stops[at == 0]
+        lens[plain] = np.diff(stops, prepend=0)
+        starts[plain] = stops - lens[plain]
+        rest = [x for x, ok in zip(words, plain, strict=True) if not ok]
+        found = [x.ids if w else [END_ID] for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True)] if rest else []
+        lens[~plain] = [len(x) for x in found]
+        starts[~plain] = len(ids) + np.cumsum(lens[~plain]) - lens[~plain]
+        self.runs.add(np.concatenate([ids, np.array([y for x in found for y in x], np.uint16)]), lens, starts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, end id included, and all ids."""
