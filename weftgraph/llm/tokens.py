@@ -107,13 +107,11 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes
     """Control and data bytes of each document; counts: numbers of ranks."""
     ranks = ranks.astype("<u4")
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    keep = np.arange(4) < size[:, None]
-    data = ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    wide = int(size.max(initial=1))
+    keep = np.arange(wide) < size[:, None]
+    data = ranks.view(np.uint8).reshape(-1, 4)[:, :wide][keep].tobytes()
     stops = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
-    # Control bytes begin anew with each document.
-    groups = -(-counts // 4)
-    first = np.concatenate([[0], np.cumsum(groups)])
-    at = np.arange(len(ranks)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[:-1] * 4, counts)
+    at, first = _places(counts)
     lengths = np.zeros(first[-1] * 4, np.uint8)
     lengths[at] = size - 1
     control = (lengths.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
@@ -121,21 +119,25 @@ def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes
     return [control[a:b] for a, b in zip(first, first[1:], strict=False)], [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
 
+def _places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two-bit field of each rank, and the first control byte of each document: each begins with a new byte."""
+    first = np.concatenate([[0], np.cumsum(-(-counts // 4))])
+    return np.arange(counts.sum()) + np.repeat(first[:-1] * 4 - np.cumsum(counts) + counts, counts), first
+
+
 #: Row c holds the four lengths that control byte c stands for.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ranks of a document."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+def unpack(control: list[bytes], data: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """The ranks of documents, one behind the other."""
+    lengths = LENGTHS[np.frombuffer(b"".join(control), np.uint8)].reshape(-1)[_places(counts)[0]]
     starts = np.cumsum(lengths) - lengths
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
-    out = raw[starts]
+    raw = np.frombuffer(b"".join(data) + bytes(4), np.uint8)
+    out = raw[starts].astype(np.uint32)
     for k in range(1, 4):
-        more = lengths > k
-        if not more.any():
-            break
-        out[more] |= raw[starts[more] + k] << np.uint32(8 * k)
+        more = np.flatnonzero(lengths > k)
+        out[more] |= raw[starts[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -144,9 +146,8 @@ def _rank_table(ids: DataFrame) -> list[int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=1 << 16)
+        for batch in slices(batches, "ids"):
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=1 << 16)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 
@@ -199,8 +200,10 @@ def read_ids(files: DataFrame, ranks: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("control", "data", "n_tokens")), strict=True)
-            sums = [zlib.crc32(shared.value[unpack(c, d, n)].tobytes()) for c, d, n in rows]
+            counts = batch.column("n_tokens").to_numpy()
+            raw = memoryview(shared.value[unpack(batch.column("control").to_pylist(), batch.column("data").to_pylist(), counts)].tobytes())
+            stops = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
+            sums = [zlib.crc32(raw[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "nth", "doc_id", "n_tokens")], pa.array(sums, pa.int64())], ["shard", "nth", "doc_id", "n_tokens", "ids_crc32"])
 
     read = files.mapInArrow(decode, "shard int, nth long, doc_id long, n_tokens long, ids_crc32 long")
