@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddings, jpeg, lm, mixing, pieces, quality, simhash, tokens, urls
+from . import embeddings, jpeg, lines, lm, mixing, pieces, quality, simhash, tokens, urls
 from .common import Scratch, table
 
 
@@ -29,6 +30,10 @@ def op4_jpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(jpeg.read(jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removed_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", "bad_posterior", "score", "kept")
 
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_url_rules": op2_url_rules,
     "op3_simhash": op3_simhash,
     "op4_jpeg_payloads": op4_jpeg_payloads,
+    "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_lm_difference": op8_lm_difference,
