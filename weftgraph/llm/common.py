@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,7 +66,7 @@ def byte_values(array: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about `limit` bytes of a column, one row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         begin = total = 0
         for i, size in enumerate(sizes):
             if i > begin and total + (size or 0) > limit:
@@ -116,3 +116,20 @@ class Runs:
         n = self.lens[at]
         ends = np.cumsum(n)
         return self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())], ends
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of words of each text, the words as codes, and the distinct words behind the codes; cut at ASCII white space."""
+    texts = pc.fill_null(texts, "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = parts.flatten().dictionary_encode()
+    n = pc.list_value_length(parts).to_numpy().astype(np.int64)
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # before leading white space, behind trailing, and of an empty text
+        empty = distinct.index(b"")
+        real = codes != empty
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[real], minlength=len(n))
+        codes = codes[real]
+        codes -= codes > empty
+        del distinct[empty]
+    return n, codes, distinct

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Index, Runs, Scratch, byte_values, slices
+from .common import Index, Runs, Scratch, slices, split_words
 
 END_ID = 2
 #: Words in a worker's table before it starts anew, and their bytes.
 TABLE_WORDS, TABLE_BYTES = 1_500_000, 40_000_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 12_000_000
 _WORKERS: dict[str, WordTable] = {}
 # How the tokenizer splits a word after lower-casing, written for ASCII and the letters of Latin-1,
 # with a line break between words.
@@ -87,20 +89,18 @@ class WordTable:
         starts[~plain] = len(ids) + np.cumsum(lens[~plain]) - lens[~plain]
         self.runs.add(np.concatenate([ids, np.array([y for x in found for y in x], np.uint16)]), lens, starts)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids, end id included, and all ids."""
-        if not texts:
+        if not len(texts):
             return np.zeros(0, np.int64), np.zeros(0, np.uint16)
         if len(self.words) > TABLE_WORDS or self.bytes > TABLE_BYTES:
             self.clear()
-        cut = [t.split() for t in texts]
-        for x in cut:
-            x.append(b"")
-        at = self.words.of(cut)
+        n, codes, distinct = split_words(texts)
+        at = self.words.of([[*distinct, b""]])
         if self.words.new:
             self._add()
-        ids, ends = self.runs.join(at)
-        return np.diff(ends[np.cumsum([len(x) for x in cut]) - 1], prepend=0), ids
+        ids, ends = self.runs.join(np.insert(at[codes], np.cumsum(n), at[-1]))
+        return np.diff(ends[np.cumsum(n + 1) - 1], prepend=0), ids
 
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -162,8 +162,8 @@ def write_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFr
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _WORKERS:
             _WORKERS[tokenizer] = WordTable(tokenizer)
-        for batch in slices(batches, "text"):
-            n, ids = _WORKERS[tokenizer].encode(byte_values(batch.column("text")))
+        for batch in slices(batches, "text", SLICE_BYTES):
+            n, ids = _WORKERS[tokenizer].encode(batch.column("text"))
             raw, stops = ids.astype("<u2").tobytes(), (2 * np.concatenate([[0], np.cumsum(n)])).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(stops, stops[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
