@@ -23,79 +23,54 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, byte_values, slices, wider
+from .common import slices, split_words, wider
 
 #: Words that have an entry of their own, and classes of the others. START is one more history.
 WORDS, CLASSES = 1024, 512
 SIZE = WORDS + CLASSES
 START = SIZE
-WORKER_WORDS, WORKER_BYTES = 600_000, 20_000_000
-
-
-class Vocabulary:
-    """Entries of words, by a table of the distinct words that a worker has seen."""
-
-    def __init__(self, top: list[int]):
-        self.top = {h: i for i, h in enumerate(top)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index, self.entries, self.bytes = Index(), np.zeros(0, np.int32), 0
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of words, and the entries of all words."""
-        if len(self.index) > WORKER_WORDS or self.bytes > WORKER_BYTES:
-            self.clear()
-        cut = [t.lower().split() for t in texts]
-        at = self.index.of(cut)
-        if new := self.index.new:
-            self.index.new = []
-            hashes = [word_hash(w) for w in new]
-            self.entries = np.concatenate([self.entries, np.array([self.top.get(h, WORDS + h % CLASSES) for h in hashes], np.int32)])
-            self.bytes += sum(map(len, new))
-        return np.array([len(x) for x in cut], np.int64), self.entries[at]
+#: Distinct words that a task counts before it passes them on.
+HELD_WORDS = 2_000_000
 
 
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-_WORKERS: dict[tuple, Vocabulary] = {}
-
-
-def _vocabulary(top: list[int]) -> Vocabulary:
-    key = tuple(top)
-    if key not in _WORKERS:
-        _WORKERS.clear()
-        _WORKERS[key] = Vocabulary(top)
-    return _WORKERS[key]
+def entries(texts: pa.Array, top: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words, and the entries of all words; top: the entries of words by hash."""
+    n, codes, distinct = split_words(texts, lower=True)
+    hashes = [word_hash(w) for w in distinct]
+    return n, np.array([top.get(h, WORDS + h % CLASSES) for h in hashes], np.int64)[codes]
 
 
-def cells(n: np.ndarray, entries: np.ndarray) -> np.ndarray:
+def cells(n: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The cell (history, word) of each word."""
-    history = np.empty(len(entries), np.int64)
-    history[1:] = entries[:-1]
+    history = np.empty(len(words), np.int64)
+    history[1:] = words[:-1]
     history[(np.cumsum(n) - n)[n > 0]] = START
-    return history * SIZE + entries
+    return history * SIZE + words
 
 
 def count_words(docs: DataFrame, limit: int = WORDS) -> list[int]:
     """Hashes of the most frequent words of all documents; ties go to the smaller hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = Index(), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in index], pa.int64()), pa.array(total)], ["word", "n"])
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            words, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return words, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
 
         for batch in slices(batches, "text"):
-            at = index.of([t.lower().split() for t in byte_values(batch.column("text"))])
-            index.new = []
-            total = np.concatenate([total, np.zeros(len(index) - len(total), np.int64)]) + np.bincount(at, minlength=len(index))
-            if len(index) > WORKER_WORDS:
-                yield out()
-                index, total = Index(), np.zeros(0, np.int64)
-        yield out()
+            _, codes, distinct = split_words(batch.column("text"), lower=True)
+            held.append((np.array([word_hash(w) for w in distinct], np.int64), np.bincount(codes, minlength=len(distinct))))
+            if sum(len(h) for h, _ in held) > HELD_WORDS:
+                held = [summed()]
+                if len(held[0][0]) > HELD_WORDS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["word", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["word", "n"])
 
     counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(limit).collect()]
@@ -105,18 +80,19 @@ def count_bigrams(docs: DataFrame, top: list[int]) -> tuple[np.ndarray, np.ndarr
     """Counts of all cells, in the documents where is_target holds and in all; at most SIZE * (SIZE + 1) rows are collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n_cells = _vocabulary(top), SIZE * (SIZE + 1)
-        total = np.zeros((2, n_cells), np.int64)
+        number, n_cells = {h: i for i, h in enumerate(top)}, SIZE * (SIZE + 1)
+        total = np.zeros((2, n_cells), np.uint32)  # a task's words are far fewer
         for batch in slices(batches, "text"):
-            n, entries = vocabulary.of(byte_values(batch.column("text")))
-            at = cells(n, entries)
+            n, words = entries(batch.column("text"), number)
+            at = cells(n, words)
             chosen = np.repeat(batch.column("is_target").to_numpy(zero_copy_only=False).astype(bool), n)
-            total[1] += np.bincount(at, minlength=n_cells)
-            total[0] += np.bincount(at[chosen], minlength=n_cells)
+            for i, part in enumerate((at[chosen], at)):
+                cell, times = np.unique(part, return_counts=True)
+                total[i, cell] += times.astype(np.uint32)
         used = np.nonzero(total[1])[0]
         for i in range(0, len(used), 200_000):
             part = used[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], ["cell", "target", "background"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(total[k, part].astype(np.int64)) for k in (0, 1)]], ["cell", "target", "background"])
 
     counted = docs.select("text", "is_target").mapInArrow(run, "cell int, target long, background long")
     summed = counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
@@ -149,10 +125,10 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("text", "n_words", "target_loss", "background_loss", "difference")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(top)
+        number = {h: i for i, h in enumerate(top)}
         for batch in slices(batches, "text"):
-            n, entries = vocabulary.of(byte_values(batch.column("text")))
-            at, row = cells(n, entries), np.repeat(np.arange(len(n)), n)
+            n, words = entries(batch.column("text"), number)
+            at, row = cells(n, words), np.repeat(np.arange(len(n)), n)
             t, b = (np.bincount(row, x[at], len(n)) / np.maximum(n, 1) for x in shared.value)
             none = n == 0
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n), *[pa.array(x, mask=none) for x in (t, b, t - b)]], [*kept, "n_words", "target_loss", "background_loss", "difference"])
