@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Index, Scratch, byte_values, slices
+from .common import Scratch, slices, split_words
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 23, 26
@@ -46,32 +47,29 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * (a + b) + 8) // 9
 
 
-def block(texts: list[bytes], doc_ids: np.ndarray) -> dict[str, np.ndarray]:
+def block(texts: pa.Array, doc_ids: np.ndarray) -> dict[str, np.ndarray]:
     """What later passes need of some documents."""
-    words, line_doc, line_no, n_lines = [], [], [], []
-    for i, text in enumerate(texts):
-        cut = [line.split() for line in text.lower().split(b"\n")]
-        n_lines.append(len(cut) if text else 0)
-        for k, line in enumerate(cut):
-            if line:
-                words.append(line)
-                line_doc.append(i)
-                line_no.append(k)
-    index = Index()
-    number = index.of(words)
-    bits = max(1, len(index).bit_length())
-    keys = np.sort(np.repeat(np.arange(len(words)), list(map(len, words))) << bits | number)
+    cut = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
+    n_lines = pc.list_value_length(cut).to_numpy().astype(np.int64)
+    n_words, codes, distinct = split_words(cut.flatten())
+    line_doc = np.repeat(np.arange(len(n_lines)), n_lines)
+    line_no = np.arange(len(line_doc)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    blank = n_words == 0
+    line_doc, line_no, n_words = line_doc[~blank], line_no[~blank], n_words[~blank]
+    n_lines[(pc.binary_length(pc.fill_null(texts, "")).to_numpy() == 0)] = 0
+    bits = max(1, len(distinct).bit_length())
+    keys = np.sort(np.repeat(np.arange(len(n_words)), n_words) << bits | codes)
     keys = keys[np.diff(keys, prepend=-1) != 0]
     line, token = keys >> bits, keys & (1 << bits) - 1
-    vocabulary = np.array([xxhash.xxh64_intdigest(w) for w in index], np.uint64)
-    size = np.bincount(line, minlength=len(words))
+    vocabulary = np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64)
+    size = np.bincount(line, minlength=len(n_words))
     k1, k2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    if len(words):
+    if len(size):
         starts = np.cumsum(size) - size
         mixed = (vocabulary ^ (vocabulary >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         k1 = np.add.reduceat(mixed[token], starts)
         k2 = np.bitwise_xor.reduceat((np.uint64(1) << (vocabulary & np.uint64(63)))[token], starts)
-    made = [vocabulary, np.bincount(token, minlength=len(index)), token, size, k1.view(np.int64), k2.view(np.int64), line_doc, line_no, doc_ids, n_lines]
+    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1.view(np.int64), k2.view(np.int64), line_doc, line_no, doc_ids, n_lines]
     return {k: np.asarray(v).astype(_KINDS[k]) for k, v in zip(_BLOCK, made, strict=True)}
 
 
@@ -87,7 +85,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         base = TaskContext.get().partitionId() << 20
         for i, batch in enumerate(slices(batches, "text")):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            made = block(byte_values(batch.column("text")), ids)
+            made = block(batch.column("text"), ids)
             yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([made[k].tobytes()], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
     return scratch.save(docs.select("doc_id", "text").mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
@@ -200,7 +198,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
 
 
 def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
-    """(a1, a2, b1, b2, word): class a begins before class b; word is null but where b could have proposed more: a is null there."""
+    """(a1, a2, b1, b2, word): a class a that begins before b, and no word; or no a, and a word where b could have proposed more."""
     names = ["word", "k1", "k2", "size", "position", "doc_id", "line_no"]
     rows = rows.repartition("word").sortWithinPartitions("word")
 
@@ -326,7 +324,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; every row stays, with a text that may be empty."""
     # Rows are told apart by doc_id and text, equal ones by number; which of those loses its lines makes no difference.
-    kept = [F.col(f"d.{c}") for c in docs.columns]
+    scratch = Scratch(docs.sparkSession)
     keyed = docs.drop("_key", "_nth").withColumn("_key", F.xxhash64("doc_id", "text"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
-    raise NotImplementedError(kept)
+    decided = removed_lines(docs)
+    raise NotImplementedError(scratch, keyed, decided, Window)

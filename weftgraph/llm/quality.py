@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, byte_values, slices, wider
+from .common import byte_values, slices, split_words, wider
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ["capitals", "symbols", "bars", "exclamations", "neighbours", "variety", "sentences", "prose"]
 #: Documents, at most, whose posteriors train the scorer.
 SAMPLE = 6000
 DIMENSIONS = 1 << 18
-WORKER_WORDS, WORKER_BYTES = 500_000, 20_000_000
 _UPPER, _LOWER = np.arange(65, 91), np.arange(97, 123)
 #: Punctuation that does not belong to prose; vertical bars have a labeller of their own.
 _SYMBOLS = np.frombuffer(b"#$%&*+/<=>@[\\]^_`{}~", np.uint8)
@@ -37,23 +35,31 @@ _PROSE = re.compile(rb"['\"(]*[A-Za-z\x80-\xff'-]+[.,;:?)'\"]*!?").fullmatch
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^A-Za-z0-9])\1+"), rb"\1\1")]
 
 
-def facts(text: bytes, words: list[bytes]) -> np.ndarray:
-    """A measure for each labeller."""
-    n = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    letters = n[_UPPER].sum() + n[_LOWER].sum()
-    solid = len(text) - n[32] - n[9:14].sum()
-    ends = sum(w[-1] in b".?!" for w in words)
-    prose = sum(map(bool, map(_PROSE, words)))
-    return np.array([
-        n[_UPPER].sum() / max(letters, 1),
-        n[_SYMBOLS].sum() / max(solid, 1),
-        n[124] / max(len(words), 1),
-        n[33] / max(len(words), 1),
-        sum(map(eq, words, words[1:])) / max(len(words) - 1, 1),
-        len(set(words)) / max(len(words), 1) ** 0.8,
-        ends / max(len(words), 1),
-        prose / max(len(words), 1),
-    ])
+class Measured:
+    """The words of some texts as codes, and a measure of each text for each labeller."""
+
+    def __init__(self, texts: pa.Array):
+        self.n, self.codes, self.distinct = split_words(texts)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        n, row, codes, rows = np.maximum(self.n, 1), self.row, self.codes, len(self.n)
+        of_bytes = np.array([np.bincount(np.frombuffer(t, np.uint8), minlength=256) for t in byte_values(texts)]).reshape(-1, 256)
+        upper, lower = of_bytes[:, _UPPER].sum(axis=1), of_bytes[:, _LOWER].sum(axis=1)
+        solid = of_bytes.sum(axis=1) - of_bytes[:, 32] - of_bytes[:, 9:14].sum(axis=1)
+        flags = np.array([(w[-1] in b".?!", bool(_PROSE(w))) for w in self.distinct], float).reshape(-1, 2)[codes]
+        same = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
+        bits = max(1, len(self.distinct).bit_length())
+        keys = np.sort(row << bits | codes)
+        variety = np.bincount(keys[np.diff(keys, prepend=-1) != 0] >> bits, minlength=rows)
+        self.measures = np.stack([
+            upper / np.maximum(upper + lower, 1),
+            of_bytes[:, _SYMBOLS].sum(axis=1) / np.maximum(solid, 1),
+            of_bytes[:, 124] / n,
+            of_bytes[:, 33] / n,
+            np.bincount(row[1:][same], minlength=rows) / np.maximum(n - 1, 1),
+            variety / n**0.8,
+            np.bincount(row, flags[:, 0], rows) / n,
+            np.bincount(row, flags[:, 1], rows) / n,
+        ], axis=1)
 
 
 #: From where the labellers of one defect vote bad.
@@ -110,47 +116,23 @@ def posterior_bad(voted: np.ndarray, model: tuple[float, np.ndarray]) -> np.ndar
     return _bad(voted, *model)
 
 
-class Features:
-    """Hashed features: of each distinct word, itself and its shape; of a text, coarse steps of its measures."""
+def _slot(name: bytes) -> int:
+    return xxhash.xxh64_intdigest(name) % DIMENSIONS
 
-    def __init__(self) -> None:
-        self.clear()
 
-    def clear(self) -> None:
-        self.index, self.slots, self.bytes = Index(), np.zeros((0, 2), np.int64), 0
+def word_slots(words: list[bytes]) -> np.ndarray:
+    """Hashed features of words: of each, itself and its shape."""
+    shapes = words
+    for pattern, by in _SHAPES:
+        shapes = [pattern.sub(by, x) for x in shapes]
+    return np.array([(_slot(b"w" + w.lower()), _slot(b"s" + s[:12])) for w, s in zip(words, shapes, strict=True)], np.int64).reshape(-1, 2)
 
-    @staticmethod
-    def slot(name: bytes) -> int:
-        return xxhash.xxh64_intdigest(name) % DIMENSIONS
 
-    def words(self, cut: list[list[bytes]]) -> np.ndarray:
-        """Slots of word and shape, a row per word."""
-        if len(self.index) > WORKER_WORDS or self.bytes > WORKER_BYTES:
-            self.clear()
-        at = self.index.of(cut)
-        if new := self.index.new:
-            self.index.new = []
-            shapes = new
-            for pattern, by in _SHAPES:
-                shapes = [pattern.sub(by, x) for x in shapes]
-            self.slots = np.concatenate([self.slots, [(self.slot(b"w" + w.lower()), self.slot(b"s" + s[:12])) for w, s in zip(new, shapes, strict=True)]])
-            self.bytes += sum(map(len, new))
-        return self.slots[at]
-
-    def of_text(self, measures: np.ndarray) -> np.ndarray:
-        """Slots of the steps of each measure, a row per text."""
-        steps = np.minimum((measures * 10).astype(np.int64), 15)
-        names = [[self.slot(b"%d=%d" % (i, s)) for s in range(16)] for i in range(measures.shape[1])]
-        return np.array(names)[np.arange(measures.shape[1]), steps]
-
-
-_WORKERS: dict[str, Features] = {}
-
-
-def _measured(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    cut = [t.split() for t in texts]
-    measures = np.array([facts(t, w) for t, w in zip(texts, cut, strict=True)]).reshape(-1, len(LABELLERS))
-    return cut, measures, np.array([len(w) for w in cut], np.int64)
+def text_slots(measures: np.ndarray) -> np.ndarray:
+    """Hashed features of texts: coarse steps of each measure."""
+    steps = np.minimum((measures * 10).astype(np.int64), 15)
+    names = np.array([[_slot(b"%d=%d" % (i, s)) for s in range(16)] for i in range(measures.shape[1])])
+    return names[np.arange(measures.shape[1]), steps]
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], bad: np.ndarray, rounds: int = 60, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -180,8 +162,8 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(LABELLERS), np.int64)
         for batch in slices(batches, "text"):
-            _, measures, n = _measured(byte_values(batch.column("text")))
-            total += np.bincount(patterns(votes(measures, n))[n > 0], minlength=len(total))
+            x = Measured(batch.column("text"))
+            total += np.bincount(patterns(votes(x.measures, x.n))[x.n > 0], minlength=len(total))
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
 
@@ -191,11 +173,10 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
     labellers = fit_labellers(counts) if counts else (0.5, _FIRST_GUESS)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
         for batch in slices(batches, "text"):
-            cut, measures, n = _measured(byte_values(batch.column("text")))
-            bad = posterior_bad(votes(measures, n), labellers)
-            of_words, of_text = features.words(cut), features.of_text(measures)
+            x = Measured(batch.column("text"))
+            n, bad = x.n, posterior_bad(votes(x.measures, x.n), labellers)
+            of_words, of_text = word_slots(x.distinct)[x.codes], text_slots(x.measures)
             at = np.concatenate([[0], np.cumsum(n)])
             slots, values = [], []
             for i in np.nonzero(n)[0]:
@@ -217,13 +198,12 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
     kept = [c for c in docs.columns if c not in ("bad_posterior", "score", "kept")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = _WORKERS.setdefault("features", Features())
         w, b = shared.value
         for batch in slices(batches, "text"):
-            cut, measures, n = _measured(byte_values(batch.column("text")))
-            bad = np.where(n > 0, posterior_bad(votes(measures, n), labellers), 1.0)
-            sums = np.bincount(np.repeat(np.arange(len(n)), n), w[features.words(cut)].sum(axis=1), len(n))
-            z = sums / np.maximum(n, 1) + w[features.of_text(measures)].sum(axis=1) + b
+            x = Measured(batch.column("text"))
+            n, bad = x.n, np.where(x.n > 0, posterior_bad(votes(x.measures, x.n), labellers), 1.0)
+            sums = np.bincount(x.row, w[word_slots(x.distinct)].sum(axis=1)[x.codes], len(n))
+            z = sums / np.maximum(n, 1) + w[text_slots(x.measures)].sum(axis=1) + b
             good = np.where(n > 0, 1 / (1 + np.exp(np.clip(z, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bad), pa.array(good), pa.array(good >= least)], [*kept, "bad_posterior", "score", "kept"])
 
