@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -133,3 +133,13 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
         codes -= codes > empty
         del distinct[empty]
     return n, codes, distinct
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key, the same for rows of equal doc_id and text."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds _nth, which tells rows of one _key apart."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(order)))

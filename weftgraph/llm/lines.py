@@ -25,17 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, split_words
+from .common import Scratch, keyed, numbered, slices, split_words
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 23, 26
 DENSE, PROPOSALS = 64, 8
 NO_ID = -(1 << 63)
-_BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "n_lines"]
-_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", n_lines="i4")
+_BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
+_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4")
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * (a + b) + 8) // 9
 
 
-def block(texts: pa.Array, doc_ids: np.ndarray) -> dict[str, np.ndarray]:
+def block(texts: pa.Array, doc_ids: np.ndarray, keys_of_docs: np.ndarray) -> dict[str, np.ndarray]:
     """What later passes need of some documents."""
     cut = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
     n_lines = pc.list_value_length(cut).to_numpy().astype(np.int64)
@@ -69,7 +69,7 @@ def block(texts: pa.Array, doc_ids: np.ndarray) -> dict[str, np.ndarray]:
         mixed = (vocabulary ^ (vocabulary >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         k1 = np.add.reduceat(mixed[token], starts)
         k2 = np.bitwise_xor.reduceat((np.uint64(1) << (vocabulary & np.uint64(63)))[token], starts)
-    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1.view(np.int64), k2.view(np.int64), line_doc, line_no, doc_ids, n_lines]
+    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1.view(np.int64), k2.view(np.int64), line_doc, line_no, doc_ids, keys_of_docs, n_lines]
     return {k: np.asarray(v).astype(_KINDS[k]) for k, v in zip(_BLOCK, made, strict=True)}
 
 
@@ -85,10 +85,10 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         base = TaskContext.get().partitionId() << 20
         for i, batch in enumerate(slices(batches, "text")):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            made = block(batch.column("text"), ids)
+            made = block(batch.column("text"), ids, batch.column("_key").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([made[k].tobytes()], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
-    return scratch.save(docs.select("doc_id", "text").mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
+    return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
 
 
 def rarity(blocks: DataFrame) -> np.ndarray:
@@ -297,7 +297,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """A row per document: doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
+    """A row per document: uid, _key, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
     scratch = Scratch(docs.sparkSession)
     blocks = write_blocks(docs, scratch)
     similar = similar_classes(blocks, scratch)
@@ -308,23 +308,34 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["doc_id"][doc], x["line_no"], (number << 20) + doc)], ["k1", "k2", "doc_id", "line_no", "uid"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, x in _blocks(batches, ["doc_id", "n_lines"]):
-            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["n_lines"])], ["uid", "doc_id", "n_lines"])
+        for number, x in _blocks(batches, ["doc_id", "key", "n_lines"]):
+            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"])], ["uid", "doc_id", "_key", "n_lines"])
 
     every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lines, "k1 long, k2 long, doc_id long, line_no int, uid long")
     first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "uid")).alias("first"))
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
     by_document = gone.groupBy("uid").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    all_docs = blocks.select("block", "doc_id", "n_lines").mapInArrow(documents, "uid long, doc_id long, n_lines int")
+    all_docs = blocks.select("block", "doc_id", "key", "n_lines").mapInArrow(documents, "uid long, doc_id long, _key long, n_lines int")
     out = all_docs.join(by_document, "uid", "left")
-    return out.select("uid", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.select("uid", "_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; every row stays, with a text that may be empty."""
-    # Rows are told apart by doc_id and text, equal ones by number; which of those loses its lines makes no difference.
-    scratch = Scratch(docs.sparkSession)
-    keyed = docs.drop("_key", "_nth").withColumn("_key", F.xxhash64("doc_id", "text"))
-    decided = removed_lines(docs)
-    raise NotImplementedError(scratch, keyed, decided, Window)
+    columns = docs.columns
+    gone = numbered(removed_lines(docs), "uid").where(F.size("removed") > 0).select(F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "removed")
+    rows = numbered(keyed(docs.drop("_key", "_nth")), "doc_id")
+    # A join on _key alone keeps the partitioning that numbered the rows: texts move once.
+    rows = rows.join(gone, (F.col("_key") == F.col("_k")) & (F.col("_nth") - F.col("_n") == 0), "left").select(*columns, "removed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            for i, removed in enumerate(batch.column("removed").to_pylist()):
+                if removed:
+                    out = set(removed)
+                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, slices, wider
+from .common import Scratch, byte_values, keyed, numbered, slices, wider
 from .components import connected_components, star_labels
 
 SEED = 42
@@ -177,17 +177,30 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 6) -> Data
     return keyed.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable by links."""
+def _classes(docs: DataFrame, distance: int, shingle: int) -> DataFrame:
+    """docs without the text, with fingerprint and component_id."""
     scratch = Scratch(docs.sparkSession)
-    marked = scratch.save(fingerprints(docs.select("doc_id", "text"), shingle))
+    marked = scratch.save(fingerprints(docs, shingle))
     distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     found = connected_components(close_links(distinct, distance), scratch)
     found = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     # A class's smallest doc_id by its root, then each fingerprint's class, then each row's.
     lowest = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = found.join(lowest, "root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = found.join(lowest, "root").select("fingerprint", "root", "component_id")
+    return marked.join(named, "fingerprint")
+
+
+def classes(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable by links."""
+    return _classes(docs.select("doc_id", "text"), distance, shingle).select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
+    """One row of docs of each class: that of the smallest doc_id."""
+    classed = _classes(keyed(docs.select("doc_id", "text")), distance, shingle)
+    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
+    rows = keyed(docs.drop("_key", "_nth")).join(best.select("best._key"), "_key", "left_semi")
+    return numbered(rows, "doc_id").where("_nth = 1").select(*docs.columns)
 
 
 def hex_fingerprint(classed: DataFrame) -> DataFrame:
