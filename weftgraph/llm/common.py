@@ -115,7 +115,11 @@ class Runs:
         """The ids of runs `at`, one behind the other, and the end of each."""
         n = self.lens[at]
         ends = np.cumsum(n)
-        return self.ids[np.repeat(self.starts[at] - ends + n, n) + np.arange(n.sum())], ends
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(self.ids)) < 1 << 31 else np.int64
+        where = np.repeat((self.starts[at] - ends + n).astype(kind), n)
+        where += np.arange(total, dtype=kind)
+        return self.ids[where], ends
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

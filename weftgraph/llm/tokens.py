@@ -14,6 +14,7 @@ by their ids; a null doc_id comes first; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ from .common import Index, Runs, Scratch, slices, split_words
 
 END_ID = 2
 #: Words in a worker's table before it starts anew, and their bytes.
-TABLE_WORDS, TABLE_BYTES = 1_500_000, 40_000_000
+TABLE_WORDS, TABLE_BYTES = 900_000, 30_000_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 5_000_000
 _WORKERS: dict[str, WordTable] = {}
 # How the tokenizer splits a word after lower-casing, written for ASCII and the letters of Latin-1,
 # with a line break between words.
@@ -46,6 +47,7 @@ class WordTable:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # tables of bytes and numbers hold no cycles, and a worker makes millions of them
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,6 +58,10 @@ class WordTable:
 
     def clear(self) -> None:
         self.words, self.runs, self.bytes = Index(), Runs(np.uint16), 0
+        if len(getattr(self, "parts", ())) > TABLE_WORDS:
+            del self.parts
+        if hasattr(self, "parts"):
+            return
         self.parts, self.part_runs = Index(), Runs(np.uint16)
         self.parts.of([["\n"]])  # the break between words has no ids
         self.parts.new = []
