@@ -119,7 +119,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     top = count_words(docs)
     ids = target_ids.select("doc_id").distinct().withColumn("is_target", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # The ids grow with the documents: they are never broadcast, also where they are few.
+    flagged = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     target, background = count_bigrams(flagged, top)
     shared = spark.sparkContext.broadcast((losses(target), losses(background)))  # of fixed size
     kept = [c for c in docs.columns if c not in ("text", "n_words", "target_loss", "background_loss", "difference")]
