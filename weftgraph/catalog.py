@@ -2,5 +2,629 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import functions as fn
+from .operators import mutate, query, traverse
+from .sources.projection import Graph, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+PART = "shop.P7.use()"
+EDGE = "from_fqn, edge_type, to_fqn, kind, from_package, to_package, from_line"
+USAGE = "usage_type, caller_uri, caller_line, caller_symbol, callee_symbol, module"
+ORDER = "caller_symbol NULLS FIRST, callee_symbol NULLS FIRST, caller_line NULLS FIRST, usage_type, module, caller_uri"
+GENERATED = "(caller_uri LIKE '%/build/%' OR caller_uri LIKE '%/src-gen/%')"
+CALLERS = f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND usage_type = 'java_method_call' AND NOT {GENERATED}"
+
+
+def register(name: str, sql: str | None = None):
+    """Adds a query of a Graph under a name, with SQL over the projected tables."""
+
+    def add(f: Callable[[Graph], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = oracle(sql)
+        return f
+
+    return add
+
+
+def columns(names: str) -> list[str]:
+    return names.split(", ")
+
+
+# Filters and projections.
+
+
+@register("f1_equality", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}'")
+def _(g: Graph) -> DataFrame:
+    return query.usages_of(g.usages, PART, exclude_generated=False).select(*columns(USAGE))
+
+
+@register("f2_conjunction", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND usage_type = 'java_method_call' AND module = 'BUILDING'")
+def _(g: Graph) -> DataFrame:
+    return query.usages_of(g.usages, PART, query.CALL, "BUILDING", exclude_generated=False).select(*columns(USAGE))
+
+
+@register("f3_outdated_entries", f"SELECT {USAGE}, document_strategy_version, embedding_model_name FROM usages WHERE document_strategy_version IS DISTINCT FROM 'v2' OR embedding_model_name = 'none'")
+def _(g: Graph) -> DataFrame:
+    return query.outdated(g.usages, "v2", by_model=True).select(*columns(USAGE), "document_strategy_version", "embedding_model_name")
+
+
+@register("f3_outdated_nothing_asked", f"SELECT {USAGE} FROM usages WHERE false")
+def _(g: Graph) -> DataFrame:
+    return query.outdated(g.usages, "v2", by_strategy=False).select(*columns(USAGE))
+
+
+@register("f4_exclude_generated", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND NOT {GENERATED}")
+def _(g: Graph) -> DataFrame:
+    return query.usages_of(g.usages, PART).select(*columns(USAGE))
+
+
+@register("f5_file_filter", f"SELECT {USAGE} FROM usages WHERE contains(caller_uri, 'shop.C12')")
+def _(g: Graph) -> DataFrame:
+    return query.in_file(g.usages, "shop.C12").select(*columns(USAGE))
+
+
+@register("f6_like_anywhere", "SELECT fqn, package FROM nodes WHERE fqn ILIKE '%c12.O%'")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where(F.col("fqn").ilike("%c12.O%")).select("fqn", "package")
+
+
+@register("f6_like_suffix", f"SELECT {EDGE} FROM edges WHERE to_fqn ILIKE '%.P7.USE()'")
+def _(g: Graph) -> DataFrame:
+    return g.edges.where(F.col("to_fqn").ilike("%.P7.USE()"))
+
+
+@register("f7_in_list", "SELECT fqn, package, line FROM nodes WHERE fqn IN (SELECT concat('shop.P', CAST(l_partkey AS STRING), '.use()') FROM lineitem WHERE l_quantity > 49)")
+def _(g: Graph) -> DataFrame:
+    wanted = g.table("lineitem").where("l_quantity > 49").select(F.concat(F.lit("shop.P"), F.col("l_partkey"), F.lit(".use()")).alias("fqn"))
+    return g.nodes.join(wanted, "fqn", "left_semi").select("fqn", "package", "line")
+
+
+@register("f8_domain_prefix", "SELECT fqn FROM nodes WHERE starts_with(fqn, 'shop.R') OR starts_with(fqn, 'shop.S1')")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where(fn.in_domains(F.col("fqn"), ["shop.R", "shop.S1"])).select("fqn")
+
+
+@register("f8_no_domains", "SELECT fqn FROM nodes")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where(fn.in_domains(F.col("fqn"), [])).select("fqn")
+
+
+@register("f9_transactional_methods", "SELECT fqn, package, line FROM nodes WHERE type = 'method' AND is_transactional")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where((F.col("type") == "method") & F.col("is_transactional")).select("fqn", "package", "line")
+
+
+@register("f9_public_overrides", "SELECT fqn, package, line FROM nodes WHERE visibility = 'public' AND has_override")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where((F.col("visibility") == "public") & F.col("has_override")).select("fqn", "package", "line")
+
+
+@register("f10_methods_taking", "SELECT DISTINCT to_fqn FROM edges WHERE edge_type = 'member_of' AND kind = 'argument' AND from_fqn = 'shop.S5'")
+def _(g: Graph) -> DataFrame:
+    return g.edges.where((F.col("edge_type") == "member_of") & (F.col("kind") == "argument") & (F.col("from_fqn") == "shop.S5")).select("to_fqn").distinct().orderBy("to_fqn")
+
+
+@register("f11_find_node", f"SELECT * FROM nodes WHERE fqn = '{PART}' LIMIT 1")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where(F.col("fqn") == PART).limit(1)
+
+
+@register("f11_resolve_uri", "SELECT uri FROM symbol_index WHERE fqn = 'shop.C12' AND package IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') LIMIT 1")
+def _(g: Graph) -> DataFrame:
+    allowed = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
+    return g.symbols.where((F.col("fqn") == "shop.C12") & F.col("package").isin(allowed)).select("uri").limit(1)
+
+
+@register("f12_definition", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND usage_type = 'java_declaration' ORDER BY {ORDER} LIMIT 100")
+def _(g: Graph) -> DataFrame:
+    return query.definition(g.usages, PART).select(*columns(USAGE))
+
+
+NODE_TYPE = "CASE WHEN p_size % 10 = 0 THEN 'enum' WHEN p_size % 10 = 1 THEN 'interface' ELSE 'class' END"
+
+
+@register("f13_skip_enums", f"SELECT p_partkey, {NODE_TYPE} AS node_type FROM part WHERE {NODE_TYPE} <> 'enum'")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").selectExpr("p_partkey", f"{NODE_TYPE} AS node_type").where("node_type <> 'enum'")
+
+
+FIELD_TYPE = "CASE l_linenumber WHEN 1 THEN 'int' WHEN 2 THEN 'java.lang.String' WHEN 3 THEN 'java.lang.String[]' WHEN 4 THEN 'int[]' ELSE concat('shop.P', CAST(l_partkey AS STRING)) END"
+
+
+@register(
+    "f14_symbol_types",
+    f"SELECT kind, count(*) AS n FROM (SELECT {FIELD_TYPE} AS kind FROM lineitem) t WHERE kind NOT IN ('void', 'boolean', 'byte', 'char', 'short', 'int', 'long', 'float', 'double') AND NOT starts_with(kind, 'java.lang.') GROUP BY kind",
+)
+def _(g: Graph) -> DataFrame:
+    kinds = g.table("lineitem").selectExpr(f"{FIELD_TYPE} AS kind")
+    return kinds.where(fn.is_symbol_type(F.col("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@register("f15_indexed_targets", f"SELECT {EDGE} FROM edges WHERE to_fqn IN (SELECT fqn FROM symbol_index)")
+def _(g: Graph) -> DataFrame:
+    return g.edges.join(g.symbols.select(F.col("fqn").alias("to_fqn")), "to_fqn", "left_semi").select(*columns(EDGE))
+
+
+@register(
+    "f16_interesting_strings",
+    "SELECT o_orderkey, s FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN concat('view-', o_orderpriority) WHEN o_orderkey % 4 = 1 THEN o_orderpriority WHEN o_orderkey % 4 = 2 THEN 'ws/rest' ELSE ' ' END AS s FROM orders) t"
+    " WHERE length(s) BETWEEN 2 AND 200 AND trim(s) <> '' AND (contains(s, '.') OR starts_with(s, 'ws/') OR contains(s, 'Controller') OR contains(lower(s), 'action') OR contains(lower(s), 'view'))",
+)
+def _(g: Graph) -> DataFrame:
+    case = "CASE WHEN o_orderkey % 4 = 0 THEN concat('view-', o_orderpriority) WHEN o_orderkey % 4 = 1 THEN o_orderpriority WHEN o_orderkey % 4 = 2 THEN 'ws/rest' ELSE ' ' END AS s"
+    return g.table("orders").selectExpr("o_orderkey", case).where(fn.is_interesting_string(F.col("s")))
+
+
+SPECIFIER = "CASE WHEN p_partkey % 3 = 0 THEN concat('node_modules/', p_brand) WHEN p_partkey % 3 = 1 THEN concat('./', p_brand) ELSE p_brand END"
+
+
+@register("f17_own_imports", f"SELECT p_partkey, m FROM (SELECT p_partkey, {SPECIFIER} AS m FROM part) t WHERE starts_with(m, '.') AND NOT contains(m, 'node_modules')")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").selectExpr("p_partkey", f"{SPECIFIER} AS m").where(F.col("m").startswith(".") & ~F.col("m").contains("node_modules"))
+
+
+@register("p1_drop_column", f"SELECT usage_type, caller_line, caller_symbol, callee_symbol, module FROM ({CALLERS}) c ORDER BY caller_symbol, callee_symbol, caller_line NULLS FIRST LIMIT 50")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.callers(g.usages, PART), 0, 50).select(*columns(USAGE)).drop("caller_uri")
+
+
+@register(
+    "p2_inverse_edges",
+    "SELECT to_fqn AS from_fqn, CASE edge_type WHEN 'call' THEN 'called_by' WHEN 'inheritance' THEN 'inherited_by' ELSE 'contains' END AS edge_type, from_fqn AS to_fqn, kind, to_package AS from_package, from_package AS to_package, from_line FROM edges WHERE to_fqn IS NOT NULL AND from_line > 0",
+)
+def _(g: Graph) -> DataFrame:
+    return query.inverse(g.edges)
+
+
+@register(
+    "p3_visibility",
+    "SELECT l_returnflag, l_linestatus, CASE WHEN l_returnflag = 'A' THEN 'public' WHEN l_linestatus = 'O' THEN 'private' WHEN l_returnflag = 'R' THEN 'protected' ELSE 'package' END AS visibility, count(*) AS n FROM lineitem GROUP BY 1, 2, 3",
+)
+def _(g: Graph) -> DataFrame:
+    flags = F.array_compact(F.array(F.when(F.col("l_returnflag") == "R", F.lit("protected")), F.when(F.col("l_linestatus") == "O", F.lit("private")), F.when(F.col("l_returnflag") == "A", F.lit("public")), F.lit("static")))
+    return g.table("lineitem").withColumn("visibility", fn.visibility(flags)).groupBy("l_returnflag", "l_linestatus", "visibility").agg(F.count("*").alias("n"))
+
+
+@register("p4_usage_documents", "SELECT DISTINCT concat(usage_type, ': ', callee_symbol, ' in module ', module) AS document FROM usages WHERE usage_type = 'java_declaration'")
+def _(g: Graph) -> DataFrame:
+    document = F.concat("usage_type", F.lit(": "), "callee_symbol", F.lit(" in module "), "module")
+    return g.usages.where("usage_type = 'java_declaration'").select(document.alias("document")).distinct()
+
+
+# Joins.
+
+
+@register(
+    "j1_edge_usages",
+    f"SELECT e.from_fqn, e.to_fqn, e.kind, e.from_line, n.type AS from_type, n.visibility AS from_visibility FROM edges e LEFT JOIN nodes n ON e.from_fqn = n.fqn WHERE e.edge_type = 'call' AND (e.to_fqn = '{PART}' OR e.to_fqn ILIKE '%.{PART}') ORDER BY 1, 2, 4, 3 LIMIT 100",
+)
+def _(g: Graph) -> DataFrame:
+    return query.edge_usages(g.edges, g.nodes, PART).select("from_fqn", "to_fqn", "kind", "from_line", "from_type", "from_visibility")
+
+
+@register(
+    "j2_resolved_edges",
+    "SELECT e.from_fqn, e.edge_type, e.to_fqn, e.kind, a.package AS from_package, b.package AS to_package FROM edges e JOIN symbol_index a ON e.from_fqn = a.fqn JOIN symbol_index b ON e.to_fqn = b.fqn",
+)
+def _(g: Graph) -> DataFrame:
+    return query.with_packages(g.edges, g.symbols).select("from_fqn", "edge_type", "to_fqn", "kind", "from_package", "to_package")
+
+
+@register(
+    "j3_resolved_or_project",
+    "SELECT e.from_fqn, e.to_fqn, coalesce(a.package, 'project') AS from_package, coalesce(b.package, 'project') AS to_package FROM edges e LEFT JOIN symbol_index a ON e.from_fqn = a.fqn LEFT JOIN symbol_index b ON e.to_fqn = b.fqn WHERE e.edge_type = 'call'",
+)
+def _(g: Graph) -> DataFrame:
+    return query.with_packages(g.calls, g.symbols, "project").select("from_fqn", "to_fqn", "from_package", "to_package")
+
+
+FILES = "SELECT concat(replace(fqn, '.', '/'), '.class') AS relative_uri, package, type = 'class' AND package <> 'geo' AS is_entity FROM nodes"
+
+
+@register("j4_files_to_read", f"SELECT f.relative_uri, f.package, f.is_entity FROM ({FILES}) f WHERE f.is_entity OR NOT EXISTS (SELECT 1 FROM symbol_index s WHERE s.relative_uri = f.relative_uri)")
+def _(g: Graph) -> DataFrame:
+    files = g.nodes.select(F.concat(F.translate("fqn", ".", "/"), F.lit(".class")).alias("relative_uri"), "package", ((F.col("type") == "class") & (F.col("package") != "geo")).alias("is_entity"))
+    return mutate.not_indexed(files, g.symbols)
+
+
+@register("j5_indexed_files", f"SELECT f.relative_uri, f.package FROM ({FILES}) f WHERE EXISTS (SELECT 1 FROM symbol_index s WHERE s.relative_uri = f.relative_uri AND s.package = f.package)")
+def _(g: Graph) -> DataFrame:
+    files = g.nodes.select(F.concat(F.translate("fqn", ".", "/"), F.lit(".class")).alias("relative_uri"), "package")
+    return files.join(g.symbols, ["relative_uri", "package"], "left_semi")
+
+
+@register(
+    "j6_class_trees",
+    "SELECT c.fqn, c.package, CAST(count(DISTINCT m.fqn) AS BIGINT) AS methods, CAST(count(e.to_fqn) AS BIGINT) AS calls FROM (SELECT * FROM nodes WHERE type = 'class') c LEFT JOIN (SELECT fqn, regexp_extract(fqn, '^([^(]*)\\.[^.(]+\\(', 1) AS owner FROM nodes WHERE type = 'method') m ON m.owner = c.fqn LEFT JOIN (SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'call') e ON e.from_fqn = m.fqn GROUP BY c.fqn, c.package",
+)
+def _(g: Graph) -> DataFrame:
+    trees = query.class_trees(g.nodes, g.edges)
+    sizes = F.aggregate("methods", F.lit(0).cast("long"), lambda total, m: total + F.size(m["calls"]))
+    return trees.select("fqn", "package", F.coalesce(F.size("methods").cast("long"), F.lit(0)).alias("methods"), F.coalesce(sizes, F.lit(0)).alias("calls")).withColumn("methods", F.greatest("methods", F.lit(0)))
+
+
+@register("j7_class_of_method", "SELECT fqn, regexp_extract(fqn, '^([^(]*)\\.[^.(]+\\(', 1) AS owner FROM nodes WHERE type = 'method'")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.where("type = 'method'").select("fqn", fn.class_of_method(F.col("fqn")).alias("owner"))
+
+
+@register(
+    "j8_view_models",
+    "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, coalesce(a.m, b.m) AS model FROM lineitem l LEFT JOIN (SELECT p_partkey, p_brand AS m FROM part WHERE p_size % 2 = 0) a ON l.l_partkey = a.p_partkey LEFT JOIN (SELECT p_partkey, p_type AS m FROM part WHERE p_size % 3 = 0) b ON l.l_partkey = b.p_partkey",
+)
+def _(g: Graph) -> DataFrame:
+    part = g.table("part")
+    everywhere = part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("of_all"))
+    in_file = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("of_file"))
+    found = g.table("lineitem").join(everywhere, "l_partkey", "left").join(in_file, "l_partkey", "left")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("of_all", "of_file").alias("model"))
+
+
+@register(
+    "j9_import_map",
+    "WITH m AS (SELECT l_suppkey, l_partkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1, 2) SELECT e.l_suppkey, e.l_partkey, m.last FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1) e LEFT JOIN m ON m.l_suppkey = e.l_suppkey AND m.l_partkey = e.l_partkey",
+)
+def _(g: Graph) -> DataFrame:
+    item = g.table("lineitem")
+    latest = mutate.last_of(item.select("l_suppkey", "l_partkey", F.col("l_shipdate").alias("last")), ["l_suppkey", "l_partkey"], "last")
+    return item.where("l_linenumber = 1").select("l_suppkey", "l_partkey").distinct().join(latest, ["l_suppkey", "l_partkey"], "left")
+
+
+@register("j11_callers_of_callers", f"SELECT b.from_fqn AS outer_caller, count(*) AS n FROM edges a JOIN edges b ON b.to_fqn = a.from_fqn WHERE a.edge_type = 'call' AND b.edge_type = 'call' AND a.to_fqn = '{PART}' GROUP BY 1")
+def _(g: Graph) -> DataFrame:
+    inner = g.calls.where(F.col("to_fqn") == PART).select(F.col("from_fqn").alias("to_fqn"))
+    return g.calls.join(inner, "to_fqn").groupBy(F.col("from_fqn").alias("outer_caller")).agg(F.count("*").alias("n"))
+
+
+@register("j12_annotations", "SELECT fqn, 'Transactional' AS annotation FROM nodes WHERE is_transactional UNION ALL SELECT fqn, 'Override' FROM nodes WHERE has_override")
+def _(g: Graph) -> DataFrame:
+    notes = F.array_compact(F.array(F.when(F.col("is_transactional"), F.lit("Transactional")), F.when(F.col("has_override"), F.lit("Override"))))
+    return g.nodes.select("fqn", F.explode(notes).alias("annotation"))
+
+
+# Aggregations.
+
+
+@register("a1_counts", "SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'symbol_index', count(*) FROM symbol_index")
+def _(g: Graph) -> DataFrame:
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    return count(g.nodes, "nodes").unionByName(count(g.edges, "edges")).unionByName(count(g.symbols, "symbol_index"))
+
+
+@register("a2_filtered_counts", "SELECT count(*) FILTER (type = 'class') AS classes, count(*) FILTER (type = 'method') AS methods FROM nodes")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.agg(F.count_if(F.col("type") == "class").alias("classes"), F.count_if(F.col("type") == "method").alias("methods"))
+
+
+@register("a3_edges_by_type", "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
+def _(g: Graph) -> DataFrame:
+    return g.edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@register("a4_index_stats", "SELECT package, count(*) AS n FROM symbol_index GROUP BY package")
+def _(g: Graph) -> DataFrame:
+    return g.symbols.groupBy("package").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "package")
+
+
+@register("a5_symbols_by_package", "SELECT package, count(*) AS symbols, CAST(sum(CASE WHEN type = 'class' THEN 1 ELSE 0 END) AS BIGINT) AS classes, CAST(sum(CASE WHEN type = 'method' THEN 1 ELSE 0 END) AS BIGINT) AS methods FROM nodes GROUP BY package")
+def _(g: Graph) -> DataFrame:
+    return query.package_counts(g.nodes)
+
+
+@register(
+    "a6_histograms",
+    "SELECT 'usage_type' AS dimension, usage_type AS value, count(*) AS n FROM usages GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM usages GROUP BY 2 UNION ALL SELECT 'module', module, count(*) FROM usages GROUP BY 2",
+)
+def _(g: Graph) -> DataFrame:
+    return query.histograms(g.usages)
+
+
+@register("a7_seeded_sources", "SELECT s AS source, count(u.source) AS n FROM (VALUES ('java'), ('xml'), ('typescript')) v(s) LEFT JOIN usages u ON u.source = s GROUP BY s")
+def _(g: Graph) -> DataFrame:
+    return query.sources_seeded(g.usages)
+
+
+@register("a7_strategy_versions", "SELECT embedding_model_name, document_strategy_version, count(*) AS n FROM usages GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    return g.usages.groupBy("embedding_model_name", "document_strategy_version").agg(F.count("*").alias("n"))
+
+
+@register("a8_embedding_health", "SELECT count(*) AS total, count(*) FILTER (embedding_model_name <> 'none') AS embedded, count(*) FILTER (embedding_model_name = 'none') AS missing, round(100.0 * count(*) FILTER (embedding_model_name <> 'none') / count(*), 1)::DOUBLE AS percent FROM usages")
+def _(g: Graph) -> DataFrame:
+    return query.embedding_health(g.usages)
+
+
+@register("a9_methods_of_class", "SELECT to_fqn AS fqn, string_agg(from_fqn, ',' ORDER BY from_fqn) AS methods FROM edges WHERE edge_type = 'member_of' AND kind = 'method' GROUP BY to_fqn")
+def _(g: Graph) -> DataFrame:
+    members = g.edges.where("edge_type = 'member_of' AND kind = 'method'").groupBy(F.col("to_fqn").alias("fqn"))
+    return members.agg(F.array_join(F.sort_array(F.collect_list("from_fqn")), ",").alias("methods"))
+
+
+@register("a10_child_actions", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS child_actions, count(*) AS child_count FROM lineitem GROUP BY l_orderkey")
+def _(g: Graph) -> DataFrame:
+    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    grouped = g.table("lineitem").groupBy("l_orderkey").agg(listed.alias("c"))
+    return grouped.select("l_orderkey", F.array_join(F.transform("c", lambda x: x["l_partkey"].cast("string")), ",").alias("child_actions"), F.size("c").cast("long").alias("child_count"))
+
+
+@register("a11_nested_sums", "SELECT package, count(DISTINCT fqn) FILTER (type = 'class') AS classes, count(DISTINCT fqn) FILTER (type = 'method') AS methods, CAST(sum(c) AS BIGINT) AS calls FROM (SELECT n.fqn, n.type, n.package, (SELECT count(*) FROM edges e WHERE e.edge_type = 'call' AND e.from_fqn = n.fqn) AS c FROM nodes n) t GROUP BY package")
+def _(g: Graph) -> DataFrame:
+    calls = g.calls.groupBy(F.col("from_fqn").alias("fqn")).agg(F.count("*").alias("c"))
+    kinds = [F.count_if(F.col("type") == t).alias(n) for t, n in (("class", "classes"), ("method", "methods"))]
+    return g.nodes.join(calls, "fqn", "left").groupBy("package").agg(*kinds, F.sum(F.coalesce("c", F.lit(0))).alias("calls"))
+
+
+@register("a12_distinct", "SELECT DISTINCT from_package, to_package FROM edges")
+def _(g: Graph) -> DataFrame:
+    return g.edges.select("from_package", "to_package").distinct()
+
+
+@register("a13_last_and_first", "SELECT user_id, max_by(event_type, event_id) AS last_type, min_by(event_type, event_id) AS first_type FROM events GROUP BY user_id")
+def _(g: Graph) -> DataFrame:
+    return g.table("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min_by("event_type", "event_id").alias("first_type"))
+
+
+@register("a14_content_hashes", "SELECT package, sha256(string_agg(concat(name, chr(0), sha256(content)), chr(10) ORDER BY name)) AS content_hash FROM (SELECT p_brand AS package, CAST(p_partkey AS VARCHAR) AS name, p_name AS content FROM part) t GROUP BY package")
+def _(g: Graph) -> DataFrame:
+    return mutate.content_hashes(g.table("part").select(F.col("p_brand").alias("package"), F.col("p_partkey").cast("string").alias("name"), F.col("p_name").cast("binary").alias("content")))
+
+
+@register("a15_top_modules", "SELECT module, count(*) AS n FROM usages GROUP BY module ORDER BY n DESC, module LIMIT 10")
+def _(g: Graph) -> DataFrame:
+    return g.usages.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(10)
+
+
+@register(
+    "a16_first_callers_by_type",
+    f"SELECT usage_type, caller_symbol, caller_line, nth, group_size FROM (SELECT *, row_number() OVER (PARTITION BY usage_type ORDER BY {ORDER}) AS nth, count(*) OVER (PARTITION BY usage_type) AS group_size FROM usages WHERE contains(callee_symbol, 'shop.P7')) t WHERE nth <= 20",
+)
+def _(g: Graph) -> DataFrame:
+    found = g.usages.where(F.col("callee_symbol").contains("shop.P7"))
+    return query.first_per_group(found, "usage_type", query.USAGE_ORDER, 20).select("usage_type", "caller_symbol", "caller_line", "nth", "group_size")
+
+
+# Order and pages.
+
+
+@register("l1_by_line_unknown_first", f"SELECT {USAGE}, coalesce(caller_line, 0) AS sort_line FROM usages WHERE contains(caller_uri, 'shop.C12') ORDER BY sort_line, {ORDER} LIMIT 25")
+def _(g: Graph) -> DataFrame:
+    return query.in_file(g.usages, "shop.C12").orderBy("sort_line", *query.USAGE_ORDER).limit(25).select(*columns(USAGE), "sort_line")
+
+
+@register("l2_nodes_nulls_first", "SELECT fqn, package, line FROM nodes ORDER BY package, line NULLS FIRST, fqn LIMIT 500")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.orderBy("package", F.col("line").asc_nulls_first(), "fqn").limit(500).select("fqn", "package", "line")
+
+
+@register("l3_limit_in_order", f"SELECT {EDGE} FROM edges ORDER BY {', '.join(c + ' NULLS FIRST' for c in EDGE.split(', '))} LIMIT 40")
+def _(g: Graph) -> DataFrame:
+    return g.edges.orderBy(*columns(EDGE)).limit(40)
+
+
+@register("l4_second_page", f"SELECT * FROM ({CALLERS}) c ORDER BY {ORDER} LIMIT 5 OFFSET 5")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.callers(g.usages, PART), 5, 5).select(*columns(USAGE))
+
+
+@register("l7_sorted_names", "SELECT p_brand, list_aggregate(list_sort(list(DISTINCT p_type)), 'string_agg', ',') AS names FROM part GROUP BY p_brand")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("names"))
+
+
+# Changes.
+
+OLD, NEW = "SELECT fqn, package, line FROM nodes WHERE line IS NULL OR line % 2 = 0", "SELECT fqn, package, line + 1000 AS line FROM nodes WHERE line % 3 = 0"
+
+
+def _old_and_new(g: Graph) -> tuple[DataFrame, DataFrame]:
+    nodes = g.nodes.select("fqn", "package", "line")
+    return nodes.where("line is null or line % 2 = 0"), nodes.where("line % 3 = 0").withColumn("line", F.col("line") + 1000)
+
+
+@register("u1_upsert", f"SELECT * FROM ({OLD}) o WHERE fqn NOT IN (SELECT fqn FROM ({NEW}) n) UNION ALL {NEW}")
+def _(g: Graph) -> DataFrame:
+    old, new = _old_and_new(g)
+    return mutate.upsert(old, new, ["fqn"], "line")
+
+
+@register("u2_insert_ignore", f"SELECT * FROM ({OLD}) o UNION ALL SELECT * FROM ({NEW}) n WHERE fqn NOT IN (SELECT fqn FROM ({OLD}) o)")
+def _(g: Graph) -> DataFrame:
+    old, new = _old_and_new(g)
+    return mutate.insert_ignore(old, new, ["fqn"], "line", ["package"])
+
+
+@register(
+    "u3_stubs",
+    "SELECT fqn, CASE WHEN bool_or(c) OR contains(fqn, '(') THEN 'method' ELSE 'class' END AS type, regexp_extract(split_part(fqn, '(', 1), '[^.]*$') AS name, 'unknown' AS uri FROM (SELECT from_fqn AS fqn, edge_type = 'call' AS c FROM edges UNION ALL SELECT to_fqn, false FROM edges) e WHERE fqn NOT IN (SELECT fqn FROM symbol_index) GROUP BY fqn",
+)
+def _(g: Graph) -> DataFrame:
+    return mutate.stubs(g.edges, g.symbols)
+
+
+@register("u4_edge_ids", f"SELECT row_number() OVER (ORDER BY {', '.join(c + ' NULLS FIRST' for c in EDGE.split(', '))}) AS id, {EDGE} FROM edges")
+def _(g: Graph) -> DataFrame:
+    return mutate.ordinals(g.edges, columns(EDGE)).select("id", *columns(EDGE))
+
+
+@register("u5_edges_without_package", f"SELECT {EDGE} FROM edges WHERE from_package <> 'geo' AND to_package <> 'geo'")
+def _(g: Graph) -> DataFrame:
+    return mutate.without_package(g.nodes, g.edges, g.symbols, "geo")[1]
+
+
+@register("u6_nodes_without_package", "SELECT fqn, package FROM nodes WHERE package <> 'geo'")
+def _(g: Graph) -> DataFrame:
+    return mutate.without_package(g.nodes, g.edges, g.symbols, "geo")[0].select("fqn", "package")
+
+
+CANDIDATES = "SELECT relative_uri, CASE WHEN line % 2 = 0 THEN 1 ELSE 2 END AS rank, concat('file:///local/', relative_uri, CASE WHEN line % 2 = 0 THEN '?gen' ELSE '' END) AS uri FROM symbol_index WHERE package <> 'geo' AND line IS NOT NULL"
+
+
+@register("u7_fixed_uris", f"SELECT s.fqn, coalesce(c.uri, s.uri) AS uri FROM symbol_index s LEFT JOIN (SELECT relative_uri, arg_min(uri, rank) AS uri FROM ({CANDIDATES}) x GROUP BY 1) c ON c.relative_uri = s.relative_uri")
+def _(g: Graph) -> DataFrame:
+    candidates = g.symbols.where("package <> 'geo' and line is not null").selectExpr("relative_uri", "CASE WHEN line % 2 = 0 THEN 1 ELSE 2 END AS rank", "concat('file:///local/', relative_uri, CASE WHEN line % 2 = 0 THEN '?gen' ELSE '' END) AS uri")
+    return mutate.fix_uris(g.symbols, candidates).select("fqn", "uri")
+
+
+@register("u8_changed_packages", "SELECT p_brand AS package, CAST(count(*) AS VARCHAR) AS content_hash FROM part GROUP BY p_brand HAVING p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 25 GROUP BY p_brand) OR CAST(count(*) AS VARCHAR) IS DISTINCT FROM CAST(count(*) FILTER (p_size < 49) AS VARCHAR)")
+def _(g: Graph) -> DataFrame:
+    count = lambda df: df.groupBy(F.col("p_brand").alias("package")).agg(F.count("*").cast("string").alias("content_hash"))
+    return mutate.changed_packages(count(g.table("part")), count(g.table("part").where("p_size < 49")))
+
+
+@register("u9_union_of_extractors", "SELECT 'java' AS source, from_fqn AS symbol, kind FROM edges WHERE edge_type = 'inheritance' UNION ALL SELECT 'xml', fqn, NULL FROM nodes WHERE type = 'class'")
+def _(g: Graph) -> DataFrame:
+    java = g.edges.where("edge_type = 'inheritance'").select(F.lit("java").alias("source"), F.col("from_fqn").alias("symbol"), "kind")
+    xml = g.nodes.where("type = 'class'").select(F.lit("xml").alias("source"), F.col("fqn").alias("symbol"))
+    return java.unionByName(xml, allowMissingColumns=True)
+
+
+CLAIMS = "SELECT p_brand AS relative_uri, p_type AS package, min(p_partkey) AS package_order, p_brand LIKE '%1' AS is_entity FROM part GROUP BY p_brand, p_type"
+
+
+@register("u11_claimed_files", f"SELECT relative_uri, package, package_order, is_entity FROM (SELECT *, row_number() OVER (PARTITION BY relative_uri ORDER BY CASE WHEN is_entity THEN -package_order ELSE package_order END) AS nth FROM ({CLAIMS}) c) t WHERE nth = 1")
+def _(g: Graph) -> DataFrame:
+    files = g.table("part").groupBy(F.col("p_brand").alias("relative_uri"), F.col("p_type").alias("package")).agg(F.min("p_partkey").alias("package_order"))
+    return mutate.claim_files(files.withColumn("is_entity", F.col("relative_uri").like("%1")))
+
+
+# The query service.
+
+
+@register("g1_find_usages_page", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND NOT {GENERATED} ORDER BY {ORDER} LIMIT 20")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.usages_of(g.usages, PART), 0, 20).select(*columns(USAGE))
+
+
+@register("g2_raw_usages", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' ORDER BY {ORDER} LIMIT 20 OFFSET 10")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.usages_of(g.usages, PART, exclude_generated=False), 10, 20).select(*columns(USAGE))
+
+
+@register("g3_definition_of_class", f"SELECT {USAGE} FROM usages WHERE callee_symbol = 'shop.C12' AND usage_type = 'java_declaration' LIMIT 100")
+def _(g: Graph) -> DataFrame:
+    return query.definition(g.usages, "shop.C12").select(*columns(USAGE))
+
+
+@register("g4_callers", f"SELECT * FROM ({CALLERS}) c ORDER BY {ORDER} LIMIT 20")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.callers(g.usages, PART), 0, 20).select(*columns(USAGE))
+
+
+@register("g5_callees", f"SELECT {USAGE} FROM usages WHERE caller_symbol = 'shop.C12' AND usage_type = 'java_method_call' ORDER BY {ORDER} LIMIT 20")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(query.callees(g.usages, "shop.C12"), 0, 20).select(*columns(USAGE))
+
+
+def closure_sql(edges: str, depth: int, symbol: str = PART) -> str:
+    return f"WITH RECURSIVE walk(symbol, depth) AS (SELECT '{symbol}', 0 UNION SELECT e.from_fqn, w.depth + 1 FROM walk w JOIN ({edges}) e ON e.to_fqn = w.symbol WHERE w.depth < {depth}) SELECT symbol, min(depth) AS depth FROM walk GROUP BY symbol"
+
+
+CALL_EDGES = "SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'call'"
+
+
+@register("g6_impact_closure_d2", closure_sql(CALL_EDGES, 2))
+def _(g: Graph) -> DataFrame:
+    return traverse.impact_closure(g.calls, PART, 2)
+
+
+@register("g6_impact_closure_d4", closure_sql(CALL_EDGES, 4))
+def _(g: Graph) -> DataFrame:
+    return traverse.impact_closure(g.calls, PART, 4)
+
+
+@register("g6_impact_closure_cyclic", closure_sql("SELECT DISTINCT from_fqn, to_fqn FROM event_edges", 2, "u7"))
+def _(g: Graph) -> DataFrame:
+    return traverse.impact_closure(g.event_edges, "u7", 2)
+
+
+@register("g6_impact_tree")
+def _(g: Graph) -> DataFrame:
+    return traverse.impact_rows(g.calls, PART, 3, ["from_fqn", "from_line"])
+
+
+@register("g7_search_by_file", f"SELECT {USAGE} FROM usages WHERE contains(caller_uri, '/BUILDING/shop.C1') ORDER BY coalesce(caller_line, 0), {ORDER} LIMIT 50")
+def _(g: Graph) -> DataFrame:
+    return query.in_file(g.usages, "/BUILDING/shop.C1").orderBy("sort_line", *query.USAGE_ORDER).limit(50).select(*columns(USAGE))
+
+
+@register("g8_stats_of_module", "SELECT usage_type, source, count(*) AS n FROM usages WHERE module = 'BUILDING' GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    return g.usages.where("module = 'BUILDING'").groupBy("usage_type", "source").agg(F.count("*").alias("n"))
+
+
+@register("g12_sql_who_takes", "SELECT DISTINCT to_fqn, to_package FROM edges WHERE edge_type = 'member_of' AND kind = 'argument' AND from_fqn = 'shop.S9'")
+def _(g: Graph) -> DataFrame:
+    return g.spark.sql("SELECT DISTINCT to_fqn, to_package FROM {edges} WHERE edge_type = 'member_of' AND kind = 'argument' AND from_fqn = 'shop.S9' ORDER BY to_fqn", edges=g.edges)
+
+
+@register("g12_sql_call_chain", "SELECT a.from_fqn AS first, b.from_fqn AS second, c.from_fqn AS third FROM edges a JOIN edges b ON a.to_fqn = b.from_fqn JOIN edges c ON b.to_fqn = c.from_fqn WHERE a.edge_type = 'call' AND b.edge_type = 'call' AND c.edge_type = 'call' AND a.from_fqn = 'shop.R1' GROUP BY 1, 2, 3")
+def _(g: Graph) -> DataFrame:
+    sql = "SELECT a.from_fqn AS first, b.from_fqn AS second, c.from_fqn AS third FROM {calls} a JOIN {calls} b ON a.to_fqn = b.from_fqn JOIN {calls} c ON b.to_fqn = c.from_fqn WHERE a.from_fqn = 'shop.R1' GROUP BY 1, 2, 3"
+    return g.spark.sql(sql, calls=g.calls)
+
+
+@register("g14_page_info", f"SELECT count(*) AS total, 10 < count(*) AS has_more, CASE WHEN 10 < count(*) THEN 10 END AS next_offset FROM ({CALLERS}) c")
+def _(g: Graph) -> DataFrame:
+    return query.page_info(query.callers(g.usages, PART), 5, 5)
+
+
+# Windows and functions.
+
+
+@register("w1_first_callers_of_each", f"SELECT to_fqn, from_fqn, from_line, nth FROM (SELECT *, row_number() OVER (PARTITION BY to_fqn ORDER BY from_fqn, from_line NULLS FIRST, kind) AS nth FROM edges WHERE edge_type = 'call') t WHERE nth <= 3")
+def _(g: Graph) -> DataFrame:
+    order = Window.partitionBy("to_fqn").orderBy("from_fqn", "from_line", "kind")
+    return g.calls.withColumn("nth", F.row_number().over(order)).where("nth <= 3").select("to_fqn", "from_fqn", "from_line", "nth")
+
+
+@register("x5_simple_names", "SELECT fqn, regexp_extract(split_part(fqn, '(', 1), '[^.]*$') AS name FROM nodes")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.select("fqn", fn.simple_name(F.col("fqn")).alias("name"))
+
+
+@register("x6_file_uris", "SELECT fqn, concat('file://', concat(replace(CASE WHEN contains(fqn, '(') THEN regexp_extract(fqn, '^([^(]*)\\.[^.(]+\\(', 1) ELSE fqn END, '.', '/'), '.java'), CASE WHEN line > 0 THEN concat(':', CAST(line AS VARCHAR)) ELSE '' END) AS uri FROM nodes")
+def _(g: Graph) -> DataFrame:
+    return g.nodes.select("fqn", fn.file_uri(fn.relative_path(F.col("fqn")), F.col("line")).alias("uri"))
+
+
+@register("x9_module_of_artifact", "SELECT p_partkey, CASE WHEN regexp_matches(a, '^(.+?)-[\\d.]+') THEN regexp_extract(a, '^(.+?)-[\\d.]+', 1) ELSE a END AS module FROM (SELECT p_partkey, concat('mod-', lower(p_brand), CASE WHEN p_size % 2 = 0 THEN concat('-', CAST(p_size AS VARCHAR), '.1.0') ELSE 'x' END) AS a FROM part) t")
+def _(g: Graph) -> DataFrame:
+    name = F.concat(F.lit("mod-"), F.lower("p_brand"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(".1.0"))).otherwise(F.lit("x")))
+    return g.table("part").select("p_partkey", fn.module_of_artifact(name).alias("module"))
+
+
+@register("x10_module_of_path", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'unknown' END AS module FROM part")
+def _(g: Graph) -> DataFrame:
+    path = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("/repo/modules/"), "p_brand", F.lit("/src/v.xml"))).when(F.col("p_size") % 3 == 1, F.lit("/repo/modules")).otherwise(F.lit("/repo/src/v.xml"))
+    return g.table("part").select("p_partkey", fn.module_of_path(path).alias("module"))
+
+
+@register("x12_dotted_fields", "SELECT fqn, split_part(fqn, '.', 1) AS head, regexp_extract(fqn, '[^.]*$') AS tail, CASE WHEN contains(fqn, '.') THEN regexp_replace(fqn, '^[^.]*\\.', '') END AS rest FROM nodes")
+def _(g: Graph) -> DataFrame:
+    f = F.col("fqn")
+    return g.nodes.select("fqn", fn.field_head(f).alias("head"), fn.field_tail(f).alias("tail"), fn.field_rest(f).alias("rest"))
+
+
+@register("x13_action_parts", "SELECT o_orderkey, len(list_filter(string_split(a, ','), lambda x: trim(x) <> '')) AS parts, len(list_filter(string_split(a, ','), lambda x: len(string_split(x, ':')) = 2)) AS calls FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'a, b.C:m' WHEN 1 THEN 'x:y:z,,save' ELSE 'go' END AS a FROM orders) t")
+def _(g: Graph) -> DataFrame:
+    action = F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'a, b.C:m' WHEN 1 THEN 'x:y:z,,save' ELSE 'go' END")
+    parts = fn.action_parts(action)
+    return g.table("orders").select("o_orderkey", F.size(parts).cast("long").alias("parts"), F.size(F.filter(parts, lambda x: fn.java_call(x).isNotNull())).cast("long").alias("calls"))
+
+
+@register("x17_truncated_names", "SELECT p_partkey, left(repeat(p_name, 9), 100) AS shown FROM part")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").select("p_partkey", F.left(F.repeat("p_name", 9), F.lit(100)).alias("shown"))
+
+
+@register("x18_file_names", "SELECT caller_uri, regexp_extract(caller_uri, '([^/:]+)(:\\d+)?$', 1) AS file FROM usages WHERE usage_type = 'java_declaration'")
+def _(g: Graph) -> DataFrame:
+    return g.usages.where("usage_type = 'java_declaration'").select("caller_uri", fn.file_name(F.col("caller_uri")).alias("file"))
