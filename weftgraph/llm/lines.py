@@ -8,9 +8,10 @@ How it works. One pass over the texts writes blocks: local vocabularies of 64-bi
 for each set a sum of hashes and a parity signature, which together are its class. Document frequencies of words are
 summed into a table of fixed size, so that rarity is one byte per slot, broadcast at 8 MB. Any order that is the same
 everywhere gives exact results; this one puts words that few lines have first. Each set sends the words of its prefix,
-without those that occur once. Inside a word's group, pairs are tried in order of their first lines; a set in a group of
-more than DENSE proposes at most PROPOSALS earlier ones. Proposals are verified on whole sets. Where all of a set's
-proposals fail and it could have made more, its groups are gone through again without a bound, so that nothing is lost.
+without those that occur once. Inside a word's group, a set proposes the PROPOSALS earliest sets that pass the filters.
+Proposals are verified on whole sets. Where all of a set's proposals fail and it could have made more, it alone goes
+through those groups again without a bound, so that nothing is lost; in a group of near copies most sets are settled by
+the earliest, so that pairs do not grow with the square of a group.
 
 Defined cases: a null text counts as empty and has no lines; a null doc_id sorts before all others; of equal rows one
 counts as the earlier; an empty table gives an empty table.
@@ -32,7 +33,7 @@ from .common import Scratch, keyed, numbered, slices, split_words
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 23, 26
-DENSE, PROPOSALS = 64, 8
+DENSE, PROPOSALS = 64, 1
 NO_ID = -(1 << 63)
 _BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
 _KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4")
@@ -128,21 +129,28 @@ def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, n
     return word[keep], line[keep], position[keep]
 
 
+_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked"]
+
+
 def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
-    """A row per prefix word and line. level: a broadcast table; only: a broadcast bitmap of words, or None for all."""
+    """A row per prefix word and line, with whether it may propose.
+
+    level: a broadcast table; only: broadcast bitmaps of words, and of the sets that may propose, or None for all.
+    """
     names = ["vocabulary", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _blocks(batches, names):
             word, line, position = prefixes(x, level.value)
-            hashes = x["vocabulary"].view(np.int64)[word]
+            hashes, asked = x["vocabulary"].view(np.int64)[word], np.ones(len(word), bool)
             if only is not None:
-                keep = _marked(only.value, hashes)
+                keep = _marked(only.value[0], hashes)
                 hashes, line, position = hashes[keep], line[keep], position[keep]
-            out = [hashes, x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line]]
-            yield pa.RecordBatch.from_arrays([pa.array(y) for y in out], ["word", "k1", "k2", "size", "position", "doc_id", "line_no"])
+                asked = _marked(only.value[1], x["k1"])[line]
+            out = [hashes, x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], asked]
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in out], _ROW)
 
-    return blocks.select("block", *names).mapInArrow(run, "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int")
+    return blocks.select("block", *names).mapInArrow(run, "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean")
 
 
 def _near(size_a, size_b, position_a, position_b, k2_a, k2_b) -> np.ndarray:
@@ -163,43 +171,45 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
     repeated[by_class[1:][again]] = True
     order = order[~repeated[order]]
     word, size, position, k2 = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), rows["k2"][order].view(np.uint64)
+    asked = rows["asked"][order]
     cuts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(word)]])
     sizes = np.diff(cuts)
-    small = np.repeat(sizes <= DENSE, sizes)
-    last = np.repeat(cuts[1:], sizes)
-    a_all, b_all, more = [], [], []
-    alive = np.nonzero(small)[0]
-    for shift in range(1, DENSE):
-        alive = alive[alive + shift < last[alive]]
-        if not len(alive):
+    first, end = np.repeat(cuts[:-1], sizes), np.repeat(cuts[1:], sizes)
+    made = np.zeros(len(word), np.int64)
+    a_all, b_all = [], []
+    waiting = np.nonzero(asked & (end - first <= DENSE) & (np.arange(len(word)) > first))[0]
+    for step in range(DENSE - 1):  # small groups side by side: each row looks at the next earliest row of its group
+        waiting = waiting[(first[waiting] + step < waiting) & (made[waiting] <= bound)]
+        if not len(waiting):
             break
-        b = alive + shift
-        near = _near(size[alive], size[b], position[alive], position[b], k2[alive], k2[b])
-        a_all.append(alive[near])
-        b_all.append(b[near])
+        a = first[waiting] + step
+        near = _near(size[a], size[waiting], position[a], position[waiting], k2[a], k2[waiting])
+        hit = waiting[near]
+        made[hit] += 1
+        take = made[hit] <= bound
+        a_all.append(a[near][take])
+        b_all.append(hit[take])
     for g in np.nonzero(sizes > DENSE)[0]:
-        begin, end = cuts[g], cuts[g + 1]
-        made = np.zeros(end - begin, np.int64)
-        for i in range(begin, end, 256):
-            a = np.arange(i, min(i + 256, end))
-            b = np.arange(i, end)
-            b = b[made[b - begin] <= bound]  # one beyond the bound shows that there are more
-            for j in range(0, len(b), 16_384):
-                bb = b[j : j + 16_384]
-                near = _near(size[a, None], size[None, bb], position[a, None], position[None, bb], k2[a, None], k2[None, bb]) & (a[:, None] < bb)
-                nth = np.cumsum(near, axis=0) + made[bb - begin]
-                made[bb - begin] = nth[-1]
+        begin, stop = cuts[g], cuts[g + 1]
+        for i in range(begin, stop, 256):
+            a = np.arange(i, min(i + 256, stop))
+            later = np.arange(i, stop)
+            later = later[asked[later] & (made[later] <= bound)]  # one beyond the bound shows that there are more
+            for j in range(0, len(later), 16_384):
+                b = later[j : j + 16_384]
+                near = _near(size[a, None], size[None, b], position[a, None], position[None, b], k2[a, None], k2[None, b]) & (a[:, None] < b)
+                nth = np.cumsum(near, axis=0) + made[b]
+                made[b] = nth[-1]
                 x, y = np.nonzero(near & (nth <= bound))
                 a_all.append(a[x])
-                b_all.append(bb[y])
-        more.append(begin + np.nonzero(made > bound)[0])
-    a, b, m = (order[np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)] for x in (a_all, b_all, more))
-    return a, b, m
+                b_all.append(b[y])
+    a, b = (order[np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)] for x in (a_all, b_all))
+    return a, b, order[made > bound]
 
 
 def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
     """(a1, a2, b1, b2, word): a class a that begins before b, and no word; or no a, and a word where b could have proposed more."""
-    names = ["word", "k1", "k2", "size", "position", "doc_id", "line_no"]
+    names = _ROW
     rows = rows.repartition("word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +217,7 @@ def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {k: batch.column(k).to_numpy() for k in names}
+            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             last = int(np.searchsorted(now["word"], now["word"][-1]))
             if last or (held and held[-1]["word"][-1] != now["word"][0]):
                 yield out([*held, {k: v[:last] for k, v in now.items()}])
@@ -289,10 +299,12 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
     more = found.where("word is not null").join(similar, ["b1", "b2"], "left_anti")
     words = bitmap(more.select(F.col("word").alias("h")))
     if words.any():
-        # All pairs of what is left, over the groups where it could have proposed more.
-        rows = candidate_pairs(prefix_rows(blocks, level, context.broadcast(words)), 1 << 40).where("word is null")
-        left = rows.select("a1", "a2", "b1", "b2").join(more.select("b1", "b2").distinct(), ["b1", "b2"], "left_semi").distinct()
-        similar = similar.unionByName(verified(blocks, scratch.save(left))).distinct()
+        # All pairs of the sets that are left, over the groups where they could have proposed more.
+        sets = more.select("b1", "b2").distinct()
+        only = context.broadcast((words, bitmap(sets.select(F.col("b1").alias("h")))))
+        rows = candidate_pairs(prefix_rows(blocks, level, only), 1 << 40).where("word is null")
+        left = scratch.save(rows.select("a1", "a2", "b1", "b2").join(sets, ["b1", "b2"], "left_semi").distinct())
+        similar = similar.unionByName(verified(blocks, left)).distinct()
     return similar
 
 
