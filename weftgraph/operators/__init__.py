@@ -1 +1 @@
-
+"""Operators over graph and usage tables."""

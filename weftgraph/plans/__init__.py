@@ -1 +1,171 @@
+"""The engine: stored tables of a dependency graph, their ingestion package by package, and questions to them."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schemas, storage
+from ..operators import mutate, query, traverse
+from ..sources import class_files
+from . import render
+
+TABLES = {"symbol_index": schemas.SYMBOLS, "index_metadata": schemas.INDEX_METADATA, "nodes": schemas.NODES, "edges": schemas.EDGES, "usages": schemas.USAGES}
+
+
+class Engine:
+    """Tables as Parquet below a folder, and what can be asked of them. Tables that aren't written yet are empty."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.tools: dict[str, Callable[..., object]] = {
+            "find_usages": self.find_usages,
+            "raw_usages": self.raw_usages,
+            "get_definition": self.get_definition,
+            "find_callers": self.find_callers,
+            "find_callees": self.find_callees,
+            "impact_analysis": self.impact_analysis,
+            "search_by_file": self.search_by_file,
+            "get_stats": self.get_stats,
+        }
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def table(self, name: str) -> DataFrame:
+        if storage.exists(self.spark, self.path(name)):
+            return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+        return self.spark.createDataFrame([], TABLES[name])
+
+    def sql(self, text: str) -> DataFrame:
+        """SQL over the tables, by their names in braces: SELECT count(*) FROM {nodes}."""
+        return self.spark.sql(text, **{n: self.table(n) for n in TABLES if f"{{{n}}}" in text})
+
+    def reset(self) -> None:
+        for name in TABLES:
+            storage.remove(self.spark, self.path(name))
+
+    # Ingestion.
+
+    def ingest_classes(self, files: DataFrame, domains: list[str] | None = None) -> list[str]:
+        """Brings packages of class files (package, path, content) up to date; returns those that had changed.
+
+        Only packages whose content differs from what was indexed are read; their old rows go first, so that a second run
+        changes nothing. The names of changed packages go to the driver; there are as many as jars.
+        """
+        named = files.withColumn("name", F.col("path"))
+        hashes = storage.staged(mutate.content_hashes(named))
+        changed = mutate.changed_packages(hashes, self.table("index_metadata"))
+        packages = sorted(r["package"] for r in changed.select("package").collect())
+        if not packages:
+            return []
+        todo = self.spark.createDataFrame([(p,) for p in packages], "package string")
+        of_path = files.join(todo, "package", "left_semi").select("package", "path")
+        trees = class_files.class_trees(files.join(todo, "package", "left_semi"), domains).join(of_path, "path")
+        trees = storage.staged(trees)
+        new_symbols = storage.staged(class_files.tree_symbols(trees, F.col("package")).dropDuplicates(["fqn", "package"]))
+        symbols = storage.staged(self._kept("symbol_index", todo).unionByName(new_symbols))
+        nodes = self._kept("nodes", todo).unionByName(class_files.tree_nodes(trees, new_symbols).dropDuplicates(["fqn"]))
+        # An edge was read from the file of what contains the member, or else of its origin.
+        owner = F.when(F.col("edge_type") == "member_of", F.col("to_package")).otherwise(F.col("from_package"))
+        edges = self._kept("edges", todo, owner).unionByName(class_files.tree_edges(trees, symbols))
+        stamp = hashes.join(todo, "package", "left_semi").withColumn("indexed_at", F.current_timestamp())
+        metadata = self._kept("index_metadata", todo).unionByName(stamp)
+        for name, df in (("nodes", nodes), ("edges", edges), ("symbol_index", symbols), ("index_metadata", metadata)):
+            storage.replace(df, self.path(name))
+        return packages
+
+    def _kept(self, name: str, packages: DataFrame, owner: Column | None = None) -> DataFrame:
+        """The rows of a table that don't come from the packages."""
+        df = self.table(name)
+        gone = packages.select(F.col("package").alias("_owner"))
+        return df.withColumn("_owner", F.col("package") if owner is None else owner).join(gone, "_owner", "left_anti").select(*df.columns)
+
+    def add_usages(self, rows: DataFrame) -> None:
+        known = [c for c in self.table("usages").columns]
+        have = set(rows.columns)
+        rows.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in known]).to(self.table("usages").schema).write.mode("append").parquet(self.path("usages"))
+
+    def drop_package(self, package: str) -> None:
+        nodes, edges, symbols = mutate.without_package(self.table("nodes"), self.table("edges"), self.table("symbol_index"), package)
+        metadata = self.table("index_metadata").where(F.col("package") != package)
+        for name, df in (("nodes", nodes), ("edges", edges), ("symbol_index", symbols), ("index_metadata", metadata)):
+            storage.replace(df, self.path(name))
+
+    # Questions. Each returns a dict of bounded rows.
+
+    def _page(self, df: DataFrame, offset: int, limit: int, order: list | None = None) -> dict:
+        found = query.page(df, offset, limit, order)
+        return {"results": [r.asDict(recursive=True) for r in found.rows.collect()], **found.info()}
+
+    def find_usages(self, symbol: str, usage_type: str | None = None, module_filter: str | None = None, exclude_generated: bool = True, offset: int = 0, limit: int = 20, depth: int = 0, max_children_per_level: int = 10) -> dict:
+        """Usages of a symbol; with a depth, each caller carries its own callers, and a symbol is opened once."""
+        usages = self.table("usages")
+        out = self._page(query.usages_of(usages, symbol, usage_type, module_filter, exclude_generated), offset, limit)
+        opened: set[str] = set()
+        level, left = out["results"], traverse.MOST_LEVELS if depth < 0 else min(depth, traverse.MOST_LEVELS)
+        while level and left:
+            names = [n for n in dict.fromkeys(r["caller_symbol"] for r in level) if n and n not in opened]
+            opened |= set(names)
+            known = {n: self._page(query.usages_of(usages, n, usage_type, module_filter, exclude_generated), 0, max_children_per_level) for n in names}
+            level, left = self._open(level, known), left - 1
+        return out
+
+    @staticmethod
+    def _open(rows: list[dict], known: dict[str, dict]) -> list[dict]:
+        """Hangs the pages of callers under the first row of each; returns their rows."""
+        below: list[dict] = []
+        for row in rows:
+            if found := known.pop(row["caller_symbol"], None):
+                shown = found["results"]
+                row |= {"children": shown, "children_total": found["total"], "children_displayed": len(shown), "children_truncated": found["has_more"]}
+                below += shown
+        return below
+
+    def raw_usages(self, symbol: str, usage_type: str | None = None, module_filter: str | None = None, exclude_generated: bool = True, offset: int = 0, limit: int = 20) -> dict:
+        return self._page(query.usages_of(self.table("usages"), symbol, usage_type, module_filter, exclude_generated), offset, limit)
+
+    def get_definition(self, symbol: str) -> dict:
+        return {"results": [r.asDict(recursive=True) for r in query.definition(self.table("usages"), symbol).collect()]}
+
+    def find_callers(self, symbol: str, offset: int = 0, limit: int = 20) -> dict:
+        return self._page(query.callers(self.table("usages"), symbol), offset, limit)
+
+    def find_callees(self, symbol: str, offset: int = 0, limit: int = 20) -> dict:
+        return self._page(query.callees(self.table("usages"), symbol), offset, limit)
+
+    def impact_analysis(self, symbol: str, depth: int = 2, module_filter: str | None = None, offset: int = 0, limit: int = 50) -> dict:
+        """The tree of callers; module_filter keeps calls of modules whose name starts with it."""
+        calls = self.table("usages").where(F.col("usage_type") == query.CALL)
+        calls = calls.where(~query.fn.is_generated(F.col("caller_uri")))
+        if module_filter:
+            calls = calls.where(F.col("module").startswith(module_filter))
+        edges = calls.select(F.col("caller_symbol").alias("from_fqn"), F.col("callee_symbol").alias("to_fqn"), "caller_line", "module", "caller_uri")
+        tree = traverse.impact_tree(edges, symbol, depth, ["from_fqn", "caller_line", "module", "caller_uri"], limit=limit)
+        total = len(tree.callers)
+        tree.callers = tree.callers[offset : offset + limit]
+        more = offset + limit < total
+        return render.tree_dict(tree) | {"pagination": {"total": total, "offset": offset, "limit": limit, "has_more": more, "next_offset": offset + limit if more else None}}
+
+    def search_by_file(self, file_path: str, offset: int = 0, limit: int = 50) -> dict:
+        return self._page(query.in_file(self.table("usages"), file_path), offset, limit, ["sort_line", *query.USAGE_ORDER])
+
+    def get_stats(self, module: str | None = None) -> dict:
+        usages = self.table("usages")
+        if module:
+            usages = usages.where(F.col("module") == module)
+        out: dict = {"total": usages.count(), "usage_type": {}, "source": {}, "module": {}}
+        for r in query.histograms(usages).orderBy("dimension", F.desc("n"), "value").collect():
+            out[r["dimension"]][r["value"]] = r["n"]
+        return out
+
+    def call(self, tool: str, arguments: dict) -> dict:
+        """Runs a tool by name; whatever goes wrong comes back as an error of that tool."""
+        if tool not in self.tools:
+            return {"error": f"unknown tool: {tool}", "tool": tool}
+        try:
+            return self.tools[tool](**arguments)
+        except Exception as e:  # a caller of tools gets all errors as data
+            return {"error": str(e), "tool": tool}
