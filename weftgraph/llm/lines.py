@@ -10,8 +10,8 @@ summed into a table of fixed size, so that rarity is one byte per slot, broadcas
 everywhere gives exact results; this one puts words that few lines have first. Each set sends the words of its prefix,
 without those that occur once. Inside a word's group, a set proposes the PROPOSALS earliest sets that pass the filters.
 Proposals are verified on whole sets. Where all of a set's proposals fail and it could have made more, it alone goes
-through those groups again without a bound, so that nothing is lost; in a group of near copies most sets are settled by
-the earliest, so that pairs do not grow with the square of a group.
+through those groups again, with a wider parity signature and a higher bound, at last with none, so that nothing is lost.
+In a group of near copies most sets are settled by the earliest, so that pairs do not grow with the square of a group.
 
 Defined cases: a null text counts as empty and has no lines; a null doc_id sorts before all others; of equal rows one
 counts as the earlier; an empty table gives an empty table.
@@ -34,6 +34,8 @@ from .common import Scratch, keyed, numbered, slices, split_words
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 23, 26
 DENSE, PROPOSALS = 64, 1
+#: Bounds of the later rounds.
+LATER = (4, 1 << 40)
 NO_ID = -(1 << 63)
 _BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
 _KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4")
@@ -115,6 +117,8 @@ def rarity(blocks: DataFrame) -> np.ndarray:
 def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, line, position) of all prefix words that more than one line has, words by their local number."""
     words = x["vocabulary"]
+    if not len(words):
+        return (np.zeros(0, np.int64),) * 3
     of_word = level[(words >> np.uint64(64 - SLOTS)).astype(np.int64)]
     order = np.lexsort([words, of_word])
     rank = np.empty(len(words), np.int64)
@@ -129,7 +133,26 @@ def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, n
     return word[keep], line[keep], position[keep]
 
 
-_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked"]
+_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked", "p0", "p1", "p2"]
+_ROW_TYPE = "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean, p0 long, p1 long, p2 long"
+
+
+def _with_marked_words(x: dict[str, np.ndarray], marked: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Only the lines that have a marked word; and three more words of parity for each, by other bits of the hashes."""
+    size = x["size"].astype(np.int64)
+    line = np.repeat(np.arange(len(size)), size)
+    keep = np.zeros(len(size), bool)
+    keep[line[marked[x["token"]]]] = True
+    chosen = np.nonzero(keep)[0]
+    token = x["token"][keep[line]]
+    out = x | {k: x[k][chosen] for k in ("size", "k1", "k2", "line_doc", "line_no")} | {"token": token}
+    parity = np.zeros((3, len(chosen)), np.uint64)
+    if len(chosen):
+        starts = np.cumsum(out["size"].astype(np.int64)) - out["size"]
+        for i in range(3):
+            bits = np.uint64(1) << (x["vocabulary"] >> np.uint64(6 * (i + 1)) & np.uint64(63))
+            parity[i] = np.bitwise_xor.reduceat(bits[token], starts)
+    return out, parity.view(np.int64)
 
 
 def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
@@ -141,24 +164,34 @@ def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _blocks(batches, names):
+            hashes = x["vocabulary"].view(np.int64)
+            if only is not None:
+                marked = _marked(only.value[0], hashes)
+                x, parity = _with_marked_words(x, marked)
             word, line, position = prefixes(x, level.value)
-            hashes, asked = x["vocabulary"].view(np.int64)[word], np.ones(len(word), bool)
             if only is not None:
-                keep = _marked(only.value[0], hashes)
-                hashes, line, position = hashes[keep], line[keep], position[keep]
-                asked = _marked(only.value[1], x["k1"])[line]
-            out = [hashes, x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], asked]
-            yield pa.RecordBatch.from_arrays([pa.array(y) for y in out], _ROW)
+                keep = marked[word]
+                word, line, position = word[keep], line[keep], position[keep]
+                asked, wide = _marked(only.value[1], x["k1"])[line], [pa.array(p[line]) for p in parity]
+            else:
+                asked, wide = np.ones(len(word), bool), [pa.nulls(len(word), pa.int64())] * 3
+            out = [hashes[word], x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], asked]
+            yield pa.RecordBatch.from_arrays([*[pa.array(y) for y in out], *wide], _ROW)
 
-    return blocks.select("block", *names).mapInArrow(run, "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean")
+    rows = blocks.select("block", *names).mapInArrow(run, _ROW_TYPE)
+    return rows if only is not None else rows.drop("p0", "p1", "p2")
 
 
-def _near(size_a, size_b, position_a, position_b, k2_a, k2_b) -> np.ndarray:
+def _near(size_a, size_b, position_a, position_b, parity_a, parity_b) -> np.ndarray:
     """Whether two sets pass the length, positional and parity filters."""
     need = least_overlap(size_a, size_b)
     length = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
-    left = 1 + np.minimum(size_a - position_a, size_b - position_b) - 1
-    return length & (left >= need) & (np.bitwise_count(k2_a ^ k2_b) <= size_a + size_b - 2 * need)
+    left = np.minimum(size_a - position_a, size_b - position_b)
+    differing = [np.bitwise_count(a ^ b) for a, b in zip(parity_a, parity_b, strict=True)]
+    passes = length & (left >= need)
+    for n in differing:
+        passes &= n <= size_a + size_b - 2 * need
+    return passes
 
 
 def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,7 +203,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
     repeated = np.zeros(len(order), bool)
     repeated[by_class[1:][again]] = True
     order = order[~repeated[order]]
-    word, size, position, k2 = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), rows["k2"][order].view(np.uint64)
+    word, size, position, parity = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), [rows[k][order].view(np.uint64) for k in ("k2", "p0", "p1", "p2") if k in rows]
     asked = rows["asked"][order]
     cuts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(word)]])
     sizes = np.diff(cuts)
@@ -183,7 +216,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
         if not len(waiting):
             break
         a = first[waiting] + step
-        near = _near(size[a], size[waiting], position[a], position[waiting], k2[a], k2[waiting])
+        near = _near(size[a], size[waiting], position[a], position[waiting], [p[a] for p in parity], [p[waiting] for p in parity])
         hit = waiting[near]
         made[hit] += 1
         take = made[hit] <= bound
@@ -197,7 +230,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
             later = later[asked[later] & (made[later] <= bound)]  # one beyond the bound shows that there are more
             for j in range(0, len(later), 16_384):
                 b = later[j : j + 16_384]
-                near = _near(size[a, None], size[None, b], position[a, None], position[None, b], k2[a, None], k2[None, b]) & (a[:, None] < b)
+                near = _near(size[a, None], size[None, b], position[a, None], position[None, b], [p[a, None] for p in parity], [p[None, b] for p in parity]) & (a[:, None] < b)
                 nth = np.cumsum(near, axis=0) + made[b]
                 made[b] = nth[-1]
                 x, y = np.nonzero(near & (nth <= bound))
@@ -209,7 +242,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
 
 def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
     """(a1, a2, b1, b2, word): a class a that begins before b, and no word; or no a, and a word where b could have proposed more."""
-    names = _ROW
+    names = rows.columns
     rows = rows.repartition("word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,15 +329,17 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
     found = scratch.save(candidate_pairs(prefix_rows(blocks, level), bound))
     pairs = found.where("word is null").select("a1", "a2", "b1", "b2").distinct()
     similar = scratch.save(verified(blocks, pairs))
-    more = found.where("word is not null").join(similar, ["b1", "b2"], "left_anti")
-    words = bitmap(more.select(F.col("word").alias("h")))
-    if words.any():
-        # All pairs of the sets that are left, over the groups where they could have proposed more.
+    for later in LATER:
+        more = scratch.save(found.where("word is not null").join(similar, ["b1", "b2"], "left_anti").select("b1", "b2", "word"))
+        words = bitmap(more.select(F.col("word").alias("h")))
+        if not words.any():
+            break
         sets = more.select("b1", "b2").distinct()
         only = context.broadcast((words, bitmap(sets.select(F.col("b1").alias("h")))))
-        rows = candidate_pairs(prefix_rows(blocks, level, only), 1 << 40).where("word is null")
-        left = scratch.save(rows.select("a1", "a2", "b1", "b2").join(sets, ["b1", "b2"], "left_semi").distinct())
-        similar = similar.unionByName(verified(blocks, left)).distinct()
+        # The bitmaps mark some others too; what those propose is dropped.
+        found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later).join(sets, ["b1", "b2"], "left_semi"))
+        pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
+        similar = scratch.save(similar.unionByName(verified(blocks, pairs)).distinct())
     return similar
 
 
