@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from weftgraph import functions as fn
+from weftgraph import streaming
 from weftgraph.operators import mutate, query, traverse
 from weftgraph.plans import Engine, render
 from weftgraph.sources import class_files, listings, typescript, xml_views
@@ -131,6 +132,36 @@ def test_engine_answers(spark, tmp_path):
     assert engine.call("find_callers", {"what": 1})["tool"] == "find_callers"
 
 
+def test_extract_reads_a_folder(spark, tmp_path):
+    for name, content in {"modules/sales/f.xml": FORM.encode(), "modules/web/a.tsx": b"export const f = () => g();", "p/build/classes/a/M.class": M}.items():
+        (tmp_path / "src" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src" / name).write_bytes(content)
+    engine, copy = Engine(spark, str(tmp_path / "t")), Engine(spark, str(tmp_path / "u"))
+    done = engine.call("extract", {"folder": str(tmp_path / "src"), "mode": "full", "reset": True})
+    assert done["packages"] == ["p"] and done["total"] == engine.table("usages").count() > 10
+    sources = {r["source"]: r["n"] for r in query.sources_seeded(engine.table("usages")).collect()}
+    assert sources["java"] == 0 and sources["typescript"] == 2 and sources["xml"] > 10
+    copy.copy_from(engine, 5)
+    assert copy.table("usages").count() == 5
+    assert "error" in engine.call("extract", {"folder": "/nowhere", "mode": "other"})
+
+
+def test_best_file_of_a_class(spark):
+    files = spark.createDataFrame([("/r/p/src/main/java/a/db/M.java",), ("/r/p/build/src-gen/java/a/db/M.java",), ("/r/p/src/main/java/a/S.java",)], "path string")
+    symbols = spark.createDataFrame([("a.db.M", "old", "p", "a/db/M.class"), ("a.S", "old", "p", "a/S.class"), ("x.Y", "old", "q", "x/Y.class")], "fqn string, uri string, package string, relative_uri string")
+    found = {r["fqn"]: r["uri"] for r in mutate.fix_uris(symbols, mutate.uri_candidates(files)).collect()}
+    assert found == {"a.db.M": "file:///r/p/build/src-gen/java/a/db/M.java", "a.S": "file:///r/p/src/main/java/a/S.java", "x.Y": "old"}
+
+
+def test_stream_ingests_what_arrives(spark, tmp_path):
+    (tmp_path / "in/p/classes").mkdir(parents=True)
+    (tmp_path / "in/p/classes/M.class").write_bytes(M)
+    engine = Engine(spark, str(tmp_path / "t"))
+    for _ in range(2):
+        streaming.ingest_stream(spark, str(tmp_path / "in"), engine, str(tmp_path / "at")).awaitTermination()
+    assert engine.table("nodes").where("fqn = 'a.db.M'").count() == 1
+
+
 FORM = """<object-views xmlns="http://example.org/views"><form name="f" model="a.M">
 <field name="x.y" onChange="go, b.C:m" target="a.T"/><button name="k" onClick="save"/><button name="l" onClick="b.C:n"/>
 <panel-related field="ls" grid-view="g"><field name="n"/></panel-related><panel-related field="ms"><field name="o"/></panel-related>

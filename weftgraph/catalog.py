@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .operators import mutate, query, traverse
+from .sources import listings
 from .sources.projection import Graph, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,3 +629,98 @@ def _(g: Graph) -> DataFrame:
 @register("x18_file_names", "SELECT caller_uri, regexp_extract(caller_uri, '([^/:]+)(:\\d+)?$', 1) AS file FROM usages WHERE usage_type = 'java_declaration'")
 def _(g: Graph) -> DataFrame:
     return g.usages.where("usage_type = 'java_declaration'").select("caller_uri", fn.file_name(F.col("caller_uri")).alias("file"))
+
+
+@register("x1_dotted_names", "SELECT p_partkey, replace(concat('shop/', p_brand, '/', p_type), '/', '.') AS name FROM part")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").select("p_partkey", fn.to_dotted(F.concat(F.lit("shop/"), "p_brand", F.lit("/"), "p_type")).alias("name"))
+
+
+@register(
+    "x4_access_modifiers",
+    "SELECT p_partkey, concat_ws(',', CASE WHEN p_size & 1 > 0 THEN 'public' END, CASE WHEN p_size & 2 > 0 THEN 'private' END, CASE WHEN p_size & 4 > 0 THEN 'protected' END, CASE WHEN p_size & 8 > 0 THEN 'static' END, CASE WHEN p_size & 16 > 0 THEN 'final' END) AS modifiers FROM part",
+)
+def _(g: Graph) -> DataFrame:
+    return g.table("part").select("p_partkey", F.array_join(fn.access_modifiers(F.col("p_size")), ",").alias("modifiers"))
+
+
+@register(
+    "x14_trigger_ids",
+    "SELECT o_orderkey, concat_ws(':', CASE WHEN o_orderkey % 3 > 0 THEN concat('view', CAST(o_custkey AS VARCHAR)) END, CASE WHEN o_orderkey % 2 > 0 THEN 'total' END, 'onChange') AS trigger_id FROM orders",
+)
+def _(g: Graph) -> DataFrame:
+    view = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("view"), F.col("o_custkey").cast("string"))).otherwise("")
+    field = F.when(F.col("o_orderkey") % 2 > 0, F.lit("total")).otherwise("")
+    return g.table("orders").select("o_orderkey", fn.trigger_id(view, field, F.lit("onChange")).alias("trigger_id"))
+
+
+@register(
+    "x15_expression_fields",
+    "SELECT p_partkey, string_agg(DISTINCT f, ',' ORDER BY f) AS fields FROM (SELECT p_partkey, unnest([concat('a', CAST(p_size AS VARCHAR)), 'b', lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'))]) AS f FROM part) t GROUP BY p_partkey",
+)
+def _(g: Graph) -> DataFrame:
+    word = F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    text = F.concat(F.lit("self.a"), F.col("p_size").cast("string"), F.lit(" == 1 && context.b != null && obj."), word, F.lit(" > 2"))
+    return g.table("part").select("p_partkey", F.array_join(fn.expression_fields(text), ",").alias("fields"))
+
+
+@register("x24_stripped_context", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + 1 AS entries FROM part")
+def _(g: Graph) -> DataFrame:
+    context = F.create_map(F.lit("brand"), "p_brand", F.lit("none"), F.lit(None).cast("string"), F.lit("even"), F.when(F.col("p_size") % 2 == 0, F.lit("yes")).otherwise(""))
+    return g.table("part").select("p_partkey", F.size(fn.strip_empty(context)).alias("entries"))
+
+
+@register("x26_shares", "SELECT package, CAST(floor(1000 * (count(*) / (SELECT count(*) FROM nodes))) AS BIGINT) AS per_thousand FROM nodes GROUP BY package")
+def _(g: Graph) -> DataFrame:
+    total = g.nodes.agg(F.count("*").alias("total"))
+    counted = g.nodes.groupBy("package").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return counted.select("package", F.floor(1000 * (F.col("n") / F.col("total"))).alias("per_thousand"))
+
+
+@register("s11_json_maps", "SELECT event_id, 'k' AS view_name, json_extract_string(props, '$.k') AS model FROM events")
+def _(g: Graph) -> DataFrame:
+    return g.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("view_name", "model"))
+
+
+@register("s5_parsed_listing", "SELECT concat('com.axelor.', p_brand) AS \"group\", p_type AS artifact, '1' AS version, CAST(NULL AS VARCHAR) AS sources FROM part WHERE p_size % 3 = 0 GROUP BY 1, 2")
+def _(g: Graph) -> DataFrame:
+    lines = g.table("part").selectExpr("CASE p_size % 3 WHEN 0 THEN concat('AXELOR_DEP|com.axelor.', p_brand, '|', p_type, '|1|/', CAST(p_partkey AS STRING), '|NONE') WHEN 1 THEN concat(' AXELOR_DEP|org.x|', p_type, '|1|/a|/b') ELSE 'noise' END AS value")
+    return listings.parse_listing(lines).drop("jar")
+
+
+@register("k5_copied_rows", f"SELECT {USAGE} FROM usages ORDER BY {ORDER} LIMIT 300")
+def _(g: Graph) -> DataFrame:
+    return query.slice_rows(g.usages, 0, 300).select(*columns(USAGE))
+
+
+@register(
+    "p5_enriched_trees",
+    "SELECT c.fqn, count(s.fqn) AS indexed_members, count(*) FILTER (m.from_fqn IS NOT NULL AND s.fqn IS NULL) AS unknown_members FROM (SELECT fqn FROM nodes WHERE type = 'class') c LEFT JOIN (SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'member_of' AND kind = 'method') m ON m.to_fqn = c.fqn LEFT JOIN symbol_index s ON s.fqn = m.from_fqn GROUP BY c.fqn",
+)
+def _(g: Graph) -> DataFrame:
+    members = g.edges.where("edge_type = 'member_of' and kind = 'method'").select(F.col("to_fqn").alias("fqn"), F.col("from_fqn").alias("member"))
+    known = g.symbols.select(F.col("fqn").alias("member"), F.lit(True).alias("known"))
+    found = g.nodes.where("type = 'class'").select("fqn").join(members, "fqn", "left").join(known, "member", "left")
+    return found.groupBy("fqn").agg(F.count("known").alias("indexed_members"), F.count_if(F.col("member").isNotNull() & F.col("known").isNull()).alias("unknown_members"))
+
+
+@register("w2_files_per_package", "SELECT package, fqn, nth FROM (SELECT package, fqn, row_number() OVER (PARTITION BY package ORDER BY fqn) AS nth FROM symbol_index) t WHERE nth <= 5")
+def _(g: Graph) -> DataFrame:
+    return query.first_per_group(g.symbols, "package", ["fqn"], 5).select("package", "fqn", "nth")
+
+
+@register("u10_union_of_matches", "SELECT l_orderkey, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT l_orderkey, concat('p', CAST(l_partkey AS VARCHAR)) AS k FROM lineitem UNION ALL SELECT l_orderkey, concat('s', CAST(l_suppkey AS VARCHAR)) FROM lineitem) t GROUP BY l_orderkey")
+def _(g: Graph) -> DataFrame:
+    item = g.table("lineitem").groupBy("l_orderkey")
+    sets = item.agg(F.collect_set(F.concat(F.lit("p"), "l_partkey")).alias("a"), F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("b"))
+    return sets.select("l_orderkey", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("keys"))
+
+
+@register("g13_edge_suffix", "SELECT e.from_fqn, e.to_fqn, e.kind, e.from_line, n.type AS from_type, n.visibility AS from_visibility FROM edges e LEFT JOIN nodes n ON e.from_fqn = n.fqn WHERE e.edge_type = 'call' AND (e.to_fqn = 'C12' OR e.to_fqn ILIKE '%.C12') ORDER BY 1, 2, 4, 3 LIMIT 100")
+def _(g: Graph) -> DataFrame:
+    return query.edge_usages(g.edges, g.nodes, "C12").select("from_fqn", "to_fqn", "kind", "from_line", "from_type", "from_visibility")
+
+
+@register("g6_callees_closure", "WITH RECURSIVE walk(symbol, depth) AS (SELECT 'shop.R1', 0 UNION SELECT e.to_fqn, w.depth + 1 FROM walk w JOIN (SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'call') e ON e.from_fqn = w.symbol WHERE w.depth < 3) SELECT symbol, min(depth) AS depth FROM walk GROUP BY symbol")
+def _(g: Graph) -> DataFrame:
+    return traverse.callees_closure(g.calls, "shop.R1", 3)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import file_uri, simple_name
+from ..storage import staged
+
 
 def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """One row per key: the last by `order`. A partial aggregate, not a sort of each key's rows."""
@@ -33,8 +36,6 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: str, r
 
 def stubs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(fqn, type, name, uri) of ends of edges that no node stands for: methods where their name has arguments or they call."""
-    from ..functions import simple_name
-
     call = F.col("edge_type") == "call"
     callers = edges.select(F.col("from_fqn").alias("fqn"), call.alias("calls"))
     callees = edges.select(F.col("to_fqn").alias("fqn"), F.lit(False).alias("calls"))
@@ -82,14 +83,21 @@ def fix_uris(symbols: DataFrame, candidates: DataFrame) -> DataFrame:
     return symbols.join(best, "relative_uri", "left").withColumn("uri", F.coalesce("_uri", "uri")).select(*symbols.columns)
 
 
+def uri_candidates(files: DataFrame) -> DataFrame:
+    """(relative_uri, rank, uri) of source files (path): generated sources stand for persisted classes first, written ones for all others."""
+    root = r"^.*?/(?:build/src-gen/java|src-gen|src/main/java|src)/(.+)\.java$"
+    relative = F.regexp_extract("path", root, 1)
+    generated, persisted = F.col("path").contains("src-gen/"), F.col("path").contains("/db/")
+    rank = F.when(generated == persisted, 0).otherwise(1)
+    return files.select(F.concat(relative, F.lit(".class")).alias("relative_uri"), rank.alias("rank"), file_uri(F.col("path"), F.lit(None).cast("int")).alias("uri")).where(relative != "")
+
+
 def ordinals(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """Numbers from 1 in a global order, nulls first, without bringing all rows to one task.
 
     Rows are range-sorted and staged with the number of their partition; the partitions' counts, a row each, give where
     each begins.
     """
-    from ..storage import staged
-
     keys: list[Column] = [F.col(c).asc_nulls_first() for c in order]
     parts = staged(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from .. import schemas, storage
 from ..operators import mutate, query, traverse
-from ..sources import class_files
+from ..sources import class_files, listings, typescript, xml_views
 from . import render
 
 TABLES = {"symbol_index": schemas.SYMBOLS, "index_metadata": schemas.INDEX_METADATA, "nodes": schemas.NODES, "edges": schemas.EDGES, "usages": schemas.USAGES}
@@ -29,6 +30,7 @@ class Engine:
             "impact_analysis": self.impact_analysis,
             "search_by_file": self.search_by_file,
             "get_stats": self.get_stats,
+            "extract": self.extract,
         }
 
     def path(self, name: str) -> str:
@@ -88,6 +90,32 @@ class Engine:
         have = set(rows.columns)
         rows.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in known]).to(self.table("usages").schema).write.mode("append").parquet(self.path("usages"))
 
+    def ingest_views(self, files: DataFrame, view_map: DataFrame | None = None) -> None:
+        """Adds the references of view files (path, content) to the usages."""
+        self.add_usages(xml_views.usages(xml_views.extract(xml_views.xml_files(files), view_map)))
+
+    def ingest_typescript(self, files: DataFrame) -> None:
+        """Adds the usages of TypeScript files (path, content), both ways, with imports resolved among the files."""
+        found = typescript.both_ways(typescript.resolved(typescript.extract(files), files.select("path")))
+        self.add_usages(found.withColumn("source", F.lit("typescript")).withColumn("module", fn.module_of_path(F.col("path"))).withColumnRenamed("path", "caller_uri"))
+
+    def extract(self, folder: str, mode: str = "local", reset: bool = False) -> dict:
+        """Reads what lies below a folder: sources and views, and with mode `full` the classes, by package, as well."""
+        if mode not in ("local", "full"):
+            raise ValueError(f"unknown mode: {mode}")
+        if reset:
+            self.reset()
+        self.ingest_views(listings.files(self.spark, folder, "*.xml"))
+        self.ingest_typescript(listings.files(self.spark, folder, "*.ts").unionByName(listings.files(self.spark, folder, "*.tsx")))
+        classes = listings.files(self.spark, folder, "*.class").withColumn("package", F.regexp_extract("path", r"([^/]+)/(?:build/)?classes/", 1))
+        packages = self.ingest_classes(classes) if mode == "full" else []
+        return {"mode": mode, "packages": packages, "total": self.table("usages").count()}
+
+    def copy_from(self, other: Engine, limit: int | None = None) -> None:
+        """Adds another engine's usages, the first ones in a settled order if limited."""
+        rows = other.table("usages")
+        self.add_usages(rows if limit is None else query.slice_rows(rows, 0, limit))
+
     def drop_package(self, package: str) -> None:
         nodes, edges, symbols = mutate.without_package(self.table("nodes"), self.table("edges"), self.table("symbol_index"), package)
         metadata = self.table("index_metadata").where(F.col("package") != package)
@@ -139,7 +167,7 @@ class Engine:
     def impact_analysis(self, symbol: str, depth: int = 2, module_filter: str | None = None, offset: int = 0, limit: int = 50) -> dict:
         """The tree of callers; module_filter keeps calls of modules whose name starts with it."""
         calls = self.table("usages").where(F.col("usage_type") == query.CALL)
-        calls = calls.where(~query.fn.is_generated(F.col("caller_uri")))
+        calls = calls.where(~fn.is_generated(F.col("caller_uri")))
         if module_filter:
             calls = calls.where(F.col("module").startswith(module_filter))
         edges = calls.select(F.col("caller_symbol").alias("from_fqn"), F.col("callee_symbol").alias("to_fqn"), "caller_line", "module", "caller_uri")
