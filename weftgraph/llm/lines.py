@@ -133,26 +133,33 @@ def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, n
     return word[keep], line[keep], position[keep]
 
 
-_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked", "p0", "p1", "p2"]
-_ROW_TYPE = "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean, p0 long, p1 long, p2 long"
+_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked", "p0", "p1", "p2", "p3"]
+_ROW_TYPE = "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean, p0 long, p1 long, p2 long, p3 long"
+
+
+def _parity(x: dict[str, np.ndarray]) -> np.ndarray:
+    """256 bits of parity for each line, as four words."""
+    out = np.zeros((4, len(x["size"])), np.uint64)
+    if len(x["size"]):
+        starts = np.cumsum(x["size"].astype(np.int64)) - x["size"]
+        bits, quarter = np.uint64(1) << (x["vocabulary"] >> np.uint64(8) & np.uint64(63)), x["vocabulary"] >> np.uint64(14) & np.uint64(3)
+        for i in range(4):
+            out[i] = np.bitwise_xor.reduceat(np.where(quarter == i, bits, np.uint64(0))[x["token"]], starts)
+    return out.view(np.int64)
+
+
+def _of_lines(x: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
+    """A block with some of its lines only."""
+    line = np.repeat(np.arange(len(keep)), x["size"])
+    return x | {k: x[k][keep] for k in ("size", "k1", "k2", "line_doc", "line_no") if k in x} | {"token": x["token"][keep[line]]}
 
 
 def _with_marked_words(x: dict[str, np.ndarray], marked: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Only the lines that have a marked word; and three more words of parity for each, by other bits of the hashes."""
-    size = x["size"].astype(np.int64)
-    line = np.repeat(np.arange(len(size)), size)
-    keep = np.zeros(len(size), bool)
-    keep[line[marked[x["token"]]]] = True
-    chosen = np.nonzero(keep)[0]
-    token = x["token"][keep[line]]
-    out = x | {k: x[k][chosen] for k in ("size", "k1", "k2", "line_doc", "line_no")} | {"token": token}
-    parity = np.zeros((3, len(chosen)), np.uint64)
-    if len(chosen):
-        starts = np.cumsum(out["size"].astype(np.int64)) - out["size"]
-        for i in range(3):
-            bits = np.uint64(1) << (x["vocabulary"] >> np.uint64(6 * (i + 1)) & np.uint64(63))
-            parity[i] = np.bitwise_xor.reduceat(bits[token], starts)
-    return out, parity.view(np.int64)
+    """Only the lines that have a marked word, and their parity."""
+    keep = np.zeros(len(x["size"]), bool)
+    keep[np.repeat(np.arange(len(keep)), x["size"])[marked[x["token"]]]] = True
+    out = _of_lines(x, keep)
+    return out, _parity(out)
 
 
 def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
@@ -174,12 +181,12 @@ def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
                 word, line, position = word[keep], line[keep], position[keep]
                 asked, wide = _marked(only.value[1], x["k1"])[line], [pa.array(p[line]) for p in parity]
             else:
-                asked, wide = np.ones(len(word), bool), [pa.nulls(len(word), pa.int64())] * 3
+                asked, wide = np.ones(len(word), bool), [pa.nulls(len(word), pa.int64())] * 4
             out = [hashes[word], x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], asked]
             yield pa.RecordBatch.from_arrays([*[pa.array(y) for y in out], *wide], _ROW)
 
     rows = blocks.select("block", *names).mapInArrow(run, _ROW_TYPE)
-    return rows if only is not None else rows.drop("p0", "p1", "p2")
+    return rows if only is not None else rows.drop("p0", "p1", "p2", "p3")
 
 
 def _near(size_a, size_b, position_a, position_b, parity_a, parity_b) -> np.ndarray:
@@ -187,11 +194,8 @@ def _near(size_a, size_b, position_a, position_b, parity_a, parity_b) -> np.ndar
     need = least_overlap(size_a, size_b)
     length = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
     left = np.minimum(size_a - position_a, size_b - position_b)
-    differing = [np.bitwise_count(a ^ b) for a, b in zip(parity_a, parity_b, strict=True)]
-    passes = length & (left >= need)
-    for n in differing:
-        passes &= n <= size_a + size_b - 2 * need
-    return passes
+    differing = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(parity_a, parity_b, strict=True))
+    return length & (left >= need) & (differing <= size_a + size_b - 2 * need)
 
 
 def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +207,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
     repeated = np.zeros(len(order), bool)
     repeated[by_class[1:][again]] = True
     order = order[~repeated[order]]
-    word, size, position, parity = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), [rows[k][order].view(np.uint64) for k in ("k2", "p0", "p1", "p2") if k in rows]
+    word, size, position, parity = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), [rows[k][order].view(np.uint64) for k in (("p0", "p1", "p2", "p3") if "p0" in rows else ("k2",))]
     asked = rows["asked"][order]
     cuts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(word)]])
     sizes = np.diff(cuts)
@@ -261,6 +265,9 @@ def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
 
     def out(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
         x = {k: np.concatenate([p[k] for p in parts]) for k in names}
+        same = x["word"][1:] == x["word"][:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False)  # words of one row link nothing
+        x = {k: v[shared] for k, v in x.items()}
         a, b, more = proposals(x, bound)
         pairs = np.unique(np.stack([x["k1"][a], x["k2"][a], x["k1"][b], x["k2"][b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
         n, m = pairs.shape[1], len(more)
@@ -295,29 +302,51 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def _ends(pairs: DataFrame) -> np.ndarray:
+    return bitmap(pairs.select(F.explode(F.array("a1", "b1")).alias("h")))
+
+
+def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs without those whose 256 bits of parity differ too much; far narrower than the sets themselves."""
+    marks = blocks.sparkSession.sparkContext.broadcast(_ends(pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, x in _blocks(batches, ["vocabulary", "token", "size", "k1", "k2"]):
+            x = _of_lines(x, _marked(marks.value, x["k1"]))
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["size"], *_parity(x))], ["k1", "k2", "size", "p0", "p1", "p2", "p3"])
+
+    words = ["p0", "p1", "p2", "p3"]
+    rows = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(run, "k1 long, k2 long, size int, p0 long, p1 long, p2 long, p3 long")
+    known = rows.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in ("size", *words)])
+    a, b = (known.select(F.col("k1").alias(f"{e}1"), F.col("k2").alias(f"{e}2"), *[F.col(c).alias(f"{e}_{c}") for c in ("size", *words)]) for e in "ab")
+    both = pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in words), F.lit(0))
+    total = F.col("a_size") + F.col("b_size")
+    return both.where(differing <= total - 2 * F.ceil(4 * total / 9)).select("a1", "a2", "b1", "b2")
+
+
+def verified(blocks: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct (b1, b2) of pairs whose sets are similar. Only sets that the bitmap marks are read out of the blocks."""
     spark = blocks.sparkSession
-    marks = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a1", "b1")).alias("h"))))
+    pairs = scratch.save(parity_filter(blocks, pairs))
+    marks = spark.sparkContext.broadcast(_ends(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _blocks(batches, ["vocabulary", "token", "size", "k1", "k2"]):
-            size = x["size"].astype(np.int64)
             chosen = np.nonzero(_marked(marks.value, x["k1"]))[0]
+            keep = np.zeros(len(x["size"]), bool)
             if len(chosen):
-                _, first = np.unique(np.stack([x["k1"][chosen], x["k2"][chosen]]), axis=1, return_index=True)
-                chosen = chosen[first]
-            starts, n = (np.cumsum(size) - size)[chosen], size[chosen]
-            ends = np.cumsum(n)
-            at = np.repeat(starts - ends + n, n) + np.arange(n.sum())
-            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(x["vocabulary"].view(np.int64)[x["token"][at]]))
-            yield pa.RecordBatch.from_arrays([pa.array(x["k1"][chosen]), pa.array(x["k2"][chosen]), sets], ["k1", "k2", "words"])
+                keep[chosen[np.unique(np.stack([x["k1"][chosen], x["k2"][chosen]]), axis=1, return_index=True)[1]]] = True
+            x = _of_lines(x, keep)
+            ends = np.concatenate([[0], np.cumsum(x["size"])]).astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(x["vocabulary"].view(np.int64)[x["token"]]))
+            yield pa.RecordBatch.from_arrays([pa.array(x["k1"]), pa.array(x["k2"]), sets], ["k1", "k2", "words"])
 
     sets = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(run, "k1 long, k2 long, words array<long>")
     sets = sets.groupBy("k1", "k2").agg(F.first("words").alias("words"))
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("words").alias("wa"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("wb"))
-    both = pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(9 * common >= 4 * (F.size("wa") + F.size("wb"))).select("b1", "b2").distinct()
 
@@ -327,8 +356,8 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
     context = blocks.sparkSession.sparkContext
     level = context.broadcast(rarity(blocks))
     found = scratch.save(candidate_pairs(prefix_rows(blocks, level), bound))
-    pairs = found.where("word is null").select("a1", "a2", "b1", "b2").distinct()
-    similar = scratch.save(verified(blocks, pairs))
+    pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
+    similar = scratch.save(verified(blocks, pairs, scratch))
     for later in LATER:
         more = scratch.save(found.where("word is not null").join(similar, ["b1", "b2"], "left_anti").select("b1", "b2", "word"))
         words = bitmap(more.select(F.col("word").alias("h")))
@@ -339,7 +368,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
         # The bitmaps mark some others too; what those propose is dropped.
         found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later).join(sets, ["b1", "b2"], "left_semi"))
         pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
-        similar = scratch.save(similar.unionByName(verified(blocks, pairs)).distinct())
+        similar = scratch.save(similar.unionByName(verified(blocks, pairs, scratch)).distinct())
     return similar
 
 
