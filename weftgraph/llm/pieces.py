@@ -91,7 +91,7 @@ class ChunkTable:
 
 
 def _table(model: str) -> ChunkTable:
-    """One table for each worker process and model."""
+    """One table for each worker process and model; the model is read once."""
     if model not in _WORKERS:
         _WORKERS[model] = ChunkTable(model)
     return _WORKERS[model]
@@ -110,6 +110,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
                 [*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
                 [*kept, "n_tokens", "ids", "decoded"],
             )
+        tokens.clear()  # a worker lives on, and what it runs next needs the memory
 
     docs = docs.select(*kept)
     return docs.mapInArrow(run, wider(docs, "n_tokens long, ids array<int>, decoded string"))
