@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import functions as fn
 from .operators import mutate, query, traverse
-from .sources import listings
+from .sources import listings, typescript, xml_views
 from .sources.projection import Graph, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,3 +724,159 @@ def _(g: Graph) -> DataFrame:
 @register("g6_callees_closure", "WITH RECURSIVE walk(symbol, depth) AS (SELECT 'shop.R1', 0 UNION SELECT e.to_fqn, w.depth + 1 FROM walk w JOIN (SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'call') e ON e.from_fqn = w.symbol WHERE w.depth < 3) SELECT symbol, min(depth) AS depth FROM walk GROUP BY symbol")
 def _(g: Graph) -> DataFrame:
     return traverse.callees_closure(g.calls, "shop.R1", 3)
+
+
+# Files, made up from rows so that SQL can say what is in them.
+
+FORM = (
+    "concat('<views xmlns=\"http://example.org/v\"><form name=\"f', CAST(p_partkey AS STRING), '\" model=\"m.', lower(p_brand), '\"><field name=\"size.width\" onChange=\"act', CAST(p_size AS STRING), ', b.C:run\" showIf=\"self.kind == 1\"/>"
+    "<button name=\"go\" onClick=\"save', CAST(p_size AS STRING), '\"/><panel-related field=\"rows\" grid-view=\"g', CAST(p_size % 7 AS STRING), '\"><field name=\"n\"/></panel-related></form>"
+    "<action-group name=\"ag', CAST(p_partkey AS STRING), '\"><action name=\"one\"/><action name=\"two\"/></action-group><action-view name=\"av\"><view type=\"form\" name=\"f', CAST(p_partkey AS STRING), '\"/></action-view></views>')"
+)
+
+
+def _view_files(g: Graph) -> DataFrame:
+    made = g.table("part").selectExpr("concat('/r/modules/', lower(p_brand), '/v', CAST(p_partkey AS STRING), '.xml') AS path", f"CAST({FORM} AS BINARY) AS content")
+    return made.unionByName(made.limit(5).withColumn("path", F.lit("/r/build/v.xml")))
+
+
+def _references(g: Graph, kinds: list[str]) -> DataFrame:
+    models = g.table("part").selectExpr("concat('g', CAST(p_size % 7 AS STRING)) AS view_name", "'m.Row' AS model").where("view_name <> 'g0'").distinct()
+    found = xml_views.extract(xml_views.xml_files(_view_files(g)), models)
+    return found.where(F.col("ref_type").isin(kinds))
+
+
+def _made(rows: list[str]) -> str:
+    file = "concat('/r/modules/', lower(p_brand), '/v', CAST(p_partkey AS VARCHAR), '.xml') AS path, lower(p_brand) AS module"
+    return " UNION ALL ".join(f"SELECT {file}, {row} FROM part" for row in rows)
+
+
+P = "CAST(p_partkey AS VARCHAR)"
+S = "CAST(p_size AS VARCHAR)"
+
+
+@register(
+    "v1_definitions",
+    _made([f"'form_definition' AS ref_type, concat('f', {P}) AS ref_value, concat('m.', lower(p_brand)) AS model", f"'action-group_definition', concat('ag', {P}), ''", "'action-view_definition', 'av', ''"]),
+)
+def _(g: Graph) -> DataFrame:
+    found = _references(g, ["form_definition", "action-group_definition", "action-view_definition"])
+    return found.select("path", "module", "ref_type", "ref_value", F.col("context")["model"].alias("model"))
+
+
+@register(
+    "v2_action_groups",
+    _made([f"'action_group_definition' AS ref_type, concat('ag', {P}) AS ref_value, NULL AS position"] + [f"'{kind}', {value}, '{i}'" for i, name in enumerate(("one", "two")) for kind, value in (("action_group_contains_action", f"'{name}'"), ("action_contained_by_group", f"concat('ag', {P})"))]),
+)
+def _(g: Graph) -> DataFrame:
+    found = _references(g, ["action_group_definition", "action_group_contains_action", "action_contained_by_group"])
+    return found.select("path", "module", "ref_type", "ref_value", F.col("context")["position"].alias("position"))
+
+
+@register(
+    "v4_event_triggers",
+    _made([
+        f"'inline_action_group' AS ref_type, concat('inline-group-f', {P}, '-size.width-onChange') AS ref_value",
+        f"'inline_group_contains_action', concat('act', {S})",
+        "'inline_group_contains_action', 'b.C:run'",
+        f"'action_contained_by_inline_group', concat('inline-group-f', {P}, '-size.width-onChange')",
+        f"'action_contained_by_inline_group', concat('inline-group-f', {P}, '-size.width-onChange')",
+        "'xml_calls_java_method', 'run'",
+        f"'xml_trigger_calls_action', concat('save', {S})",
+        f"'xml_action_called_by_trigger', concat('f', {P}, ':go:onClick')",
+    ]),
+)
+def _(g: Graph) -> DataFrame:
+    kinds = ["inline_action_group", "inline_group_contains_action", "action_contained_by_inline_group", "xml_calls_java_method", "xml_trigger_calls_action", "xml_action_called_by_trigger"]
+    return _references(g, kinds).select("path", "module", "ref_type", "ref_value")
+
+
+@register(
+    "v5_view_references",
+    _made([
+        "'xml_element_uses_view' AS ref_type, concat('g', CAST(p_size % 7 AS VARCHAR)) AS ref_value",
+        f"'xml_view_used_by_element', concat('panel-related@f', {P})",
+        f"'xml_action_view_uses_view', concat('f', {P})",
+        "'xml_view_used_by_action_view', 'av'",
+    ]),
+)
+def _(g: Graph) -> DataFrame:
+    kinds = ["xml_element_uses_view", "xml_view_used_by_element", "xml_action_view_uses_view", "xml_view_used_by_action_view"]
+    return _references(g, kinds).select("path", "module", "ref_type", "ref_value")
+
+
+@register(
+    "v6_field_models",
+    _made(["'size' AS field, concat('m.', lower(p_brand)) AS model, 'view' AS how", "'rows', concat('m.', lower(p_brand)), 'view'"]) + " UNION ALL SELECT * FROM (" + _made(["'n' AS field, 'm.Row' AS model, 'panel_related_grid_view' AS how"]) + " WHERE p_size % 7 <> 0) t",
+)
+def _(g: Graph) -> DataFrame:
+    found = _references(g, ["model_referenced_by_field"])
+    return found.select("path", "module", F.col("ref_value").alias("field"), F.col("context")["model"].alias("model"), F.col("context")["model_resolution"].alias("how"))
+
+
+@register("v8_expressions", _made(["'xml_expression_field_ref' AS ref_type, 'kind' AS ref_value, 'showIf' AS attribute"]))
+def _(g: Graph) -> DataFrame:
+    found = _references(g, ["xml_expression_field_ref"])
+    return found.select("path", "module", "ref_type", "ref_value", F.col("context")["attribute"].alias("attribute"))
+
+
+@register("s2_view_files", "SELECT concat('/r/modules/', lower(p_brand), '/v', CAST(p_partkey AS VARCHAR), '.xml') AS path FROM part")
+def _(g: Graph) -> DataFrame:
+    return xml_views.xml_files(_view_files(g)).select("path")
+
+
+@register(
+    "x16_template_fields",
+    f"SELECT p_partkey, string_agg(DISTINCT f, ',' ORDER BY f) AS fields FROM (SELECT p_partkey, unnest([concat('a', {S}), concat('b', {S}), 'c']) AS f FROM part) t GROUP BY p_partkey",
+)
+def _(g: Graph) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("<b>{{record.a"), size, F.lit("}}</b> {{b"), size, F.lit("}} {record.c} {{true}}"))
+    return g.table("part").select("p_partkey", F.array_join(fn.template_fields(text), ",").alias("fields"))
+
+
+SCHEMA = (
+    "concat('<s:schema xmlns:s=\"http://www.w3.org/2001/XMLSchema\"><s:choice><s:element name=\"view', CAST(p_partkey AS STRING), '\"/><s:element name=\"action-', CAST(p_size AS STRING), '\"/></s:choice>"
+    "<s:attribute name=\"on', CAST(p_size AS STRING), '\"/><s:attribute name=\"onOld\" use=\"prohibited\"/><s:attribute name=\"showIf\"/></s:schema>')"
+)
+
+
+@register("x22_schema_vocabulary", " UNION ALL ".join(f"SELECT {P} AS path, '{kind}' AS kind, {name} AS name FROM part" for kind, name in (("views", f"concat('view', {P})"), ("actions", f"concat('action-', {S})"), ("events", f"concat('on', {S})"), ("conditions", "'showIf'"))))
+def _(g: Graph) -> DataFrame:
+    return listings.vocabularies(g.table("part").selectExpr("CAST(p_partkey AS STRING) AS path", f"CAST({SCHEMA} AS BINARY) AS content"))
+
+
+SCRIPT = "concat('import {f', CAST(p_size AS STRING), '} from \"./m', CAST(p_size AS STRING), '\";\\nfunction g() { f', CAST(p_size AS STRING), '(); useX(); return <Comp/>; }\\n')"
+
+
+def _scripts(g: Graph) -> tuple[DataFrame, DataFrame]:
+    part = g.table("part")
+    files = part.selectExpr("concat('/r/src/a', CAST(p_partkey AS STRING), '.tsx') AS path", f"CAST({SCRIPT} AS BINARY) AS content")
+    listing = part.where("p_size % 2 = 0").selectExpr("concat('/r/src/m', CAST(p_size AS STRING), '.ts') AS path").distinct()
+    return files, files.select("path").unionByName(listing)
+
+
+MODULE = f"concat('/r/src/m', {S}, CASE WHEN p_size % 2 = 0 THEN '.ts' ELSE '' END)"
+SCRIPTS = " UNION ALL ".join(
+    f"SELECT concat('/r/src/a', {P}, '.tsx') AS path, {row} FROM part"
+    for row in (
+        f"'import' AS usage_type, 1 AS caller_line, NULL AS caller_symbol, concat('f', {S}) AS callee_symbol, {MODULE} AS callee_uri",
+        f"'function_call', 2, 'g', concat('f', {S}), {MODULE}",
+        "'function_call', 2, 'g', 'useX', NULL",
+        "'hook_call', 2, 'g', 'useX', NULL",
+        "'react_component', 2, 'g', 'Comp', NULL",
+    )
+)
+
+
+@register("s3_script_usages", SCRIPTS)
+def _(g: Graph) -> DataFrame:
+    files, listing = _scripts(g)
+    return typescript.resolved(typescript.extract(files), listing).select("path", "usage_type", "caller_line", "caller_symbol", "callee_symbol", "callee_uri")
+
+
+@register("p2_inverse_script_usages", f"SELECT {MODULE} AS path, 'function_called_by' AS usage_type, 2 AS caller_line, concat('f', {S}) AS caller_symbol, 'g' AS callee_symbol, concat('/r/src/a', {P}, '.tsx') AS callee_uri FROM part")
+def _(g: Graph) -> DataFrame:
+    files, listing = _scripts(g)
+    both = typescript.both_ways(typescript.resolved(typescript.extract(files), listing))
+    return both.where("usage_type like '%_by'").select("path", "usage_type", "caller_line", "caller_symbol", "callee_symbol", "callee_uri")
