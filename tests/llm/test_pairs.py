@@ -153,7 +153,7 @@ def test_url_rules(spark):
         (None, "s://net/" + "y" * 3000, "net", "/" + "y" * 3000, "net/", "block"),
         (2, "https://example.net/de", "example.net", "/de", "net/", "block"),
     ]
-    pages = spark.createDataFrame([(i, u, "old") for i, u, *_ in cases], "page_id long, url string, verdict string")
+    pages = spark.createDataFrame([(i, u, "old", 1) for i, u, *_ in cases], "page_id long, url string, verdict string, best int")
     for most in (urls.BROADCAST_BYTES, 0):
         urls.BROADCAST_BYTES, before = most, urls.BROADCAST_BYTES
         found = urls.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
@@ -195,7 +195,7 @@ def test_removed_lines_match_brute_force(spark, monkeypatch, dense, proposals):
         if first[s] != (d, k, i) or s in bad:
             gone.setdefault(i, []).append(k)
     expected = sorted(((d, len(t.split("\n")) if t else 0, sorted(gone.get(i, []))) for i, (d, t) in enumerate(rows)), key=repr)
-    table = spark.createDataFrame([(d, t, i, "k") for i, (d, t) in enumerate(rows)], "doc_id long, text string, uid int, k1 string")
+    table = spark.createDataFrame([(d, t, i, "k") for i, (d, t) in enumerate(rows)], "doc_id long, text string, uid int, removed string")
     found = lines.removed_lines(table.coalesce(1)).select("doc_id", "n_lines", "removed")
     assert sorted((tuple(r) for r in found.collect()), key=repr) == expected
     if proposals == 8:

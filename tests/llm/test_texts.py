@@ -291,7 +291,8 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, "w " * int(rng.integers(0, 60)), ["s1", "s2", None, "é"][min(3, int(rng.integers(0, 9)) // 2)]) for i in range(600)]
     rows += [rows[5], (None, "a b", "s1"), (700, None, "s2"), (701, " ", "")]
-    docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, taken string")
+    rows += [(800 + i // 2, "twin of another source", "s1" if i % 2 else "s2") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "old", 1) for r in rows], "doc_id long, text string, source string, taken string, passes int")
     found = mixing.shares(docs).toPandas()
     assert len(found) == len(rows) and (found.taken <= 3 * found["size"]).all()
     assert found.taken.sum() <= found["size"].sum()
@@ -303,9 +304,10 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert found[key].sort_values(key).values.tolist().__repr__() == again[key].sort_values(key).values.tolist().__repr__()
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    per = mixed.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
+    per = mixed.groupBy("doc_id", "source").count().collect()
+    per = {(r["doc_id"], r["source"]): r["count"] for r in per}
     for r in found[(found.taken > 0) & found.doc_id.notna() & (found.doc_id != rows[5][0])].itertuples():
-        assert per[r.doc_id] == r.passes
+        assert per[r.doc_id, r.source if isinstance(r.source, str) else None] == r.passes
     assert mixing.shares(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 

@@ -140,10 +140,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds _key, the same for rows of equal doc_id and text."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    """Adds _weft_key, the same for rows of equal doc_id and text. Names that begin with _weft_ are reserved."""
+    return docs.withColumn("_weft_key", F.xxhash64("doc_id", "text"))
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds _nth, which tells rows of one _key apart."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
+    """Adds _weft_nth, which tells rows of one _weft_key apart."""
+    return rows.withColumn("_weft_nth", F.row_number().over(Window.partitionBy("_weft_key").orderBy(order)))

@@ -6,7 +6,7 @@ one that begins earlier is `4/5` or more, whether that one is removed itself or
 
 How it works. One pass over the texts writes blocks: local vocabularies of 64-bit word hashes, sets as local numbers, and
 for each set a sum of hashes and a parity signature, which together are its class. Document frequencies of words are
-summed into a table of fixed size, so that rarity is one byte per slot, broadcast at 8 MB. Any order that is the same
+summed into a table of fixed size, so that rarity is one byte per slot, broadcast at 16 MB. Any order that is the same
 everywhere gives exact results; this one puts words that few lines have first. Each set sends the words of its prefix,
 without those that occur once. Inside a word's group, a set proposes the PROPOSALS earliest sets that pass the filters.
 Proposals are verified on whole sets. Where all of a set's proposals fail and it could have made more, it alone goes
@@ -14,7 +14,7 @@ through those groups again, with a wider parity signature and a higher bound, at
 In a group of near copies most sets are settled by the earliest, so that pairs do not grow with the square of a group.
 
 Defined cases: a null text counts as empty and has no lines; a null doc_id sorts before all others; of equal rows one
-counts as the earlier; an empty table gives an empty table.
+counts as the earlier; an empty table gives an empty table; other columns are carried along by dedupe() as they are.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, keyed, numbered, slices, split_words
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
-SLOTS, BITS = 23, 26
+SLOTS, BITS = 24, 26
 DENSE, PROPOSALS = 64, 1
+#: Bytes of text in a block: a larger one repeats fewer words in its vocabulary.
+SLICE_BYTES = 8_000_000
 #: Bounds of the later rounds.
 LATER = (4, 1 << 40)
 NO_ID = -(1 << 63)
@@ -86,9 +88,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
 def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 20
-        for i, batch in enumerate(slices(batches, "text")):
+        for i, batch in enumerate(slices(batches, "text", SLICE_BYTES)):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            made = block(batch.column("text"), ids, batch.column("_key").to_numpy())
+            made = block(batch.column("text"), ids, batch.column("_weft_key").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([made[k].tobytes()], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
     return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
@@ -373,7 +375,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """A row per document: uid, _key, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
+    """A row per document: uid, _weft_key, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
     scratch = Scratch(docs.sparkSession)
     blocks = write_blocks(docs, scratch)
     similar = similar_classes(blocks, scratch)
@@ -385,30 +387,31 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, x in _blocks(batches, ["doc_id", "key", "n_lines"]):
-            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"])], ["uid", "doc_id", "_key", "n_lines"])
+            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"])], ["uid", "doc_id", "_weft_key", "n_lines"])
 
     every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lines, "k1 long, k2 long, doc_id long, line_no int, uid long")
     first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "uid")).alias("first"))
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
     by_document = gone.groupBy("uid").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    all_docs = blocks.select("block", "doc_id", "key", "n_lines").mapInArrow(documents, "uid long, doc_id long, _key long, n_lines int")
+    all_docs = blocks.select("block", "doc_id", "key", "n_lines").mapInArrow(documents, "uid long, doc_id long, _weft_key long, n_lines int")
     out = all_docs.join(by_document, "uid", "left")
-    return out.select("uid", "_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; every row stays, with a text that may be empty."""
     columns = docs.columns
-    gone = numbered(removed_lines(docs), "uid").where(F.size("removed") > 0).select(F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "removed")
-    rows = numbered(keyed(docs.drop("_key", "_nth")), "doc_id")
-    # A join on _key alone keeps the partitioning that numbered the rows: texts move once.
-    rows = rows.join(gone, (F.col("_key") == F.col("_k")) & (F.col("_nth") - F.col("_n") == 0), "left").select(*columns, "removed")
+    gone = numbered(removed_lines(docs), "uid").where(F.size("removed") > 0)
+    gone = gone.select(F.col("_weft_key").alias("_weft_k"), F.col("_weft_nth").alias("_weft_n"), F.col("removed").alias("_weft_removed"))
+    # A join on the key alone keeps the partitioning that numbered the rows: texts move once.
+    match = (F.col("_weft_key") == F.col("_weft_k")) & (F.col("_weft_nth") - F.col("_weft_n") == 0)
+    rows = numbered(keyed(docs), "doc_id").join(gone, match, "left").select(*columns, "_weft_removed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            for i, removed in enumerate(batch.column("removed").to_pylist()):
+            for i, removed in enumerate(batch.column("_weft_removed").to_pylist()):
                 if removed:
                     out = set(removed)
                     texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)

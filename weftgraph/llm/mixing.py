@@ -6,8 +6,8 @@ mix; it ends where the total budget is reached. Cumulative sums go over hash buc
 so that a source with most rows is still dealt over many tasks.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own and comes last;
-equal rows are separate documents; an empty table gives an empty mix; columns of the input are carried along as they are
-unless they are named like an added one, which replaces them.
+equal rows are separate documents; an empty table gives an empty mix; shares() returns narrow rows of its own, and mix()
+rows with the columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Scratch
+from .common import WORD_PATTERN, Scratch, keyed, numbered
 
 #: Rows of a bucket inside which one task sums; bounds the memory of a window.
 BUCKET_ROWS = 20_000
@@ -96,30 +96,22 @@ def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2,
     return df.drop("_h", "_b", "_end", "_whole", "_next", "_late", "_s")
 
 
-def _key(df: DataFrame) -> DataFrame:
-    """Adds _key, by which _nth() then numbers equal rows."""
-    return df.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-
-
-def _nth(df: DataFrame) -> DataFrame:
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", "source")))
-
-
 def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
     """One narrow row per document: doc_id, source, size, source_size, target, taken, passes, finish."""
     scratch = Scratch(docs.sparkSession)
-    sized = scratch.save(_key(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_key", word_count(F.col("text")).alias("size")))
-    return queue(sized, scratch, weights, repeats, seed)
+    narrow = keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_weft_key", word_count(F.col("text")).alias("size"))
+    return queue(scratch.save(narrow), scratch, weights, repeats, seed)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken, in order of virtual finish time."""
-    taken = _nth(shares(docs, weights, repeats, seed).where("passes > 0")).select(
-        F.col("_key").alias("_k"), F.col("_nth").alias("_n"), "passes", F.col("finish"), (F.col("source_size") / F.col("target")).alias("_lap")
-    )
-    wide = _nth(_key(docs.drop("_key", "_nth")))
-    columns = [F.col(f"d.{c}") for c in docs.columns]
-    # A join on _key alone keeps the partitioning that numbered the rows: texts move once here and once to be sorted.
-    joined = wide.alias("d").join(taken.alias("t"), (F.col("_key") == F.col("_k")) & (F.col("_nth") - F.col("_n") == 0))
-    entries = joined.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda i: F.col("finish") + i * F.col("_lap"))).alias("_at"))
-    return entries.repartitionByRange("_at").sortWithinPartitions("_at").drop("_at")
+    lap = (F.col("source_size") / F.col("target")).alias("lap")
+    taken = numbered(shares(docs, weights, repeats, seed), "source").where("passes > 0")
+    taken = taken.select(F.col("_weft_key").alias("_weft_k"), F.col("_weft_nth").alias("_weft_n"), F.struct("passes", "finish", lap).alias("_weft_plan"))
+    # A join on the key alone keeps the partitioning that numbered the rows: texts move once here and once to be sorted.
+    match = (F.col("_weft_key") == F.col("_weft_k")) & (F.col("_weft_nth") - F.col("_weft_n") == 0)
+    joined = numbered(keyed(docs), "source").join(taken, match)
+    plan = F.col("_weft_plan")
+    times = F.transform(F.sequence(F.lit(0), plan["passes"] - 1), lambda i: plan["finish"] + i * plan["lap"])
+    entries = joined.select(*docs.columns, F.explode(times).alias("_weft_at"))
+    return entries.repartitionByRange("_weft_at").sortWithinPartitions("_weft_at").drop("_weft_at")

@@ -7,7 +7,8 @@ rows and only a forest of links leaves the task. A large group is cut again by t
 which loses no link and takes far fewer comparisons than all its pairs.
 
 Defined cases: a null text counts as empty, an empty one has fingerprint zero; equal texts have equal fingerprints and so
-one class; a null doc_id never becomes a class id unless its class has no other; an empty table gives an empty table.
+one class; a null doc_id never becomes a class id unless its class has no other; an empty table gives an empty table; other
+columns are carried along by keep_one() as they are.
 """
 
 from __future__ import annotations
@@ -198,9 +199,9 @@ def classes(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row of docs of each class: that of the smallest doc_id."""
     classed = _classes(keyed(docs.select("doc_id", "text")), distance, shingle)
-    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"))
-    rows = keyed(docs.drop("_key", "_nth")).join(best.select("best._key"), "_key", "left_semi")
-    return numbered(rows, "doc_id").where("_nth = 1").select(*docs.columns)
+    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_weft_key")).alias("best"))
+    rows = keyed(docs).join(best.select("best._weft_key"), "_weft_key", "left_semi")
+    return numbered(rows, "doc_id").where("_weft_nth = 1").select(*docs.columns)
 
 
 def hex_fingerprint(classed: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keyed = F.broadcast(keyed) if (facts["bytes"] or 0) <= BROADCAST_BYTES else keyed
     hits = expressions.join(keyed, "short").where((F.col("full") == F.col("digest")) & (F.col("h") == F.col("host_length")))
     rank = F.struct(F.length("rule").alias("n"), F.col("host_length"))
-    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), rank).alias("best"))
+    best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), rank).alias("_weft_best"))
     judged = parsed.join(best, ["host", "path"], "left")
     columns = [c for c in parsed.columns if c not in ("host", "path")]
-    return judged.select(*columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*columns, "host", "path", F.col("_weft_best.rule").alias("rule"), F.coalesce("_weft_best.rule_verdict", F.lit(default)).alias("verdict"))
