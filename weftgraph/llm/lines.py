@@ -37,7 +37,7 @@ DENSE, PROPOSALS = 64, 1
 #: Bytes of text in a block: a larger one repeats fewer words in its vocabulary.
 SLICE_BYTES = 8_000_000
 #: Bounds of the later rounds.
-LATER = (4, 1 << 40)
+LATER = (64, 1 << 40)
 NO_ID = -(1 << 63)
 _BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
 _KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4")
@@ -96,23 +96,48 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
 
 
+def _packed(columns: list[np.ndarray], part: np.ndarray, parts: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Columns cut by part: the parts that have rows, and of each column a binary value per part."""
+    order = np.argsort(part, kind="stable")
+    stops = np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.nonzero(np.diff(stops))[0]
+    out = []
+    for c in columns:
+        raw, width = np.ascontiguousarray(c[order]), c.dtype.itemsize
+        offsets = np.append(stops[used], len(raw)).astype(np.int32) * width  # parts without rows take no bytes
+        out.append(pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]))
+    return used, out
+
+
+def _unpacked(rows: pa.RecordBatch, kinds: dict[str, str]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows.column(k)]) for k, kind in kinds.items()}
+
+
 def rarity(blocks: DataFrame) -> np.ndarray:
-    """A byte per slot: 0 for words that one line has, and more for more frequent ones. 2 ** SLOTS rows at most are collected."""
+    """A byte per slot: 0 for words that one line has, and more for more frequent ones; 2 ** SLOTS bytes are collected."""
+    wide = SLOTS - 16  # log2 of the ranges that are summed side by side
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOTS, np.uint32)
         for _, x in _blocks(batches, ["vocabulary", "frequency"]):
             np.add.at(total, (x["vocabulary"] >> np.uint64(64 - SLOTS)).astype(np.int64), x["frequency"].astype(np.uint32))
-        used = np.nonzero(total)[0]
-        for i in range(0, len(used), 500_000):
-            part = used[i : i + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["slot", "n"])
-
-    counted = blocks.select("block", "vocabulary", "frequency").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    level = F.least(F.lit(127), F.round(4 * F.log2("n"))).cast("byte")
-    found = counted.select("slot", level.alias("level")).toArrow()
+        slots = np.nonzero(total)[0]
+        used, packed = _packed([(slots & 0xFFFF).astype(np.uint16), total[slots]], slots >> 16, 1 << wide)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packed], ["range", "slot", "n"])
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, r in enumerate(batch.column("range").to_pylist()):
+                slots, n = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in (("slot", "u2"), ("n", "u4")))
+                total.setdefault(r, np.zeros(1 << 16, np.int64))[slots] += n
+        found = [np.minimum(127, np.round(4 * np.log2(np.maximum(x, 1)))).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(found, pa.binary())], ["range", "level"])
+
+    counted = blocks.select("block", "vocabulary", "frequency").mapInArrow(count, "range int, slot binary, n binary")
     out = np.zeros(1 << SLOTS, np.uint8)
-    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    for r in counted.repartition("range").mapInArrow(levels, "range int, level binary").collect():
+        out[r["range"] << 16 : (r["range"] + 1) << 16] = np.frombuffer(r["level"], np.uint8)
     return out
 
 
@@ -135,8 +160,11 @@ def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, n
     return word[keep], line[keep], position[keep]
 
 
-_ROW = ["word", "k1", "k2", "size", "position", "doc_id", "line_no", "asked", "p0", "p1", "p2", "p3"]
-_ROW_TYPE = "word long, k1 long, k2 long, size int, position int, doc_id long, line_no int, asked boolean, p0 long, p1 long, p2 long, p3 long"
+#: What stands for a prefix word of a line, by kind; the last five only in later rounds.
+_ROW = dict(word="i8", k1="i8", k2="i8", size="i4", position="i4", doc_id="i8", line_no="i4")
+_LATER_ROW = dict(asked="?", p0="i8", p1="i8", p2="i8", p3="i8")
+#: Rows of a bucket of words, about.
+BUCKET_ROWS = 300_000
 
 
 def _parity(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -165,11 +193,14 @@ def _with_marked_words(x: dict[str, np.ndarray], marked: np.ndarray) -> tuple[di
 
 
 def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
-    """A row per prefix word and line, with whether it may propose.
+    """Prefix words of lines, packed: a row per block and bucket of words, with a binary value for each field.
 
     level: a broadcast table; only: broadcast bitmaps of words, and of the sets that may propose, or None for all.
     """
     names = ["vocabulary", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id"]
+    words = blocks.agg(F.sum(F.length("token") / 4)).first()[0] or 0
+    buckets = max(8, int(words * 0.2 / BUCKET_ROWS))
+    fields = _ROW | (_LATER_ROW if only is not None else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _blocks(batches, names):
@@ -178,17 +209,17 @@ def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
                 marked = _marked(only.value[0], hashes)
                 x, parity = _with_marked_words(x, marked)
             word, line, position = prefixes(x, level.value)
+            more = []
             if only is not None:
                 keep = marked[word]
                 word, line, position = word[keep], line[keep], position[keep]
-                asked, wide = _marked(only.value[1], x["k1"])[line], [pa.array(p[line]) for p in parity]
-            else:
-                asked, wide = np.ones(len(word), bool), [pa.nulls(len(word), pa.int64())] * 4
-            out = [hashes[word], x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], asked]
-            yield pa.RecordBatch.from_arrays([*[pa.array(y) for y in out], *wide], _ROW)
+                more = [_marked(only.value[1], x["k1"])[line], *[p[line] for p in parity]]
+            columns = [hashes[word], x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], *more]
+            used, packed = _packed(columns, (x["vocabulary"][word] >> np.uint64(20)).astype(np.int64) % buckets, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packed], ["bucket", *fields])
 
-    rows = blocks.select("block", *names).mapInArrow(run, _ROW_TYPE)
-    return rows if only is not None else rows.drop("p0", "p1", "p2", "p3")
+    rows = blocks.select("block", *names).mapInArrow(run, "bucket int, " + ", ".join(f"{k} binary" for k in fields))
+    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
 def _near(size_a, size_b, position_a, position_b, parity_a, parity_b) -> np.ndarray:
@@ -210,7 +241,7 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
     repeated[by_class[1:][again]] = True
     order = order[~repeated[order]]
     word, size, position, parity = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), [rows[k][order].view(np.uint64) for k in (("p0", "p1", "p2", "p3") if "p0" in rows else ("k2",))]
-    asked = rows["asked"][order]
+    asked = rows["asked"][order] if "asked" in rows else np.ones(len(order), bool)
     cuts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(word)]])
     sizes = np.diff(cuts)
     first, end = np.repeat(cuts[:-1], sizes), np.repeat(cuts[1:], sizes)
@@ -248,25 +279,25 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
 
 def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
     """(a1, a2, b1, b2, word): a class a that begins before b, and no word; or no a, and a word where b could have proposed more."""
-    names = rows.columns
-    rows = rows.repartition("word").sortWithinPartitions("word")
+    fields = {k: kind for k, kind in (_ROW | _LATER_ROW).items() if k in rows.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        now = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            last = int(np.searchsorted(now["word"], now["word"][-1]))
-            if last or (held and held[-1]["word"][-1] != now["word"][0]):
-                yield out([*held, {k: v[:last] for k, v in now.items()}])
-                held = []
-            held.append({k: v[last:] for k, v in now.items()})
+            numbers = batch.column("bucket").to_pylist()
+            for i, number in enumerate(numbers):
+                if number != now and held:
+                    yield out(held)
+                    held = []
+                now = number
+                held.append(_unpacked(batch.slice(i, 1), fields))
         if held:
             yield out(held)
 
     def out(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        x = {k: np.concatenate([p[k] for p in parts]) for k in names}
+        order = np.argsort(np.concatenate([p["word"] for p in parts]), kind="stable")
+        x = {k: np.concatenate([p[k] for p in parts])[order] for k in fields}
         same = x["word"][1:] == x["word"][:-1]
         shared = np.append(same, False) | np.insert(same, 0, False)  # words of one row link nothing
         x = {k: v[shared] for k, v in x.items()}
@@ -327,10 +358,9 @@ def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(differing <= total - 2 * F.ceil(4 * total / 9)).select("a1", "a2", "b1", "b2")
 
 
-def verified(blocks: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """Distinct (b1, b2) of pairs whose sets are similar. Only sets that the bitmap marks are read out of the blocks."""
     spark = blocks.sparkSession
-    pairs = scratch.save(parity_filter(blocks, pairs))
     marks = spark.sparkContext.broadcast(_ends(pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +389,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
     level = context.broadcast(rarity(blocks))
     found = scratch.save(candidate_pairs(prefix_rows(blocks, level), bound))
     pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
-    similar = scratch.save(verified(blocks, pairs, scratch))
+    similar = scratch.save(verified(blocks, scratch.save(parity_filter(blocks, pairs))))
     for later in LATER:
         more = scratch.save(found.where("word is not null").join(similar, ["b1", "b2"], "left_anti").select("b1", "b2", "word"))
         words = bitmap(more.select(F.col("word").alias("h")))
@@ -370,7 +400,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
         # The bitmaps mark some others too; what those propose is dropped.
         found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later).join(sets, ["b1", "b2"], "left_semi"))
         pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
-        similar = scratch.save(similar.unionByName(verified(blocks, pairs, scratch)).distinct())
+        similar = scratch.save(similar.unionByName(verified(blocks, pairs)).distinct())
     return similar
 
 
