@@ -412,21 +412,38 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, x in _blocks(batches, ["k1", "k2", "line_doc", "line_no", "doc_id"]):
-            doc = x["line_doc"].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["doc_id"][doc], x["line_no"], (number << 20) + doc)], ["k1", "k2", "doc_id", "line_no", "uid"])
+            at = np.nonzero(_firsts(x))[0]
+            doc = x["line_doc"][at].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"][at], x["k2"][at], x["doc_id"][doc], x["line_no"][at], (number << 20) + doc)], ["k1", "k2", "doc_id", "line_no", "uid"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, x in _blocks(batches, ["doc_id", "key", "n_lines"]):
-            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"])], ["uid", "doc_id", "_weft_key", "n_lines"])
+        for number, x in _blocks(batches, ["k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]):
+            again = ~_firsts(x)
+            sure = np.append(0, np.cumsum(np.bincount(x["line_doc"][again], minlength=len(x["doc_id"])))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sure), pa.array(x["line_no"][again]))
+            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"]), lists], ["uid", "doc_id", "_weft_key", "n_lines", "sure"])
 
+    # Of each class, a block sends its first line only; what it holds behind that goes in any case.
     every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lines, "k1 long, k2 long, doc_id long, line_no int, uid long")
     first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "uid")).alias("first"))
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
-    by_document = gone.groupBy("uid").agg(F.sort_array(F.collect_list("line_no")).alias("removed"))
-    all_docs = blocks.select("block", "doc_id", "key", "n_lines").mapInArrow(documents, "uid long, doc_id long, _weft_key long, n_lines int")
+    by_document = gone.groupBy("uid").agg(F.collect_list("line_no").alias("more"))
+    kept = ["block", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
+    all_docs = blocks.select(*kept).mapInArrow(documents, "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
+    removed = F.sort_array(F.concat("sure", F.coalesce("more", F.array().cast("array<int>"))))
     out = all_docs.join(by_document, "uid", "left")
-    return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", removed.alias("removed"))
+
+
+def _firsts(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether a line is the first of its class in the block."""
+    order = np.lexsort([x["line_doc"], x["line_no"], x["doc_id"][x["line_doc"]], x["k2"], x["k1"]])
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(x["k1"][order]) != 0) | (np.diff(x["k2"][order]) != 0)
+    out = np.zeros(len(order), bool)
+    out[order] = new
+    return out
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
