@@ -30,7 +30,7 @@ WORDS, CLASSES = 1024, 512
 SIZE = WORDS + CLASSES
 START = SIZE
 #: Distinct words that a task counts before it passes them on.
-HELD_WORDS = 2_000_000
+HELD_WORDS = 800_000
 
 
 def word_hash(word: bytes) -> int:

@@ -31,7 +31,7 @@ END_ID = 2
 #: Words in a worker's table before it starts anew, and their bytes.
 TABLE_WORDS, TABLE_BYTES = 900_000, 30_000_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 5_000_000
+SLICE_BYTES = 7_000_000
 _WORKERS: dict[str, WordTable] = {}
 # How the tokenizer splits a word after lower-casing, written for ASCII and the letters of Latin-1,
 # with a line break between words.
