@@ -47,9 +47,9 @@ def page_info(df: DataFrame, offset: int, limit: int) -> DataFrame:
     return df.agg(F.count("*").alias("total")).select("total", more.alias("has_more"), F.when(more, F.lit(offset + limit)).alias("next_offset"))
 
 
-def usages_of(usages: DataFrame, symbol: str, usage_type: str | None = None, module: str | None = None, exclude_generated: bool = True) -> DataFrame:
-    """Usages of a symbol, narrowed by type and module; callers in generated files are left out unless asked for."""
-    kept: Column = F.col("callee_symbol") == symbol
+def chosen(usages: DataFrame, usage_type: str | None = None, module: str | None = None, exclude_generated: bool = True) -> DataFrame:
+    """Usages of a type and a module, if given; callers in generated files are left out unless asked for."""
+    kept: Column = F.lit(True)
     if usage_type:
         kept &= F.col("usage_type") == usage_type
     if module:
@@ -59,6 +59,17 @@ def usages_of(usages: DataFrame, symbol: str, usage_type: str | None = None, mod
     return usages.where(kept)
 
 
+def usages_of(usages: DataFrame, symbol: str, usage_type: str | None = None, module: str | None = None, exclude_generated: bool = True) -> DataFrame:
+    """Usages of a symbol, narrowed as by chosen()."""
+    return chosen(usages.where(F.col("callee_symbol") == symbol), usage_type, module, exclude_generated)
+
+
+def first_usages_of_each(usages: DataFrame, symbols: list[str], n: int) -> DataFrame:
+    """The first n usages of each symbol in one query, with nth and the total of its symbol."""
+    asked = usages.sparkSession.createDataFrame([(s,) for s in symbols], "callee_symbol string")
+    return first_per_group(usages.join(asked, "callee_symbol", "left_semi"), "callee_symbol", USAGE_ORDER, n)
+
+
 def definition(usages: DataFrame, symbol: str) -> DataFrame:
     return slice_rows(usages.where((F.col("callee_symbol") == symbol) & (F.col("usage_type") == DECLARATION)), 0, 100)
 

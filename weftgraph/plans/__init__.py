@@ -129,28 +129,34 @@ class Engine:
         return {"results": [r.asDict(recursive=True) for r in found.rows.collect()], **found.info()}
 
     def find_usages(self, symbol: str, usage_type: str | None = None, module_filter: str | None = None, exclude_generated: bool = True, offset: int = 0, limit: int = 20, depth: int = 0, max_children_per_level: int = 10) -> dict:
-        """Usages of a symbol; with a depth, each caller carries its own callers, and a symbol is opened once."""
-        usages = self.table("usages")
-        out = self._page(query.usages_of(usages, symbol, usage_type, module_filter, exclude_generated), offset, limit)
+        """Usages of a symbol; with a depth, each caller carries its own callers, and a symbol is opened once.
+
+        A level is one query, whatever the number of its symbols; a page bounds the first and each row opens
+        `max_children_per_level` at most.
+        """
+        usages = query.chosen(self.table("usages"), usage_type, module_filter, exclude_generated)
+        out = self._page(usages.where(F.col("callee_symbol") == symbol), offset, limit)
         opened: set[str] = set()
         level, left = out["results"], traverse.MOST_LEVELS if depth < 0 else min(depth, traverse.MOST_LEVELS)
-        while level and left:
-            names = [n for n in dict.fromkeys(r["caller_symbol"] for r in level) if n and n not in opened]
+        while left and (names := [n for n in dict.fromkeys(r["caller_symbol"] for r in level) if n and n not in opened]):
             opened |= set(names)
-            known = {n: self._page(query.usages_of(usages, n, usage_type, module_filter, exclude_generated), 0, max_children_per_level) for n in names}
-            level, left = self._open(level, known), left - 1
+            found = query.first_usages_of_each(usages, names, max_children_per_level).orderBy("callee_symbol", "nth").collect()
+            level, left = self._open(level, names, [r.asDict(recursive=True) for r in found]), left - 1
         return out
 
     @staticmethod
-    def _open(rows: list[dict], known: dict[str, dict]) -> list[dict]:
-        """Hangs the pages of callers under the first row of each; returns their rows."""
-        below: list[dict] = []
+    def _open(rows: list[dict], names: list[str], found: list[dict]) -> list[dict]:
+        """Hangs what was found under the first row of each caller; returns it as the next level."""
+        waiting = set(names)
         for row in rows:
-            if found := known.pop(row["caller_symbol"], None):
-                shown = found["results"]
-                row |= {"children": shown, "children_total": found["total"], "children_displayed": len(shown), "children_truncated": found["has_more"]}
-                below += shown
-        return below
+            if row["caller_symbol"] in waiting:
+                waiting.remove(row["caller_symbol"])
+                shown = [f for f in found if f["callee_symbol"] == row["caller_symbol"]]
+                total = shown[0]["group_size"] if shown else 0
+                row |= {"children": shown, "children_total": total, "children_displayed": len(shown), "children_truncated": total > len(shown)}
+        for f in found:
+            del f["nth"], f["group_size"]
+        return found
 
     def raw_usages(self, symbol: str, usage_type: str | None = None, module_filter: str | None = None, exclude_generated: bool = True, offset: int = 0, limit: int = 20) -> dict:
         return self._page(query.usages_of(self.table("usages"), symbol, usage_type, module_filter, exclude_generated), offset, limit)

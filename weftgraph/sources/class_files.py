@@ -26,10 +26,11 @@ _OPERANDS = {
     197: 3,
     **dict.fromkeys([185, 186, 200, 201], 4),
 }
+# The format's letters of primitive types, and its opcodes of calls.
 _PRIMITIVE = {"B": "byte", "C": "char", "D": "double", "F": "float", "I": "int", "J": "long", "S": "short", "Z": "boolean", "V": "void"}
 INVOKE = {182: "standard", 183: "special", 184: "standard", 185: "standard"}
+# Annotations that are recorded, and superclass and package by which entities are known.
 TRANSACTIONAL, OVERRIDE = "Transactional", "Override"
-#: A superclass or package of which entities are known.
 ENTITY_BASE, ENTITY_PACKAGE, ENTITY_ROOT = "AuditableModel", ".db.", "com.axelor.db.Model"
 
 
