@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,6 +79,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             yield batch.slice(begin)
 
 
+def lean(run):
+    """run, for mapInArrow(): a worker gives unused memory back at the end of a task, as others' stages follow in it."""
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return running
+
+
 def wider(df: DataFrame, added: str) -> StructType:
     """The schema of df with added fields, as DDL, behind its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .components import connected_components, star_labels
 
 #: Classes of a bucket that one task compares with each other.
@@ -117,7 +117,7 @@ def classes(vectors: DataFrame, least: float = 0.93, tables: int = 34, projectio
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(bucket.reshape(-1))], ["node", "t", "bucket"])
 
-    buckets = scratch.save(distinct.select("node", "label", "embedding").mapInArrow(hash_rows, "node long, t int, bucket long"))
+    buckets = scratch.save(distinct.select("node", "label", "embedding").mapInArrow(lean(hash_rows), "node long, t int, bucket long"))
     shared = buckets.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -164,7 +164,7 @@ def classes(vectors: DataFrame, least: float = 0.93, tables: int = 34, projectio
             a, b, n = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
-    found = scratch.save(work.mapInArrow(compare, "a long, b long, n long"))
+    found = scratch.save(work.mapInArrow(lean(compare), "a long, b long, n long"))
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = connected_components(found.select("a", "b"), scratch)
     named = distinct.join(links, "node", "left").join(roots, "node", "left")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, slices, wider
+from .common import byte_values, lean, slices, wider
 
 UNIT, PAD = 576, 0xFF
 #: Units of one image: its height stays within the format's 65,535 rows.
@@ -368,7 +368,7 @@ def store(docs: DataFrame) -> DataFrame:
             texts = byte_values(batch.column("text"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(map(len, texts), pa.int64()), pa.array(encode([payload(t) for t in texts]), pa.binary())], [*kept, "n_bytes", "media"])
 
-    return docs.select(*kept, "text").mapInArrow(run, wider(docs.select(*kept), "n_bytes long, media binary"))
+    return docs.select(*kept, "text").mapInArrow(lean(run), wider(docs.select(*kept), "n_bytes long, media binary"))
 
 
 ADDED = "width int, height int, images int, thumbnail binary, thumbnail_hash string, mean_hash string, payload binary"
@@ -387,7 +387,7 @@ def read(media: DataFrame) -> DataFrame:
             made = [pa.array(w, pa.int32()), pa.array(h, pa.int32()), pa.array(n, pa.int32()), pa.array(pixels, pa.binary()), pa.array(marks, pa.string()), pa.array(mean, pa.string()), pa.array(stored, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], [*kept, *names])
 
-    return media.select(*kept).mapInArrow(run, wider(media.select(*kept), ADDED))
+    return media.select(*kept).mapInArrow(lean(run), wider(media.select(*kept), ADDED))
 
 
 def digests(read_back: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, numbered, slices, split_words
+from .common import Scratch, keyed, lean, numbered, slices, split_words
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 24, 26
@@ -93,7 +93,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             made = block(batch.column("text"), ids, batch.column("_weft_key").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([made[k].tobytes()], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
-    return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(run, "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
+    return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(lean(run), "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
 
 
 def _packed(columns: list[np.ndarray], part: np.ndarray, parts: int) -> tuple[np.ndarray, list[pa.Array]]:
@@ -134,9 +134,9 @@ def rarity(blocks: DataFrame) -> np.ndarray:
         found = [np.minimum(127, np.round(4 * np.log2(np.maximum(x, 1)))).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(found, pa.binary())], ["range", "level"])
 
-    counted = blocks.select("block", "vocabulary", "frequency").mapInArrow(count, "range int, slot binary, n binary")
+    counted = blocks.select("block", "vocabulary", "frequency").mapInArrow(lean(count), "range int, slot binary, n binary")
     out = np.zeros(1 << SLOTS, np.uint8)
-    for r in counted.repartition("range").mapInArrow(levels, "range int, level binary").collect():
+    for r in counted.repartition("range").mapInArrow(lean(levels), "range int, level binary").collect():
         out[r["range"] << 16 : (r["range"] + 1) << 16] = np.frombuffer(r["level"], np.uint8)
     return out
 
@@ -218,7 +218,7 @@ def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
             used, packed = _packed(columns, (x["vocabulary"][word] >> np.uint64(20)).astype(np.int64) % buckets, buckets)
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packed], ["bucket", *fields])
 
-    rows = blocks.select("block", *names).mapInArrow(run, "bucket int, " + ", ".join(f"{k} binary" for k in fields))
+    rows = blocks.select("block", *names).mapInArrow(lean(run), "bucket int, " + ", ".join(f"{k} binary" for k in fields))
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
@@ -317,7 +317,7 @@ def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
             ["a1", "a2", "b1", "b2", "word"],
         )
 
-    return rows.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, word long")
+    return rows.mapInArrow(lean(run), "a1 long, a2 long, b1 long, b2 long, word long")
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -349,7 +349,7 @@ def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["size"], *_parity(x))], ["k1", "k2", "size", "p0", "p1", "p2", "p3"])
 
     words = ["p0", "p1", "p2", "p3"]
-    rows = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(run, "k1 long, k2 long, size int, p0 long, p1 long, p2 long, p3 long")
+    rows = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(lean(run), "k1 long, k2 long, size int, p0 long, p1 long, p2 long, p3 long")
     known = rows.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in ("size", *words)])
     a, b = (known.select(F.col("k1").alias(f"{e}1"), F.col("k2").alias(f"{e}2"), *[F.col(c).alias(f"{e}_{c}") for c in ("size", *words)]) for e in "ab")
     both = pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
@@ -374,7 +374,7 @@ def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
             sets = pa.ListArray.from_arrays(pa.array(ends), pa.array(x["vocabulary"].view(np.int64)[x["token"]]))
             yield pa.RecordBatch.from_arrays([pa.array(x["k1"]), pa.array(x["k2"]), sets], ["k1", "k2", "words"])
 
-    sets = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(run, "k1 long, k2 long, words array<long>")
+    sets = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(lean(run), "k1 long, k2 long, words array<long>")
     sets = sets.groupBy("k1", "k2").agg(F.first("words").alias("words"))
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("words").alias("wa"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("wb"))
@@ -424,13 +424,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"]), lists], ["uid", "doc_id", "_weft_key", "n_lines", "sure"])
 
     # Of each class, a block sends its first line only; what it holds behind that goes in any case.
-    every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lines, "k1 long, k2 long, doc_id long, line_no int, uid long")
+    every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lean(lines), "k1 long, k2 long, doc_id long, line_no int, uid long")
     first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "uid")).alias("first"))
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
     by_document = gone.groupBy("uid").agg(F.collect_list("line_no").alias("more"))
     kept = ["block", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
-    all_docs = blocks.select(*kept).mapInArrow(documents, "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
+    all_docs = blocks.select(*kept).mapInArrow(lean(documents), "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
     removed = F.sort_array(F.concat("sure", F.coalesce("more", F.array().cast("array<int>"))))
     out = all_docs.join(by_document, "uid", "left")
     return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", removed.alias("removed"))
@@ -464,4 +464,4 @@ def dedupe(docs: DataFrame) -> DataFrame:
                     texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(lean(run), docs.schema)

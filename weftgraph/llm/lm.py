@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, split_words, wider
+from .common import lean, slices, split_words, wider
 
 #: Words that have an entry of their own, and classes of the others. START is one more history.
 WORDS, CLASSES = 1024, 512
@@ -72,7 +72,7 @@ def count_words(docs: DataFrame, limit: int = WORDS) -> list[int]:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(limit).collect()]
 
 
@@ -94,7 +94,7 @@ def count_bigrams(docs: DataFrame, top: list[int]) -> tuple[np.ndarray, np.ndarr
             part = used[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *[pa.array(total[k, part].astype(np.int64)) for k in (0, 1)]], ["cell", "target", "background"])
 
-    counted = docs.select("text", "is_target").mapInArrow(run, "cell int, target long, background long")
+    counted = docs.select("text", "is_target").mapInArrow(lean(run), "cell int, target long, background long")
     summed = counted.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     out = np.zeros((2, SIZE * (SIZE + 1)))
     for i, name in enumerate(("target", "background")):
@@ -134,4 +134,4 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
             none = n == 0
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n), *[pa.array(x, mask=none) for x in (t, b, t - b)]], [*kept, "n_words", "target_loss", "background_loss", "difference"])
 
-    return docs.select(*kept, "text").mapInArrow(run, wider(docs.select(*kept), "n_words long, target_loss double, background_loss double, difference double"))
+    return docs.select(*kept, "text").mapInArrow(lean(run), wider(docs.select(*kept), "n_words long, target_loss double, background_loss double, difference double"))

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Index, Runs, slices, wider
+from .common import Index, Runs, lean, slices, wider
 
 MARK = "\u2581"
 #: Chunks, and their characters, in a worker's table before it starts anew.
-TABLE_CHUNKS, TABLE_CHARS = 600_000, 20_000_000
+TABLE_CHUNKS, TABLE_CHARS = 300_000, 10_000_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 2_500_000
 _WORKERS: dict[str, ChunkTable] = {}
 
 
@@ -103,7 +105,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _table(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             n, ids, decoded = tokens.encode([x or "" for x in batch.column("text").to_pylist()])
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -113,7 +115,7 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
         tokens.clear()  # a worker lives on, and what it runs next needs the memory
 
     docs = docs.select(*kept)
-    return docs.mapInArrow(run, wider(docs, "n_tokens long, ids array<int>, decoded string"))
+    return docs.mapInArrow(lean(run), wider(docs, "n_tokens long, ids array<int>, decoded string"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

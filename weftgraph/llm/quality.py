@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, slices, split_words, wider
+from .common import byte_values, lean, slices, split_words, wider
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 LABELLERS = ["capitals", "symbols", "bars", "exclamations", "neighbours", "variety", "sentences", "prose"]
@@ -167,7 +167,7 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
 
-    found = texts.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    found = texts.mapInArrow(lean(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in found}
     total = sum(counts.values())
     labellers = fit_labellers(counts) if counts else (0.5, _FIRST_GUESS)
@@ -188,7 +188,7 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
     # About `sample` documents by hash, and never more.
     share = min(1.0, sample / max(total, 1))
     drawn = texts.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = drawn.mapInArrow(featured, "slots array<int>, vals array<float>, bad double").limit(sample).toArrow() if total else None
+    rows = drawn.mapInArrow(lean(featured), "slots array<int>, vals array<float>, bad double").limit(sample).toArrow() if total else None
     if rows is not None and rows.num_rows:
         pairs = [(np.array(s.values), np.array(v.values, np.float64)) for s, v in zip(rows.column("slots"), rows.column("vals"), strict=True)]
         weights, bias = train(pairs, rows.column("bad").to_numpy())
@@ -207,4 +207,4 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
             good = np.where(n > 0, 1 / (1 + np.exp(np.clip(z, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bad), pa.array(good), pa.array(good >= least)], [*kept, "bad_posterior", "score", "kept"])
 
-    return docs.select(*kept).mapInArrow(score, wider(docs.select(*kept), "bad_posterior double, score double, kept boolean"))
+    return docs.select(*kept).mapInArrow(lean(score), wider(docs.select(*kept), "bad_posterior double, score double, kept boolean"))

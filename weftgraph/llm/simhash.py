@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, keyed, numbered, slices, wider
+from .common import Scratch, byte_values, keyed, lean, numbered, slices, wider
 from .components import connected_components, star_labels
 
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             bits = np.array([fingerprint(x, shingle) for x in byte_values(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(bits)], [*kept, "fingerprint"])
 
-    return docs.select(*kept, "text").mapInArrow(run, wider(docs.select(*kept), "fingerprint long"))
+    return docs.select(*kept, "text").mapInArrow(lean(run), wider(docs.select(*kept), "fingerprint long"))
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -175,7 +175,7 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 6) -> Data
         a, b = group_links(keys, values, distance)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(lean(run), "a long, b long")
 
 
 def _classes(docs: DataFrame, distance: int, shingle: int) -> DataFrame:

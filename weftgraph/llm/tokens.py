@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Index, Runs, Scratch, slices, split_words
+from .common import Index, Runs, Scratch, lean, slices, split_words
 
 END_ID = 2
 #: Words in a worker's table before it starts anew, and their bytes.
@@ -157,7 +157,7 @@ def _rank_table(ids: DataFrame) -> list[int]:
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = ids.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
 
 
@@ -173,7 +173,7 @@ def write_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFr
             raw, stops = ids.astype("<u2").tobytes(), (2 * np.concatenate([[0], np.cumsum(n)])).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b] for a, b in zip(stops, stops[1:], strict=False)], pa.binary())], ["doc_id", "ids"])
 
-    ids = scratch.save(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), compression="zstd")
+    ids = scratch.save(docs.select("doc_id", "text").mapInArrow(lean(encode), "doc_id long, ids binary"), compression="zstd")
     ranked = _rank_table(ids)
     rank_of = np.zeros(1 << 16, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
@@ -192,7 +192,7 @@ def write_ids(docs: DataFrame, tokenizer: str, scratch: Scratch) -> tuple[DataFr
             nth += len(raw)
 
     ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").withColumn("shard", F.spark_partition_id())
-    files = scratch.save(ordered.select("shard", "doc_id", "ids").mapInArrow(to_ranks, "shard int, nth long, doc_id long, n_tokens long, control binary, data binary"), compression="uncompressed")
+    files = scratch.save(ordered.select("shard", "doc_id", "ids").mapInArrow(lean(to_ranks), "shard int, nth long, doc_id long, n_tokens long, control binary, data binary"), compression="uncompressed")
     scratch.drop(ids)
     ranks = scratch.save(spark.createDataFrame(list(enumerate(ranked)), "rank int, id long"))
     return files, ranks
@@ -212,7 +212,7 @@ def read_ids(files: DataFrame, ranks: DataFrame) -> DataFrame:
             sums = [zlib.crc32(raw[a:b]) for a, b in zip(stops, stops[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("shard", "nth", "doc_id", "n_tokens")], pa.array(sums, pa.int64())], ["shard", "nth", "doc_id", "n_tokens", "ids_crc32"])
 
-    read = files.mapInArrow(decode, "shard int, nth long, doc_id long, n_tokens long, ids_crc32 long")
+    read = files.mapInArrow(lean(decode), "shard int, nth long, doc_id long, n_tokens long, ids_crc32 long")
     # A row per shard, and the shards are as many as the writing job had tasks.
     per_shard = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     per_shard = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
