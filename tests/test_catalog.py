@@ -1,8 +1,10 @@
 """Every registered graph query against its SQL in DuckDB, over the smallest tables."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from weftgraph import catalog
@@ -12,10 +14,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables"
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
-    if isinstance(value, float):
-        return repr(round(value, 6))
+    if isinstance(value, numbers.Number) and not isinstance(value, bool):
+        return repr(round(float(value), 6))  # nullable integers come as floats from one side
     return str(value.tolist() if hasattr(value, "tolist") else value)
 
 
