@@ -278,6 +278,64 @@ def test_lm_difference_matches_brute_force(spark, monkeypatch):
     assert lm.score(docs.limit(0), wanted).count() == 0
 
 
+def exact_differences(texts, chosen):
+    """Losses of both models by plain counts over all words; chosen: places of the target's texts."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    size = max(lm.SIZE, len({w for x in words for w in x}))
+
+    def model(texts):
+        pair, history, single = {}, {}, {}
+        for x in texts:
+            for a, b in zip([None, *x], x, strict=False):
+                pair[a, b] = pair.get((a, b), 0) + 1
+                history[a] = history.get(a, 0) + 1
+                single[b] = single.get(b, 0) + 1
+        total = sum(single.values()) + size
+        return lambda a, b: -np.log2((pair.get((a, b), 0) + 50 * (single.get(b, 0) + 1) / total) / (history.get(a, 0) + 50))
+
+    models = model([words[i] for i in chosen]), model(words)
+    return [[np.mean([m(a, b) for a, b in zip([None, *x], x, strict=False)]) for m in models] if x else None for x in words]
+
+
+def check_differences(spark, docs, wanted):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    chosen = {r["doc_id"] for r in wanted.collect()} - {None}
+    expected = exact_differences([t for _, t in rows], [i for i, (d, _) in enumerate(rows) if d in chosen])
+    found = lm.score(docs, wanted).collect()
+    assert len(found) == len(rows)
+    by_id = {}
+    for (i, t), x in zip(rows, expected, strict=True):
+        by_id.setdefault(i, []).append((len((t or "").encode().split()), *([None] * 3 if x is None else [*x, x[0] - x[1]])))
+    got = {}
+    for r in found:
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["target_loss"], r["background_loss"], r["difference"]))
+    assert got.keys() == by_id.keys()
+    for i in got:
+        for a, b in zip(sorted(got[i], key=str), sorted(by_id[i], key=str), strict=True):
+            assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_lm_difference_holds_every_word(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"W{int(x)}" for x in rng.zipf(1.3, int(rng.integers(0, 400))) % 50_000)) for i in range(300)]
+    rows += [(7, "w1 w2 only-here"), (None, "w1 unnamed"), (None, "w1 w2 w3"), (900, None), (901, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({w for _, t in rows for w in (t or "").lower().split()}) > 3 * lm.SIZE
+    wanted = spark.createDataFrame([(i,) for i in [*range(0, 300, 7), 7, None, 5000]], "doc_id int")
+    check_differences(spark, docs, wanted)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(lm, "WORDS", 3_000)
+    check_differences(spark, docs, wanted)
+    check_differences(spark, docs, wanted.limit(0))
+
+
+@needs_tables
+def test_lm_difference_of_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100_000)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    check_differences(spark, docs, spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id"))
+
+
 def test_targets_share_the_excess():
     found = mixing.targets([(None, 10), ("b", 1000), ("a", 10), ("c", 500)])
     assert [x[0] for x in found] == ["a", "b", "c", None]

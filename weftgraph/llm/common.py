@@ -79,17 +79,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Gives a worker's unused memory back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(run):
     """run, for mapInArrow(): a worker gives unused memory back at the end of a task, as others' stages follow in it."""
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return running
 
