@@ -13,6 +13,7 @@ import pytest
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from weftgraph.llm import jpeg, lm, mixing, pieces, quality, queries, tokens
 from weftgraph.llm.common import Scratch, split_words
@@ -369,6 +370,41 @@ def test_mix_comes_near_its_targets(spark, monkeypatch):
     assert mixing.shares(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def cut_mix(rows, seed=7, repeats=3):
+    """Passes by (doc_id, source): all entries of all passes, sorted by finish time and cut off at the total budget. rows: (hash, doc_id, source, size)"""
+    plan = mixing.targets([(s, sum(r[3] for r in rows if r[2] == s)) for s in sorted({r[2] for r in rows})], repeats=repeats)
+    entries = []
+    for i, (name, _, target) in enumerate(plan):
+        served = 0
+        for _ in range(repeats):
+            for _, doc, _, size in sorted(r for r in rows if r[2] == name):
+                served += size
+                if size:
+                    entries.append((served / target, i, served, size, doc, name))
+    left, passes = sum(r[3] for r in rows), {(r[1], r[2]): 0 for r in rows}
+    for _, _, _, size, doc, name in sorted(entries):
+        if size > left:
+            break
+        left -= size
+        passes[doc, name] += 1
+    return passes
+
+
+def test_mix_is_cut_off_at_the_budget(spark):
+    several = 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        rows = [(i, "w " * int(rng.integers(0, 4)), ["a", "b"][i % 2]) for i in range(60)] + [(100 + i, "w " * int(rng.integers(40, 90)), "c") for i in range(3)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        found = mixing.shares(docs)
+        hashed = found.select(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "size"), 61).alias("b"), F.xxhash64(F.lit(7), "doc_id", "size").alias("h"), "doc_id", "source", "size", "passes", "taken", "target").collect()
+        expected = cut_mix([((r["b"], r["h"]), r["doc_id"], r["source"], r["size"]) for r in hashed])
+        assert {(r["doc_id"], r["source"]): r["passes"] for r in hashed} == expected
+        over = {s: sum(r["taken"] for r in hashed if r["source"] == s) - next(r["target"] for r in hashed if r["source"] == s) for s in "abc"}
+        several += max(over["a"], over["b"]) >= 3  # more than one entry of at most three words after time 1
+    assert several
+
+
 @needs_tables
 def test_pipeline_keeps_what_its_stages_say(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -62,9 +62,10 @@ def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2,
     """Adds source_size, target, taken, passes and finish to narrow rows with doc_id, source and size.
 
     `finish` is the virtual finish time of a row's first entry. At time 1 each source has served its target at most, so
-    the entries up to time 1 fit the total budget; of the later ones only the first of each source can still fit, and
-    they are taken in order of finish time while the budget lasts. What goes to the driver is two rows per source, and
-    the number of sources is small by nature.
+    the entries up to time 1 fit the total budget, and how many of them a row has follows from its running sum. Later ones
+    are taken in order of finish time up to the first that doesn't fit, as if all entries were sorted and cut off there. No
+    source can serve more after time 1 than the budget then left, which is below the sizes of one document per source: only
+    entries that begin within it go to the driver, and the number of sources is small by nature.
     """
     spark = sized.sparkSession
     stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -79,21 +80,26 @@ def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2,
     df = df.withColumn("_b", F.shiftrightunsigned(F.col("_h"), 65 - buckets.bit_length()))
     df = _running(df, "_s", "_b", [F.col("_h"), F.col("doc_id")], "size", "_end")
     served = (F.col("size") > 0) & (F.col("target") > 0)
-    whole = F.when(served, F.greatest(F.lit(0), F.floor((F.col("target") - F.col("_end")) / F.col("source_size")) + 1)).otherwise(0)
-    df = df.withColumn("_whole", whole.cast("int")).withColumn("_next", F.col("_whole") * F.col("source_size") + F.col("_end"))
-    df = df.withColumn("_late", F.when(served & (F.col("_next") - F.col("size") < F.col("target")), F.col("_next") / F.col("target")))
+
+    def passes(until: Column) -> Column:
+        """How many entries of a row end by a place of its source's queue."""
+        return F.when(served, F.greatest(F.lit(0), F.floor((until - F.col("_end")) / F.col("source_size")) + 1)).otherwise(0).cast("int")
+
     df = scratch.save(df)
-    left = sum(size for _, size, _ in plan) - (df.agg(F.sum(F.col("_whole") * F.col("size"))).first()[0] or 0)
-    fitting = []
-    for row in sorted(df.where("_late is not null").select("_late", "_s", "size").collect()):
+    left = sum(size for _, size, _ in plan) - (df.agg(F.sum(passes(F.col("target")) * F.col("size"))).first()[0] or 0)
+    times = F.sequence(F.lit(0), F.lit(repeats - 1))
+    later = df.where(served).select("_s", "size", "target", F.explode(F.transform(times, lambda k: k * F.col("source_size") + F.col("_end"))).alias("_at"))
+    later = later.where((F.col("_at") > F.col("target")) & (F.col("_at") - F.col("size") < F.col("target") + left))
+    ends = {i: t for i, (_, _, t) in enumerate(plan)}
+    for row in sorted(later.select((F.col("_at") / F.col("target")).alias("_time"), "_s", "_at", "size").collect()):
         if row["size"] > left:
             break
         left -= row["size"]
-        fitting.append(row["_s"])
-    extra = F.col("_late").isNotNull() & F.col("_s").isin(fitting)
-    df = df.withColumn("passes", F.col("_whole") + extra.cast("int"))
+        ends[row["_s"]] = float(row["_at"])
+    df = df.join(F.broadcast(spark.createDataFrame(list(ends.items()), "_s int, _until double")), "_s")
+    df = df.withColumn("passes", passes(F.col("_until")))
     df = df.withColumn("taken", F.col("passes").cast("long") * F.col("size")).withColumn("finish", F.when(served, F.col("_end") / F.col("target")))
-    return df.drop("_h", "_b", "_end", "_whole", "_next", "_late", "_s")
+    return df.drop("_h", "_b", "_end", "_until", "_s")
 
 
 def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
