@@ -206,6 +206,20 @@ def test_pictures_of_other_encoders(size, sampling, interval, scans):
     assert none is None and (bad is None or bad[3] != found[3])
 
 
+def test_features_cover_all_images():
+    unit = jpeg.UNIT * jpeg.IMAGE_UNITS
+    texts = [b"a" * unit, b"a" * unit + b"\x01" * unit, b"a" * unit + b"\x01" * jpeg.UNIT, b"a" * (unit // 2) + b"\x01" * unit]
+    one, two, little, half = jpeg.decode(jpeg.encode([jpeg.payload(t) for t in texts]))
+    high = 8 * 3 * jpeg.IMAGE_UNITS
+    assert [x[:3] for x in (one, two, little)] == [(24, high, 1), (24, 2 * high, 2), (24, high + 24, 2)]
+    assert len({x[4] for x in (one, two, half)}) == 3
+    assert {two[4]} <= {"ffffffff00000000", "00000000ffffffff"}  # one value in each of both images
+    rng = np.random.default_rng(0)
+    picture = rng.integers(0, 256, (64, 24))
+    small = picture.reshape(8, 8, 8, 3).mean(axis=(1, 3))
+    assert jpeg.mean_hash([picture[:16], picture[16:]]) == np.packbits(small > small.mean()).tobytes().hex()
+
+
 def test_labellers_find_their_defects():
     texts = ["A sound sentence of many different words, as people write them. " * 1, "THESE!! ARE!! LOUD!! WORDS!! AND!! MORE!! OF!! THEM!! HERE!!", "a*** b$$$ c%%% d&&& e### f*** g$$$ h%%%", "one | two | three | four | five | six | seven | eight |", "same same same same same same same same same same same same same same same same same same same same"]
     x = quality.Measured(pa.array([*texts, "", None]))

@@ -322,15 +322,27 @@ def thumbnail(image: Image, luminance: np.ndarray) -> np.ndarray:
     return np.clip((dc + 4 >> 3) + 128, 0, 255).astype(np.uint8)
 
 
-def mean_hash(pixels: np.ndarray) -> str:
-    """16 hex digits: which of 8x8 sampled pixels are above their mean."""
-    rows, columns = (np.arange(8) * n // 8 for n in pixels.shape)
-    small = pixels[rows[:, None], columns]
+def _areas(pixels: np.ndarray) -> np.ndarray:
+    """Means of 8 areas along the first axis, which cover all of it; areas of fewer than 8 rows share rows."""
+    n = len(pixels)
+    at = np.arange(8)
+    begin = at * n // 8
+    end = np.maximum(-(-(at + 1) * n // 8), begin + 1)
+    sums = np.concatenate([np.zeros((1, pixels.shape[1])), np.cumsum(pixels, axis=0, dtype=np.float64)])
+    return (sums[end] - sums[begin]) / (end - begin)[:, None]
+
+
+def mean_hash(pictures: list[np.ndarray]) -> str:
+    """16 hex digits: which of 8x8 areas are above their mean; pictures stand one below the other, each over the full width."""
+    small = _areas(np.concatenate([_areas(x.T).T for x in pictures]))
     return np.packbits(small > small.mean()).tobytes().hex()
 
 
 def decode(values: list[bytes | None]) -> list[tuple | None]:
-    """(width, height, images, thumbnail, mean hash, payload) of each media value; sizes are of the first image."""
+    """(width, height, images, thumbnail, mean hash, payload) of each media value.
+
+    Images of a value stand one below the other: its width is that of the widest, its height the sum of all.
+    """
     tables, parsed, base = Tables(), [], 0
     for value in values:
         try:
@@ -355,7 +367,7 @@ def decode(values: list[bytes | None]) -> list[tuple | None]:
         pixels = [thumbnail(i, p) for i, p in zip(images, parts, strict=True)]
         # The magnitude bits of a coefficient of eight bits are its byte.
         stored = b"".join(np.where(p < 0, p + 255, p).astype(np.uint8).tobytes() for p in parts)
-        out.append((images[0].width, images[0].height, len(images), b"".join(x.tobytes() for x in pixels), mean_hash(pixels[0]), stored))
+        out.append((max(i.width for i in images), sum(i.height for i in images), len(images), b"".join(x.tobytes() for x in pixels), mean_hash(pixels), stored))
     return out
 
 
