@@ -129,6 +129,15 @@ def codes(symbols, short):
     return bytes(counts) + bytes(symbols), out | {s: (9, (short << 6) + i) for i, s in enumerate(symbols[short:])}
 
 
+@needs_tables
+def test_payloads_are_read_from_storage(spark):
+    found = queries.op4_jpeg_payloads(spark, SMALL)
+    files = found.inputFiles()
+    assert files and not any("documents.parquet" in f for f in files)
+    direct = jpeg.digests(jpeg.read(jpeg.store(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text"))))
+    assert sorted(map(str, found.collect())) == sorted(map(str, direct.collect()))
+
+
 def encode_picture(width, height, sampling, interval, seed, scans=None):
     """(file, coefficients of the first component by block row and column)."""
     rng = np.random.default_rng(seed)

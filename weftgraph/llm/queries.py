@@ -27,7 +27,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jpeg_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jpeg.digests(jpeg.read(jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    stored = Scratch(spark).save(jpeg.store(table(spark, sf_dir, "documents").select("doc_id", "text")), compression="zstd")
+    return jpeg.digests(jpeg.read(stored))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
