@@ -44,3 +44,14 @@ def test_query_matches_sql(spark, oracle, name):
 
 def test_all_but_the_tree_have_sql():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"g6_impact_tree"}
+
+
+def test_cyclic_closure_meets_its_end(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    found = {r["symbol"]: r["depth"] for r in catalog.QUERIES["g6_impact_closure_cyclic_whole"](spark, sf_dir).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf_dir}/events.parquet')")
+    assert max(found.values()) > 2  # a search of two levels ends before
+    assert found == dict(db.execute(catalog.ORACLE_SQL["g6_impact_closure_cyclic_whole"]).fetchall())

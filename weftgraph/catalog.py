@@ -546,6 +546,12 @@ def _(g: Graph) -> DataFrame:
     return traverse.impact_closure(g.event_edges, "u7", 2)
 
 
+# To the end of the search: each symbol once, at its smallest distance.
+@register("g6_impact_closure_cyclic_whole", "WITH RECURSIVE walk(symbol, depth) USING KEY (symbol) AS (SELECT 'u7', 0 UNION SELECT e.from_fqn, min(w.depth) + 1 FROM walk w JOIN (SELECT DISTINCT from_fqn, to_fqn FROM event_edges) e ON e.to_fqn = w.symbol LEFT JOIN recurring.walk k ON k.symbol = e.from_fqn WHERE k.symbol IS NULL GROUP BY 1) SELECT symbol, depth FROM walk")
+def _(g: Graph) -> DataFrame:
+    return traverse.impact_closure(g.event_edges, "u7", -1)
+
+
 @register("g6_impact_tree")
 def _(g: Graph) -> DataFrame:
     return traverse.impact_rows(g.calls, PART, 3, ["from_fqn", "from_line"])
