@@ -13,6 +13,7 @@ import pytest
 import corpus_pipeline
 import public_tokenizers
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from weftgraph.llm import jpeg, lm, mixing, pieces, quality, queries, tokens
@@ -442,3 +443,42 @@ def test_pipeline_keeps_what_its_stages_say(spark):
     assert final == sorted(map(str, docs.collect()))
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     assert docs.join(labels.where("quality = 0"), "doc_id").count() <= 1
+
+
+@needs_tables
+def test_pipeline_matches_plain_stages(spark):
+    """Line dedup, near-dedup, mix and encoding in plain Python, behind the quality stage."""
+    good = corpus_pipeline.good_texts(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    docs = sorted((r["doc_id"], r["text"] or "", r["source"]) for r in good.collect())
+    assert len({d for d, _, _ in docs}) == len(docs)
+    seen, kept_lines = {}, []
+    for doc, text, source in docs:
+        kept = []
+        for line in text.split("\n"):
+            words = frozenset(line.encode().lower().split())
+            if not words or (words not in seen and not any(5 * len(words & x) >= 4 * len(words | x) for x in seen if 5 * len(x) >= 4 * len(words) and 5 * len(words) >= 4 * len(x))):
+                kept.append(line)
+            seen[words or None] = True
+            seen.pop(None, None)
+        kept_lines.append((doc, "\n".join(kept), source))
+
+    def bits(text):
+        words = text.encode().lower().split()
+        grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    marks, root = [bits(t) for _, t, _ in kept_lines], list(range(len(kept_lines)))
+    for i in range(len(marks)):
+        for j in range(i):
+            if (marks[i] ^ marks[j]).bit_count() <= 3 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    unique = [x for i, x in enumerate(kept_lines) if root[i] == i]
+    sized = spark.createDataFrame([(d, s, len(t.encode().split())) for d, t, s in unique], "doc_id long, source string, size long")
+    hashed = sized.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "size")).withColumn("b", F.shiftrightunsigned("h", 61)).collect()
+    passes = cut_mix([((r["b"], r["h"]), r["doc_id"], r["source"], r["size"]) for r in hashed])
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    expected = [(d, s, model.encode(t)) for d, t, s in unique for _ in range(passes[d, s])]
+    found = [(r["doc_id"], r["source"], list(r["ids"])) for r in corpus_pipeline.run(spark, SMALL).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str)
