@@ -1,6 +1,7 @@
 """Operators on pairs and lines against brute force over small, awkward tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -180,11 +181,10 @@ def line_documents():
     return rows
 
 
-@pytest.mark.parametrize(("dense", "proposals"), [(64, 1), (2, 1), (64, 8)])
-def test_removed_lines_match_brute_force(spark, monkeypatch, dense, proposals):
-    monkeypatch.setattr(lines, "DENSE", dense)
-    monkeypatch.setattr(lines, "PROPOSALS", proposals)
-    rows = line_documents()
+@pytest.mark.parametrize("hot", [lines.HOT, 3])
+def test_removed_lines_match_brute_force(spark, hot):
+    """Also with nearly all words hot, and with a line of 40,000 words."""
+    rows = [*line_documents(), (200, " ".join(f"x{i}" for i in range(40_000))), (201, " ".join(f"x{i}" for i in range(3000, 40_000)))]
     every = [(d if d is not None else -1, k, i, frozenset(x.lower().split())) for i, (d, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.split()]
     first = {}
     for d, k, i, s in sorted(every, key=lambda x: x[:3]):
@@ -196,15 +196,47 @@ def test_removed_lines_match_brute_force(spark, monkeypatch, dense, proposals):
             gone.setdefault(i, []).append(k)
     expected = sorted(((d, len(t.split("\n")) if t else 0, sorted(gone.get(i, []))) for i, (d, t) in enumerate(rows)), key=repr)
     table = spark.createDataFrame([(d, t, i, "k") for i, (d, t) in enumerate(rows)], "doc_id long, text string, uid int, removed string")
-    found = lines.removed_lines(table.coalesce(1)).select("doc_id", "n_lines", "removed")
+    found = lines.removed_lines(table.coalesce(1), hot).select("doc_id", "n_lines", "removed")
     assert sorted((tuple(r) for r in found.collect()), key=repr) == expected
-    if proposals == 8:
+    if hot == lines.HOT:
         kept = lines.dedupe(table)
         texts = {(r["uid"], r["text"]) for r in kept.collect()}
         exact = {(i, t if i not in gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, (d, t) in enumerate(rows) if d != 10}
         assert exact <= texts and len(texts) == len(rows) and kept.columns == table.columns
 
 
+def near_sets(rng, n, words):
+    """Sets of words in which many are near copies of others, in order of time."""
+    base = [rng.choice(words, int(k), replace=False) for k in rng.integers(3, 24, n // 8)]
+    out = []
+    for _ in range(n):
+        some = set(base[int(rng.integers(len(base)))].tolist())
+        for _ in range(int(rng.integers(0, 4))):
+            some ^= {int(rng.integers(words))}
+        out.append(frozenset(some))
+    return list(dict.fromkeys(x for x in out if x))
+
+
+@pytest.mark.parametrize(("hot", "long", "dense", "words"), [(1 << 16, 320, 64, 60), (1 << 16, 320, 4, 60), (2, 320, 4, 60), (20, 320, 64, 40), (2, 10, 64, 60), (30, 12, 4, 60)])
+def test_groups_lose_no_similar_sets(monkeypatch, hot, long, dense, words):
+    """Without a bound, the rows of groups hold every similar pair, whatever is hot, long or dense."""
+    monkeypatch.setattr(lines, "DENSE", dense)
+    monkeypatch.setattr(lines, "LONG", long)
+    sets = near_sets(np.random.default_rng(words + hot), 400, words)
+    text = "\n".join(" ".join(f"w{x}" for x in s) for s in sets)
+    block = lines.block(pa.array([text]), np.array([1]), np.array([0]))
+    slot = (block["vocabulary"] >> np.uint64(64 - lines.SLOTS)).astype(np.int64)
+    level = np.zeros(1 << lines.SLOTS, np.uint8)
+    level[slot] = lines.levels_of(np.bincount(slot, block["frequency"])[slot], hot)
+    _, rows = lines._rows(block, level, None)
+    a, b, more = lines.proposals(rows, 1 << 40)
+    assert not len(more["word"])
+    of = {(int(x), int(y)): i for i, (x, y) in enumerate(zip(block["k1"], block["k2"], strict=True))}
+    found = {(of[int(w), int(x)], of[int(y), int(z)]) for w, x, y, z in zip(a["k1"], a["k2"], b["k1"], b["k2"], strict=True)}
+    near = {(i, j) for j, s in enumerate(sets) for i, o in enumerate(sets[:j]) if 5 * len(s & o) >= 4 * len(s | o)}
+    assert near <= found and len(near) > 100 and all(i < j for i, j in found)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.classes(none).count() == 0 and lines.removed_lines(none).count() == 0 and lines.dedupe(none).count() == 0

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,20 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, _UPPER, _LOWER)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has ended: its result is written, and nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Written tables in the folder that the cluster names in spark.checkpoint.dir.
 
@@ -48,7 +63,8 @@ class Scratch:
     def save(self, df: DataFrame, **options: str) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.options(**options).parquet(path)
+        with _shuffles_removed(self.spark):
+            df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weft_path = path
         return out
@@ -62,7 +78,24 @@ class Scratch:
 
 def byte_values(array: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null counts as empty."""
-    return [b"" if x is None else x for x in array.cast(pa.binary()).to_pylist()]
+    array = pc.fill_null(array.cast(pa.binary()), b"")
+    if not len(array):
+        return []
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(whole[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+
+def packed(values: np.ndarray, kind: str) -> bytes:
+    """Values by byte planes: those of high bytes are mostly zero and compress well."""
+    values = np.ascontiguousarray(values).astype(kind)
+    return values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
+
+
+def unpacked(parts: list[bytes], kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *[np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, len(x) // width).T).view(kind).reshape(-1) for x in parts]])
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -150,7 +183,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = parts.flatten().dictionary_encode()
     n = pc.list_value_length(parts).to_numpy().astype(np.int64)
-    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.binary()).to_pylist()
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), byte_values(coded.dictionary)
     if b"" in distinct:  # before leading white space, behind trailing, and of an empty text
         empty = distinct.index(b"")
         real = codes != empty

@@ -7,14 +7,21 @@ one that begins earlier is `4/5` or more, whether that one is removed itself or
 How it works. One pass over the texts writes blocks: local vocabularies of 64-bit word hashes, sets as local numbers, and
 for each set a sum of hashes and a parity signature, which together are its class. Document frequencies of words are
 summed into a table of fixed size, so that rarity is one byte per slot, broadcast at 16 MB. Any order that is the same
-everywhere gives exact results; this one puts words that few lines have first. Each set sends the words of its prefix,
-without those that occur once. Inside a word's group, a set proposes the PROPOSALS earliest sets that pass the filters.
-Proposals are verified on whole sets. Where all of a set's proposals fail and it could have made more, it alone goes
-through those groups again, with a wider parity signature and a higher bound, at last with none, so that nothing is lost.
-In a group of near copies most sets are settled by the earliest, so that pairs do not grow with the square of a group.
+everywhere gives exact results; this one puts words that few lines have first. Of each class, a block sends the words of
+the first line's prefix, without those that occur once; a task packs what it sends to one bucket of words into one value.
+Inside a word's group, a set proposes the PROPOSALS earliest sets that pass the filters. Proposals are verified on whole
+sets. Where all of a set's proposals fail and it could have made more, it alone goes through those groups again, with a
+wider parity signature and a higher bound, at last with none, so that nothing is lost. In a group of near copies most sets
+are settled by the earliest, so that pairs do not grow with the square of a group.
+
+Hot words. Words that about HOT lines or more have do not form groups of their own. Two similar sets share two words among
+their prefixes and one word behind them, so that a set sends the pairs of hot words there instead, the first of a pair
+being in the prefix. Sets of more than LONG words, which could have very many such pairs, send single words, and those
+that may be similar to one send both.
 
 Defined cases: a null text counts as empty and has no lines; a null doc_id sorts before all others; of equal rows one
-counts as the earlier; an empty table gives an empty table; other columns are carried along by dedupe() as they are.
+counts as the earlier; a line is used whole at any length; an empty table gives an empty table; other columns are carried
+along by dedupe() as they are.
 """
 
 from __future__ import annotations
@@ -29,18 +36,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, keyed, lean, numbered, slices, split_words
+from .common import Scratch, byte_values, keyed, lean, numbered, packed, slices, split_words, unpacked
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 24, 26
 DENSE, PROPOSALS = 64, 1
+#: Lines that have a hot word, about, and words of a set that sends hot words one by one.
+HOT, LONG = 1 << 16, 320
+IS_HOT = 128
 #: Bytes of text in a block: a larger one repeats fewer words in its vocabulary.
 SLICE_BYTES = 8_000_000
 #: Bounds of the later rounds.
-LATER = (64, 1 << 40)
+LATER = (1024, 1 << 40)
 NO_ID = -(1 << 63)
-_BLOCK = ["vocabulary", "frequency", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
-_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4")
+#: Columns of a block, stored by byte planes but for hashes; tokens as differences, as they ascend inside a line.
+_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4", first="?")
+_PLAIN = {"vocabulary", "k1", "k2", "key", "first"}
+_BLOCK = list(_KINDS)
 
 
 def prefix_length(size: np.ndarray) -> np.ndarray:
@@ -74,15 +86,31 @@ def block(texts: pa.Array, doc_ids: np.ndarray, keys_of_docs: np.ndarray) -> dic
         mixed = (vocabulary ^ (vocabulary >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         k1 = np.add.reduceat(mixed[token], starts)
         k2 = np.bitwise_xor.reduceat((np.uint64(1) << (vocabulary & np.uint64(63)))[token], starts)
-    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1.view(np.int64), k2.view(np.int64), line_doc, line_no, doc_ids, keys_of_docs, n_lines]
+    k1, k2 = k1.view(np.int64), k2.view(np.int64)
+    # Whether a line is the first of its class in the block.
+    order = np.lexsort([line_doc, line_no, doc_ids[line_doc], k2, k1])
+    first = np.ones(len(order), bool)
+    first[order[1:]] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
+    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1, k2, line_doc, line_no, doc_ids, keys_of_docs, n_lines, first]
     return {k: np.asarray(v).astype(_KINDS[k]) for k, v in zip(_BLOCK, made, strict=True)}
 
 
+def _stored(name: str, values: np.ndarray) -> bytes:
+    if name == "token":
+        values = np.diff(values, prepend=np.int32(0))
+    return values.tobytes() if name in _PLAIN else packed(values, _KINDS[name])
+
+
+def _read(name: str, data) -> np.ndarray:
+    values = np.frombuffer(data, _KINDS[name]) if name in _PLAIN else unpacked([data], _KINDS[name])
+    return np.cumsum(values, dtype=np.int32) if name == "token" else values
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     for batch in batches:
         ids = batch.column("block").to_pylist()
         for i, number in enumerate(ids):
-            yield number, {k: np.frombuffer(batch.column(k)[i].as_buffer(), _KINDS[k]) for k in names}
+            yield number, {k: _read(k, batch.column(k)[i].as_buffer()) for k in names}
 
 
 def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -91,7 +119,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for i, batch in enumerate(slices(batches, "text", SLICE_BYTES)):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
             made = block(batch.column("text"), ids, batch.column("_weft_key").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([made[k].tobytes()], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
+            yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([_stored(k, made[k])], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
     return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(lean(run), "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
 
@@ -109,11 +137,12 @@ def _packed(columns: list[np.ndarray], part: np.ndarray, parts: int) -> tuple[np
     return used, out
 
 
-def _unpacked(rows: pa.RecordBatch, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    return {k: np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows.column(k)]) for k, kind in kinds.items()}
+def levels_of(n: np.ndarray, hot: int = HOT) -> np.ndarray:
+    """The steps of rarity: 0 for what occurs once, and from IS_HOT on what occurs `hot` times or more."""
+    return (np.minimum(IS_HOT - 1, np.round(4 * np.log2(np.maximum(n, 1)))) + np.where(n >= hot, IS_HOT, 0)).astype(np.uint8)
 
 
-def rarity(blocks: DataFrame) -> np.ndarray:
+def rarity(blocks: DataFrame, hot: int = HOT) -> np.ndarray:
     """A byte per slot: 0 for words that one line has, and more for more frequent ones; 2 ** SLOTS bytes are collected."""
     wide = SLOTS - 16  # log2 of the ranges that are summed side by side
 
@@ -131,7 +160,7 @@ def rarity(blocks: DataFrame) -> np.ndarray:
             for i, r in enumerate(batch.column("range").to_pylist()):
                 slots, n = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in (("slot", "u2"), ("n", "u4")))
                 total.setdefault(r, np.zeros(1 << 16, np.int64))[slots] += n
-        found = [np.minimum(127, np.round(4 * np.log2(np.maximum(x, 1)))).astype(np.uint8).tobytes() for x in total.values()]
+        found = [levels_of(x, hot).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(found, pa.binary())], ["range", "level"])
 
     counted = blocks.select("block", "vocabulary", "frequency").mapInArrow(lean(count), "range int, slot binary, n binary")
@@ -141,30 +170,52 @@ def rarity(blocks: DataFrame) -> np.ndarray:
     return out
 
 
+#: What stands for a key of a line: the upper half of the key's hash, the line's class, and its place in time.
+_ROW = dict(word="<u4", k1="<i8", k2="<i8", doc_id="<i8", line_no="<i4", size="<i4", position="<i4")
+#: In later rounds also whether it may propose, and a wider parity.
+_LATER_ROW = _ROW | dict(asked="?", p0="<u8", p1="<u8", p2="<u8", p3="<u8")
+#: Those of whose bytes most are zero.
+_SMALL = ["doc_id", "line_no", "size", "position"]
+Rows = dict[str, np.ndarray]
+#: Rows of a bucket of words, about, and rows that a task packs at once.
+BUCKET_ROWS, PACK_ROWS = 300_000, 1_000_000
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
 def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, line, position) of all prefix words that more than one line has, words by their local number."""
+    """(key, line, position) of all that lines are grouped by: prefix words that more than one line has, and pairs of hot ones."""
     words = x["vocabulary"]
     if not len(words):
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     of_word = level[(words >> np.uint64(64 - SLOTS)).astype(np.int64)]
     order = np.lexsort([words, of_word])
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     bits = max(1, len(words).bit_length())
     size = x["size"].astype(np.int64)
-    keys = np.sort(np.repeat(np.arange(len(size)), size) << bits | rank[x["token"]])
-    line = keys >> bits
-    position = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-    word = order[keys & (1 << bits) - 1]
-    keep = (position < prefix_length(size)[line]) & (of_word[word] > 0)
-    return word[keep], line[keep], position[keep]
-
-
-#: What stands for a prefix word of a line, by kind; the last five only in later rounds.
-_ROW = dict(word="i8", k1="i8", k2="i8", size="i4", position="i4", doc_id="i8", line_no="i4")
-_LATER_ROW = dict(asked="?", p0="i8", p1="i8", p2="i8", p3="i8")
-#: Rows of a bucket of words, about.
-BUCKET_ROWS = 300_000
+    keys = np.sort(np.repeat(np.arange(len(size)) << bits, size) | rank[x["token"]])
+    n = prefix_length(size)
+    taken = np.minimum(n + 1, size)  # the prefix and a word behind it
+    line = np.repeat(np.arange(len(size)), taken)
+    position = np.arange(len(line)) - np.repeat(np.cumsum(taken) - taken, taken)
+    word = order[keys[np.repeat(np.cumsum(size) - size, taken) + position] & (1 << bits) - 1]
+    inside, hot = position < np.repeat(n, taken), of_word[word] >= IS_HOT
+    single = inside & (of_word[word] > 0) & (~hot | (5 * size[line] > 4 * LONG))
+    found = [(words[word[single]], line[single], position[single])]
+    at = np.nonzero(hot & (size[line] <= LONG))[0]  # ascending inside a line
+    for step in range(1, len(at)):
+        a, b = at[:-step], at[step:]
+        same = line[a] == line[b]
+        if not same.any():
+            break
+        a, b = a[same & inside[a]], b[same & inside[a]]
+        found.append((_pair_keys(words[word[a]], words[word[b]]), line[a], position[a]))
+    return tuple(np.concatenate(y) for y in zip(*found, strict=True))
 
 
 def _parity(x: dict[str, np.ndarray]) -> np.ndarray:
@@ -175,89 +226,182 @@ def _parity(x: dict[str, np.ndarray]) -> np.ndarray:
         bits, quarter = np.uint64(1) << (x["vocabulary"] >> np.uint64(8) & np.uint64(63)), x["vocabulary"] >> np.uint64(14) & np.uint64(3)
         for i in range(4):
             out[i] = np.bitwise_xor.reduceat(np.where(quarter == i, bits, np.uint64(0))[x["token"]], starts)
-    return out.view(np.int64)
+    return out
 
 
 def _of_lines(x: dict[str, np.ndarray], keep: np.ndarray) -> dict[str, np.ndarray]:
     """A block with some of its lines only."""
     line = np.repeat(np.arange(len(keep)), x["size"])
-    return x | {k: x[k][keep] for k in ("size", "k1", "k2", "line_doc", "line_no") if k in x} | {"token": x["token"][keep[line]]}
+    return x | {k: x[k][keep] for k in ("size", "k1", "k2", "line_doc", "line_no", "first") if k in x} | {"token": x["token"][keep[line]]}
+
+
+def _may_have_marked(x: dict[str, np.ndarray], marked: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Lines that have a marked word, or so many hot ones that their pairs may be marked."""
+    if not len(x["size"]):
+        return np.zeros(0, bool)
+    starts = np.cumsum(x["size"].astype(np.int64)) - x["size"]
+    hot = level[(x["vocabulary"] >> np.uint64(64 - SLOTS)).astype(np.int64)] >= IS_HOT
+    has_marked = np.add.reduceat(marked[x["token"]].astype(np.int32), starts) > 0
+    return has_marked | (np.add.reduceat(~hot[x["token"]], starts, dtype=np.int32) < prefix_length(x["size"]))
+
+
+def _rows(x: dict[str, np.ndarray], level: np.ndarray, only: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, Rows]:
+    """Keys and rows of a block's classes; only: bitmaps of keys, and of the sets that may propose."""
+    x = _of_lines(x, x["first"])
+    if only is not None:
+        x = _of_lines(x, _may_have_marked(x, _marked(only[0], x["vocabulary"]), level))
+    key, line, position = prefixes(x, level)
+    if only is not None:
+        keep = _marked(only[0], key)
+        key, line, position = key[keep], line[keep], position[keep]
+    out = {k: x[k][line] for k in ("k1", "k2", "size", "line_no")}
+    out |= {"word": (key >> np.uint64(32)).astype(np.uint32), "position": position, "doc_id": x["doc_id"][x["line_doc"][line]]}
+    if only is not None:
+        out["asked"] = _marked(only[1], x["k1"])[line]
+        out |= {name: parity[line] for name, parity in zip(("p0", "p1", "p2", "p3"), _parity(x), strict=True)}
+    return key, out
+
+
+def _cell(rows: Rows) -> bytes:
+    return b"".join(packed(v, _LATER_ROW[k]) if k in _SMALL else v.astype(_LATER_ROW[k]).tobytes() for k, v in rows.items())
+
+
+def _uncell(data: bytes, n: int, kinds: dict[str, str]) -> Rows:
+    out, at = {}, 0
+    for k, kind in kinds.items():
+        end = at + n * np.dtype(kind).itemsize
+        out[k] = unpacked([data[at:end]], kind) if k in _SMALL else np.frombuffer(data[at:end], kind)
+        at = end
+    return out
 
 
-def _with_marked_words(x: dict[str, np.ndarray], marked: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Only the lines that have a marked word, and their parity."""
-    keep = np.zeros(len(x["size"]), bool)
-    keep[np.repeat(np.arange(len(keep)), x["size"])[marked[x["token"]]]] = True
-    out = _of_lines(x, keep)
-    return out, _parity(out)
+def _join(parts: list[Rows]) -> Rows:
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
 def prefix_rows(blocks: DataFrame, level, only=None) -> DataFrame:
-    """Prefix words of lines, packed: a row per block and bucket of words, with a binary value for each field.
+    """(bucket, n, data): a row per bucket of keys and so many rows of a task, packed by byte planes.
 
-    level: a broadcast table; only: broadcast bitmaps of words, and of the sets that may propose, or None for all.
+    level: a broadcast table; only: broadcast bitmaps, or None for all.
     """
-    names = ["vocabulary", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id"]
+    names = ["vocabulary", "token", "size", "k1", "k2", "line_doc", "line_no", "doc_id", "first"]
     words = blocks.agg(F.sum(F.length("token") / 4)).first()[0] or 0
     buckets = max(8, int(words * 0.2 / BUCKET_ROWS))
-    fields = _ROW | (_LATER_ROW if only is not None else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            key, rows = np.concatenate([k for k, _ in held]), _join([r for _, r in held])
+            bucket = (key & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+            order = np.argsort(bucket << np.uint64(32) | key >> np.uint64(32))
+            rows = {k: rows[k][order] for k in (_ROW if only is None else _LATER_ROW)}
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            used = np.nonzero(np.diff(cuts))[0]
+            data = [_cell({k: v[a:b] for k, v in rows.items()}) for a, b in zip(cuts[used].tolist(), cuts[used + 1].tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.diff(cuts)[used], pa.int32()), pa.array(data, pa.binary())], ["bucket", "n", "data"])
+
         for _, x in _blocks(batches, names):
-            hashes = x["vocabulary"].view(np.int64)
-            if only is not None:
-                marked = _marked(only.value[0], hashes)
-                x, parity = _with_marked_words(x, marked)
-            word, line, position = prefixes(x, level.value)
-            more = []
-            if only is not None:
-                keep = marked[word]
-                word, line, position = word[keep], line[keep], position[keep]
-                more = [_marked(only.value[1], x["k1"])[line], *[p[line] for p in parity]]
-            columns = [hashes[word], x["k1"][line], x["k2"][line], x["size"][line], position.astype(np.int32), x["doc_id"][x["line_doc"][line]], x["line_no"][line], *more]
-            used, packed = _packed(columns, (x["vocabulary"][word] >> np.uint64(20)).astype(np.int64) % buckets, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *packed], ["bucket", *fields])
-
-    rows = blocks.select("block", *names).mapInArrow(lean(run), "bucket int, " + ", ".join(f"{k} binary" for k in fields))
+            held.append(_rows(x, level.value, only.value if only is not None else None))
+            n += len(held[-1][0])
+            if n > PACK_ROWS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    rows = blocks.select("block", *names).mapInArrow(lean(run), "bucket int, n int, data binary")
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-def _near(size_a, size_b, position_a, position_b, parity_a, parity_b) -> np.ndarray:
-    """Whether two sets pass the length, positional and parity filters."""
-    need = least_overlap(size_a, size_b)
-    length = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
-    left = np.minimum(size_a - position_a, size_b - position_b)
-    differing = sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(parity_a, parity_b, strict=True))
-    return length & (left >= need) & (differing <= size_a + size_b - 2 * need)
+def _by_time(rows: Rows) -> np.ndarray:
+    """The order by word, doc_id, line_no and class."""
+    words, group = np.unique(rows["word"], return_inverse=True)
+    low, high = int(rows["doc_id"].min(initial=0)), int(rows["doc_id"].max(initial=0))
+    of_doc, of_line = (high - low).bit_length(), int(rows["line_no"].max(initial=0)).bit_length()
+    if of_doc + of_line + len(words).bit_length() < 63:
+        key = (group.astype(np.int64) << of_doc | rows["doc_id"] - low) << of_line | rows["line_no"]
+        order = np.argsort(key)
+        if (np.diff(key[order]) != 0).all():
+            return order
+    return np.lexsort([rows["k2"], rows["k1"], rows["line_no"], rows["doc_id"], rows["word"]])
+
+
+def _firsts_of_classes(rows: Rows) -> np.ndarray:
+    """Whether a row is the first of its class in its group; rows are in order of time in each group."""
+    mixed = (rows["word"].astype(np.uint64) << np.uint64(32) | rows["position"].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ rows["k1"].view(np.uint64)
+    order = np.argsort(mixed)
+    again = np.diff(mixed[order]) == 0
+    keep = np.ones(len(mixed), bool)
+    if again.any():
+        at = np.unique(np.concatenate([np.nonzero(again)[0], np.nonzero(again)[0] + 1]))
+        at = np.sort(order[at])  # few rows, in order of time
+        few = np.lexsort([at, *[rows[k][at] for k in ("position", "k2", "k1", "word")]])
+        same = np.ones(len(at) - 1, bool)
+        for k in ("word", "k1", "k2", "position"):
+            same &= rows[k][at[few[1:]]] == rows[k][at[few[:-1]]]
+        keep[at[few[1:][same]]] = False
+    return keep
+
+
+class _Filters:
+    """Whether rows a and b of a group may be similar: parity first, as it settles nearly all, then the others."""
+
+    def __init__(self, rows: Rows):
+        self.size, self.position, self.k1, self.k2 = (rows[k] for k in ("size", "position", "k1", "k2"))
+        self.parity = [rows[k] for k in ("p0", "p1", "p2", "p3")] if "p0" in rows else [self.k2.view(np.uint64)]
+        total = np.arange(2 * int(self.size.max(initial=0)) + 1, dtype=np.int64)
+        #: How many words two sets may have that the other hasn't, by the sum of their sizes.
+        self.apart = np.minimum(total - 2 * ((4 * total + 8) // 9), 255).astype(np.uint8)
+
+    def likely(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.parity[0][a] ^ self.parity[0][b]) <= self.apart[self.size[a] + self.size[b]]
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For pairs that are likely."""
+        size_a, size_b = self.size[a].astype(np.int64), self.size[b].astype(np.int64)
+        need = least_overlap(size_a, size_b)
+        length = 5 * np.minimum(size_a, size_b) >= 4 * np.maximum(size_a, size_b)
+        left = np.minimum(size_a - self.position[a], size_b - self.position[b])
+        differing = sum((np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in self.parity), np.zeros(len(a), np.int64))
+        other = (self.k1[a] != self.k1[b]) | (self.k2[a] != self.k2[b])
+        return other & length & (left >= need) & (differing <= size_a + size_b - 2 * need)
+
+
+def _nth(values: np.ndarray) -> np.ndarray:
+    """How many equal values there are up to each, itself included."""
+    order = np.argsort(values, kind="stable")
+    new = np.append(True, np.diff(values[order]) != 0)
+    begin = np.nonzero(new)[0]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(begin, np.diff(np.append(begin, len(values)))) + 1
+    return out
 
 
-def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def proposals(rows: Rows, bound: int = PROPOSALS) -> tuple[Rows, Rows, Rows]:
     """(earlier, later, more) as rows: pairs that may be similar, and rows that could have proposed more. Rows are of whole groups."""
-    order = np.lexsort([rows["k1"], rows["line_no"], rows["doc_id"], rows["word"]])
-    # A class once in each group, by its first line.
-    by_class = order[np.lexsort([np.arange(len(order)), rows["k2"][order], rows["k1"][order], rows["word"][order]])]
-    again = (np.diff(rows["word"][by_class]) == 0) & (np.diff(rows["k1"][by_class]) == 0) & (np.diff(rows["k2"][by_class]) == 0)
-    repeated = np.zeros(len(order), bool)
-    repeated[by_class[1:][again]] = True
-    order = order[~repeated[order]]
-    word, size, position, parity = rows["word"][order], rows["size"][order].astype(np.int64), rows["position"][order].astype(np.int64), [rows[k][order].view(np.uint64) for k in (("p0", "p1", "p2", "p3") if "p0" in rows else ("k2",))]
-    asked = rows["asked"][order] if "asked" in rows else np.ones(len(order), bool)
+    for choose in (_by_time, _firsts_of_classes):
+        at = choose(rows)
+        rows = {k: v[at] for k, v in rows.items()}
+    word, filters = rows["word"], _Filters(rows)
+    asked = rows.get("asked", np.ones(len(word), bool))
     cuts = np.concatenate([[0], np.nonzero(np.diff(word))[0] + 1, [len(word)]])
     sizes = np.diff(cuts)
-    first, end = np.repeat(cuts[:-1], sizes), np.repeat(cuts[1:], sizes)
+    first = np.repeat(cuts[:-1], sizes)
     made = np.zeros(len(word), np.int64)
     a_all, b_all = [], []
-    waiting = np.nonzero(asked & (end - first <= DENSE) & (np.arange(len(word)) > first))[0]
+    waiting = np.nonzero(asked & (np.repeat(sizes, sizes) <= DENSE) & (np.arange(len(word)) > first))[0]
     for step in range(DENSE - 1):  # small groups side by side: each row looks at the next earliest row of its group
         waiting = waiting[(first[waiting] + step < waiting) & (made[waiting] <= bound)]
         if not len(waiting):
             break
         a = first[waiting] + step
-        near = _near(size[a], size[waiting], position[a], position[waiting], [p[a] for p in parity], [p[waiting] for p in parity])
-        hit = waiting[near]
+        likely = np.nonzero(filters.likely(a, waiting))[0]
+        likely = likely[filters.near(a[likely], waiting[likely])]
+        hit = waiting[likely]
         made[hit] += 1
         take = made[hit] <= bound
-        a_all.append(a[near][take])
+        a_all.append(a[likely][take])
         b_all.append(hit[take])
     for g in np.nonzero(sizes > DENSE)[0]:
         begin, stop = cuts[g], cuts[g + 1]
@@ -267,52 +411,49 @@ def proposals(rows: dict[str, np.ndarray], bound: int = PROPOSALS) -> tuple[np.n
             later = later[asked[later] & (made[later] <= bound)]  # one beyond the bound shows that there are more
             for j in range(0, len(later), 16_384):
                 b = later[j : j + 16_384]
-                near = _near(size[a, None], size[None, b], position[a, None], position[None, b], [p[a, None] for p in parity], [p[None, b] for p in parity]) & (a[:, None] < b)
-                nth = np.cumsum(near, axis=0) + made[b]
-                made[b] = nth[-1]
-                x, y = np.nonzero(near & (nth <= bound))
-                a_all.append(a[x])
-                b_all.append(b[y])
-    a, b = (order[np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)] for x in (a_all, b_all))
-    return a, b, order[made > bound]
-
-
-def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS) -> DataFrame:
+                x, y = np.nonzero(filters.likely(a[:, None], b[None, :]))
+                x, y = a[x], b[y]
+                up = x < y
+                x, y = x[up], y[up]
+                near = filters.near(x, y)
+                x, y = x[near], y[near]
+                if len(x):  # in order of x, so that the earliest come first for each y
+                    nth = made[y] + _nth(y)
+                    np.add.at(made, y, 1)
+                    a_all.append(x[nth <= bound])
+                    b_all.append(y[nth <= bound])
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (a_all, b_all))
+    return tuple({k: v[at] for k, v in rows.items()} for at in (a, b, made > bound))
+
+
+def candidate_pairs(rows: DataFrame, bound: int = PROPOSALS, kinds: dict[str, str] = _ROW) -> DataFrame:
     """(a1, a2, b1, b2, word): a class a that begins before b, and no word; or no a, and a word where b could have proposed more."""
-    fields = {k: kind for k, kind in (_ROW | _LATER_ROW).items() if k in rows.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        now = None
+        held, now = [], None
         for batch in batches:
-            numbers = batch.column("bucket").to_pylist()
-            for i, number in enumerate(numbers):
+            for number, n, data in zip(batch.column("bucket").to_pylist(), batch.column("n").to_pylist(), byte_values(batch.column("data")), strict=True):
                 if number != now and held:
-                    yield out(held)
+                    yield out(_join(held))
                     held = []
                 now = number
-                held.append(_unpacked(batch.slice(i, 1), fields))
+                held.append(_uncell(data, n, kinds))
         if held:
-            yield out(held)
-
-    def out(parts: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        order = np.argsort(np.concatenate([p["word"] for p in parts]), kind="stable")
-        x = {k: np.concatenate([p[k] for p in parts])[order] for k in fields}
-        same = x["word"][1:] == x["word"][:-1]
-        shared = np.append(same, False) | np.insert(same, 0, False)  # words of one row link nothing
-        x = {k: v[shared] for k, v in x.items()}
+            yield out(_join(held))
+
+    def out(x: Rows) -> pa.RecordBatch:
         a, b, more = proposals(x, bound)
-        pairs = np.unique(np.stack([x["k1"][a], x["k2"][a], x["k1"][b], x["k2"][b]]), axis=1) if len(a) else np.zeros((4, 0), np.int64)
-        n, m = pairs.shape[1], len(more)
+        pairs = np.unique(np.stack([a["k1"], a["k2"], b["k1"], b["k2"]]), axis=1) if len(a["k1"]) else np.zeros((4, 0), np.int64)
+        n, m = pairs.shape[1], len(more["word"])
         none = np.arange(n + m) >= n
         fill = np.zeros(m, np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([pairs[0], fill]), mask=none),
                 pa.array(np.concatenate([pairs[1], fill]), mask=none),
-                pa.array(np.concatenate([pairs[2], x["k1"][more]])),
-                pa.array(np.concatenate([pairs[3], x["k2"][more]])),
-                pa.array(np.concatenate([np.zeros(n, np.int64), x["word"][more]]), mask=~none),
+                pa.array(np.concatenate([pairs[2], more["k1"]])),
+                pa.array(np.concatenate([pairs[3], more["k2"]])),
+                pa.array(np.concatenate([np.zeros(n, np.int64), more["word"].astype(np.int64) << 32]), mask=~none),
             ],
             ["a1", "a2", "b1", "b2", "word"],
         )
@@ -346,7 +487,7 @@ def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, x in _blocks(batches, ["vocabulary", "token", "size", "k1", "k2"]):
             x = _of_lines(x, _marked(marks.value, x["k1"]))
-            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["size"], *_parity(x))], ["k1", "k2", "size", "p0", "p1", "p2", "p3"])
+            yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"], x["k2"], x["size"], *_parity(x).view(np.int64))], ["k1", "k2", "size", "p0", "p1", "p2", "p3"])
 
     words = ["p0", "p1", "p2", "p3"]
     rows = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(lean(run), "k1 long, k2 long, size int, p0 long, p1 long, p2 long, p3 long")
@@ -383,10 +524,10 @@ def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(9 * common >= 4 * (F.size("wa") + F.size("wb"))).select("b1", "b2").distinct()
 
 
-def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS) -> DataFrame:
+def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS, hot: int = HOT) -> DataFrame:
     """(b1, b2) of the classes that are similar to one that begins earlier."""
     context = blocks.sparkSession.sparkContext
-    level = context.broadcast(rarity(blocks))
+    level = context.broadcast(rarity(blocks, hot))
     found = scratch.save(candidate_pairs(prefix_rows(blocks, level), bound))
     pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
     similar = scratch.save(verified(blocks, scratch.save(parity_filter(blocks, pairs))))
@@ -398,54 +539,43 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS)
         sets = more.select("b1", "b2").distinct()
         only = context.broadcast((words, bitmap(sets.select(F.col("b1").alias("h")))))
         # The bitmaps mark some others too; what those propose is dropped.
-        found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later).join(sets, ["b1", "b2"], "left_semi"))
+        found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later, _LATER_ROW).join(sets, ["b1", "b2"], "left_semi"))
         pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
         similar = scratch.save(similar.unionByName(verified(blocks, pairs)).distinct())
     return similar
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """A row per document: uid, _weft_key, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
     scratch = Scratch(docs.sparkSession)
     blocks = write_blocks(docs, scratch)
-    similar = similar_classes(blocks, scratch)
+    similar = similar_classes(blocks, scratch, hot=hot)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, x in _blocks(batches, ["k1", "k2", "line_doc", "line_no", "doc_id"]):
-            at = np.nonzero(_firsts(x))[0]
+        for number, x in _blocks(batches, ["k1", "k2", "line_doc", "line_no", "doc_id", "first"]):
+            at = np.nonzero(x["first"])[0]
             doc = x["line_doc"][at].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"][at], x["k2"][at], x["doc_id"][doc], x["line_no"][at], (number << 20) + doc)], ["k1", "k2", "doc_id", "line_no", "uid"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, x in _blocks(batches, ["k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]):
-            again = ~_firsts(x)
+        for number, x in _blocks(batches, ["line_doc", "line_no", "doc_id", "key", "n_lines", "first"]):
+            again = ~x["first"]
             sure = np.append(0, np.cumsum(np.bincount(x["line_doc"][again], minlength=len(x["doc_id"])))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sure), pa.array(x["line_no"][again]))
             yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"]), lists], ["uid", "doc_id", "_weft_key", "n_lines", "sure"])
 
     # Of each class, a block sends its first line only; what it holds behind that goes in any case.
-    every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id").mapInArrow(lean(lines), "k1 long, k2 long, doc_id long, line_no int, uid long")
+    every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id", "first").mapInArrow(lean(lines), "k1 long, k2 long, doc_id long, line_no int, uid long")
     first = every.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no", "uid")).alias("first"))
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
     by_document = gone.groupBy("uid").agg(F.collect_list("line_no").alias("more"))
-    kept = ["block", "k1", "k2", "line_doc", "line_no", "doc_id", "key", "n_lines"]
-    all_docs = blocks.select(*kept).mapInArrow(lean(documents), "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
+    all_docs = blocks.select("block", "line_doc", "line_no", "doc_id", "key", "n_lines", "first").mapInArrow(lean(documents), "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
     removed = F.sort_array(F.concat("sure", F.coalesce("more", F.array().cast("array<int>"))))
     out = all_docs.join(by_document, "uid", "left")
     return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", removed.alias("removed"))
 
 
-def _firsts(x: dict[str, np.ndarray]) -> np.ndarray:
-    """Whether a line is the first of its class in the block."""
-    order = np.lexsort([x["line_doc"], x["line_no"], x["doc_id"][x["line_doc"]], x["k2"], x["k1"]])
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(x["k1"][order]) != 0) | (np.diff(x["k2"][order]) != 0)
-    out = np.zeros(len(order), bool)
-    out[order] = new
-    return out
-
-
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; every row stays, with a text that may be empty."""
     columns = docs.columns

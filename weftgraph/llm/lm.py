@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, split_words, wider
+from .common import give_back, packed, slices, split_words, unpacked, wider
 
 #: Bytes of text in a block, about, and words whose keys share a bucket.
 BLOCK_BYTES, WORDS = 12_000_000, 1 << 20
@@ -51,16 +51,6 @@ def pair_keys(history: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) & ~np.uint64(1)
 
 
-def packed(values: np.ndarray, kind: str) -> bytes:
-    """Values by byte planes: most are zero and compress well."""
-    return values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T.tobytes()
-
-
-def unpacked(parts: list[bytes], kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.concatenate([np.zeros(0, kind), *[np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, len(x) // width).T).view(kind).reshape(-1) for x in parts]])
-
-
 class Block:
     """What a block's documents hold: distinct bigrams, words and histories, in this order, with their counts."""
 
