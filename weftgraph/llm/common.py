@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,17 +49,27 @@ def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
 class Scratch:
     """Written tables in the folder that the cluster names in spark.checkpoint.dir.
 
-    They cut lineage without a second run of what they hold, and outlive lost executors.
+    They cut lineage without a second run of what they hold, and outlive lost executors. What drop() leaves goes when the
+    application ends, as results are read from it until then.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not base:  # not on a cluster
+        if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="weft-")
             spark.sparkContext.setCheckpointDir(base)
         self.base = f"{base.rstrip('/')}/weft-{uuid.uuid4().hex}"
         self.n = 0
+        path, files = self._at(self.base)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _at(self, path: str) -> tuple:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, **options: str) -> DataFrame:
         self.n += 1
@@ -71,9 +82,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._weft_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._at(df._weft_path)
+        files.delete(path, True)
 
 
 def byte_values(array: pa.Array) -> list[bytes]:
@@ -194,11 +204,30 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return n, codes, distinct
 
 
+#: 128 bits that are the same for rows of equal doc_id and text. Names that begin with _weft_ are reserved.
+KEY = ["_weft_key", "_weft_more"]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds _weft_key, the same for rows of equal doc_id and text. Names that begin with _weft_ are reserved."""
-    return docs.withColumn("_weft_key", F.xxhash64("doc_id", "text"))
+    """Adds the columns of KEY."""
+    return docs.withColumns({KEY[0]: F.xxhash64("doc_id", "text"), KEY[1]: F.xxhash64(F.lit(1), "text", "doc_id")})
+
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds _weft_nth, which tells rows of one key apart: in order of columns, then of all others, so that only equal rows tie."""
+    rest = [f.name for f in rows.schema.fields if f.name not in (*KEY, "doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    by = F.xxhash64(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(0)
+    return rows.withColumn("_weft_nth", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order, by)))
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """Adds _weft_nth, which tells rows of one _weft_key apart."""
-    return rows.withColumn("_weft_nth", F.row_number().over(Window.partitionBy("_weft_key").orderBy(order)))
+
+def attached(docs: DataFrame, decided: DataFrame, order: str, how: str, *shared: str, **columns: Column) -> DataFrame:
+    """docs with columns of the row of `decided` (KEY and others) that stands for the same row.
+
+    Rows of one key stand for each other in order: of `shared` columns on both sides, then of `order` among the decided. A
+    join on the key alone keeps the partitioning that numbered the rows: texts move once.
+    """
+    narrow = numbered(decided, *shared, order).select(*[F.col(k).alias(f"{k}_d") for k in (*KEY, "_weft_nth")], *[c.alias(n) for n, c in columns.items()])
+    match = (F.col("_weft_nth") - F.col("_weft_nth_d")) == 0
+    for k in KEY:
+        match &= F.col(k) == F.col(f"{k}_d")
+    return numbered(keyed(docs), *shared).join(narrow, match, how).select(*[F.col(f"`{c}`") for c in docs.columns], *columns)

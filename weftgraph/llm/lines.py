@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, keyed, lean, numbered, packed, slices, split_words, unpacked
+from .common import KEY, Scratch, attached, byte_values, keyed, lean, packed, slices, split_words, unpacked
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 24, 26
@@ -50,8 +50,8 @@ SLICE_BYTES = 8_000_000
 LATER = (1024, 1 << 40)
 NO_ID = -(1 << 63)
 #: Columns of a block, stored by byte planes but for hashes; tokens as differences, as they ascend inside a line.
-_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", n_lines="i4", first="?")
-_PLAIN = {"vocabulary", "k1", "k2", "key", "first"}
+_KINDS = dict(vocabulary="u8", frequency="i4", token="i4", size="i4", k1="i8", k2="i8", line_doc="i4", line_no="i4", doc_id="i8", key="i8", more="i8", n_lines="i4", first="?")
+_PLAIN = {"vocabulary", "k1", "k2", "key", "more", "first"}
 _BLOCK = list(_KINDS)
 
 
@@ -64,7 +64,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (4 * (a + b) + 8) // 9
 
 
-def block(texts: pa.Array, doc_ids: np.ndarray, keys_of_docs: np.ndarray) -> dict[str, np.ndarray]:
+def block(texts: pa.Array, doc_ids: np.ndarray, *keys_of_docs: np.ndarray) -> dict[str, np.ndarray]:
     """What later passes need of some documents."""
     cut = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
     n_lines = pc.list_value_length(cut).to_numpy().astype(np.int64)
@@ -91,7 +91,7 @@ def block(texts: pa.Array, doc_ids: np.ndarray, keys_of_docs: np.ndarray) -> dic
     order = np.lexsort([line_doc, line_no, doc_ids[line_doc], k2, k1])
     first = np.ones(len(order), bool)
     first[order[1:]] = (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)
-    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1, k2, line_doc, line_no, doc_ids, keys_of_docs, n_lines, first]
+    made = [vocabulary, np.bincount(token, minlength=len(distinct)), token, size, k1, k2, line_doc, line_no, doc_ids, *keys_of_docs, n_lines, first]
     return {k: np.asarray(v).astype(_KINDS[k]) for k, v in zip(_BLOCK, made, strict=True)}
 
 
@@ -118,7 +118,7 @@ def write_blocks(docs: DataFrame, scratch: Scratch) -> DataFrame:
         base = TaskContext.get().partitionId() << 20
         for i, batch in enumerate(slices(batches, "text", SLICE_BYTES)):
             ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            made = block(batch.column("text"), ids, batch.column("_weft_key").to_numpy())
+            made = block(batch.column("text"), ids, *[batch.column(k).to_numpy() for k in KEY])
             yield pa.RecordBatch.from_arrays([pa.array([base + i]), *[pa.array([_stored(k, made[k])], pa.binary()) for k in _BLOCK]], ["block", *_BLOCK])
 
     return scratch.save(keyed(docs.select("doc_id", "text")).mapInArrow(lean(run), "block long, " + ", ".join(f"{k} binary" for k in _BLOCK)), compression="zstd")
@@ -546,7 +546,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS,
 
 
 def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """A row per document: uid, _weft_key, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
+    """A row per document: uid, the columns of KEY, doc_id, n_lines and removed, the sorted numbers (from 0) of the lines that go."""
     scratch = Scratch(docs.sparkSession)
     blocks = write_blocks(docs, scratch)
     similar = similar_classes(blocks, scratch, hot=hot)
@@ -558,11 +558,11 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(y) for y in (x["k1"][at], x["k2"][at], x["doc_id"][doc], x["line_no"][at], (number << 20) + doc)], ["k1", "k2", "doc_id", "line_no", "uid"])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, x in _blocks(batches, ["line_doc", "line_no", "doc_id", "key", "n_lines", "first"]):
+        for number, x in _blocks(batches, ["line_doc", "line_no", "doc_id", "key", "more", "n_lines", "first"]):
             again = ~x["first"]
             sure = np.append(0, np.cumsum(np.bincount(x["line_doc"][again], minlength=len(x["doc_id"])))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(sure), pa.array(x["line_no"][again]))
-            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["n_lines"]), lists], ["uid", "doc_id", "_weft_key", "n_lines", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array((number << 20) + np.arange(len(x["doc_id"]))), pa.array(x["doc_id"]), pa.array(x["key"]), pa.array(x["more"]), pa.array(x["n_lines"]), lists], ["uid", "doc_id", *KEY, "n_lines", "sure"])
 
     # Of each class, a block sends its first line only; what it holds behind that goes in any case.
     every = blocks.select("block", "k1", "k2", "line_doc", "line_no", "doc_id", "first").mapInArrow(lean(lines), "k1 long, k2 long, doc_id long, line_no int, uid long")
@@ -570,20 +570,16 @@ def removed_lines(docs: DataFrame, hot: int = HOT) -> DataFrame:
     first = first.join(similar.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"), F.lit(True).alias("similar")), ["k1", "k2"], "left")
     gone = every.join(first, ["k1", "k2"]).where((F.col("uid") != F.col("first.uid")) | (F.col("line_no") != F.col("first.line_no")) | F.col("similar"))
     by_document = gone.groupBy("uid").agg(F.collect_list("line_no").alias("more"))
-    all_docs = blocks.select("block", "line_doc", "line_no", "doc_id", "key", "n_lines", "first").mapInArrow(lean(documents), "uid long, doc_id long, _weft_key long, n_lines int, sure array<int>")
+    all_docs = blocks.select("block", "line_doc", "line_no", "doc_id", "key", "more", "n_lines", "first").mapInArrow(lean(documents), "uid long, doc_id long, _weft_key long, _weft_more long, n_lines int, sure array<int>")
     removed = F.sort_array(F.concat("sure", F.coalesce("more", F.array().cast("array<int>"))))
     out = all_docs.join(by_document, "uid", "left")
-    return out.select("uid", "_weft_key", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", removed.alias("removed"))
+    return out.select("uid", *KEY, F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_lines", removed.alias("removed"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; every row stays, with a text that may be empty."""
     columns = docs.columns
-    gone = numbered(removed_lines(docs), "uid").where(F.size("removed") > 0)
-    gone = gone.select(F.col("_weft_key").alias("_weft_k"), F.col("_weft_nth").alias("_weft_n"), F.col("removed").alias("_weft_removed"))
-    # A join on the key alone keeps the partitioning that numbered the rows: texts move once.
-    match = (F.col("_weft_key") == F.col("_weft_k")) & (F.col("_weft_nth") - F.col("_weft_n") == 0)
-    rows = numbered(keyed(docs), "doc_id").join(gone, match, "left").select(*columns, "_weft_removed")
+    rows = attached(docs, removed_lines(docs), "uid", "left", _weft_removed=F.col("removed"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

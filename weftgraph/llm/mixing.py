@@ -1,13 +1,16 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its shuffled documents, repeated up to `repeats` times. An entry's virtual finish time is the
-source's cumulative size up to it, divided by the source's target. All entries, range-sorted by finish time, form the
-mix; it ends where the total budget is reached. Cumulative sums go over hash buckets first and inside a bucket second,
-so that a source with most rows is still dealt over many tasks.
+source's cumulative size up to it, divided by the source's target. All entries are range-sorted by finish time, and the
+mix ends in front of the first that passes the total budget. In each source the entries taken are the first of its queue,
+so that where a source's service ends tells how often each of its documents is taken.
+
+Both cumulative sums, in a source's queue and over all entries, come from a range sort: a partition sums its own rows, and
+a row per partition gives what stands before it. So a source with most rows is dealt over many tasks.
 
 Defined cases: a null or blank text has size 0 and is never taken; a null source is a source of its own and comes last;
-equal rows are separate documents; an empty table gives an empty mix; shares() returns narrow rows of its own, and mix()
-rows with the columns of its input as they are.
+equal rows are separate documents; an empty table gives an empty mix; more than MOST_SOURCES sources are an error; shares()
+returns narrow rows of its own, and mix() rows with the columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -15,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, Scratch, keyed, numbered
+from .common import KEY, WORD_PATTERN, Scratch, attached, keyed
 
-#: Rows of a bucket inside which one task sums; bounds the memory of a window.
-BUCKET_ROWS = 20_000
+#: Sources whose sizes the driver holds at most, and of which a table is broadcast.
+MOST_SOURCES, BROADCAST_SOURCES = 1 << 20, 1 << 14
 
 
 def word_count(text: Column) -> Column:
@@ -45,79 +48,61 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (1,
     return [(name, size, t) for (name, size), t in zip(ordered, target, strict=True)]
 
 
-def _running(df: DataFrame, group: str, bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
-    """Adds the inclusive running sum of `value` within `group`, ordered by bucket and then `order`.
-
-    The window inside a bucket and the join with what stands before it share one partitioning: wide rows move once.
-    """
-    sums = df.groupBy(group, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(group, bucket, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inner = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = df.withColumn(name, F.sum(value).over(inner)).join(sums, [group, bucket])
-    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_before")
+def _running(rows: DataFrame, order: list[str], scratch: Scratch, value: str, name: str) -> DataFrame:
+    """Adds the inclusive running sum of `value` over all rows in order, without bringing them to one task."""
+    parts = scratch.save(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn(name, F.sum(value).over(inner)).join(F.broadcast(sums.select("_part", before.alias("_before"))), "_part")
+    return summed.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
 def queue(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
-    """Adds source_size, target, taken, passes and finish to narrow rows with doc_id, source and size.
+    """Adds source_size, target, taken, passes and finish to narrow rows with doc_id, source, size and the columns of KEY.
 
-    `finish` is the virtual finish time of a row's first entry. At time 1 each source has served its target at most, so
-    the entries up to time 1 fit the total budget, and how many of them a row has follows from its running sum. Later ones
-    are taken in order of finish time up to the first that doesn't fit, as if all entries were sorted and cut off there. No
-    source can serve more after time 1 than the budget then left, which is below the sizes of one document per source: only
-    entries that begin within it go to the driver, and the number of sources is small by nature.
+    `finish` is the virtual finish time of a row's first entry; rows that are never served have none.
     """
     spark = sized.sparkSession
-    stats = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    buckets = 8  # the mean bucket stays far below its bound
-    while buckets * BUCKET_ROWS < 8 * max([1, *(r["n"] for r in stats)]):
-        buckets *= 2
+    stats = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(stats) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
+    hint = F.broadcast if len(stats) <= BROADCAST_SOURCES else lambda df: df
     plan = targets([(r["source"], int(r["size"])) for r in stats], weights, repeats)
-    per_source = spark.createDataFrame([(i, *x) for i, x in enumerate(plan)], "_s int, _name string, source_size long, target double")
-    df = sized.drop("source_size", "target", "taken", "passes", "finish")
-    df = df.join(F.broadcast(per_source), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
-    df = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")))
-    df = df.withColumn("_b", F.shiftrightunsigned(F.col("_h"), 65 - buckets.bit_length()))
-    df = _running(df, "_s", "_b", [F.col("_h"), F.col("doc_id")], "size", "_end")
+    earlier, total = [], 0
+    for _, size, _ in plan:
+        earlier.append(total)
+        total += size
+    per_source = spark.createDataFrame([(i, *x, b) for i, (x, b) in enumerate(zip(plan, earlier, strict=True))], "_s int, _name string, source_size long, target double, _earlier long")
+    df = sized.drop("source_size", "target", "taken", "passes", "finish").join(hint(per_source), F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    # The shuffle of a source's documents is their order by hash.
+    df = df.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    df = _running(df, ["_s", "_h", "doc_id", *KEY], scratch, "size", "_end")
+    df = scratch.save(df.withColumn("_end", F.col("_end") - F.col("_earlier")).drop("_earlier", "_h"))
     served = (F.col("size") > 0) & (F.col("target") > 0)
-
-    def passes(until: Column) -> Column:
-        """How many entries of a row end by a place of its source's queue."""
-        return F.when(served, F.greatest(F.lit(0), F.floor((until - F.col("_end")) / F.col("source_size")) + 1)).otherwise(0).cast("int")
-
-    df = scratch.save(df)
-    left = sum(size for _, size, _ in plan) - (df.agg(F.sum(passes(F.col("target")) * F.col("size"))).first()[0] or 0)
-    times = F.sequence(F.lit(0), F.lit(repeats - 1))
-    later = df.where(served).select("_s", "size", "target", F.explode(F.transform(times, lambda k: k * F.col("source_size") + F.col("_end"))).alias("_at"))
-    later = later.where((F.col("_at") > F.col("target")) & (F.col("_at") - F.col("size") < F.col("target") + left))
-    ends = {i: t for i, (_, _, t) in enumerate(plan)}
-    for row in sorted(later.select((F.col("_at") / F.col("target")).alias("_time"), "_s", "_at", "size").collect()):
-        if row["size"] > left:
-            break
-        left -= row["size"]
-        ends[row["_s"]] = float(row["_at"])
-    df = df.join(F.broadcast(spark.createDataFrame(list(ends.items()), "_s int, _until double")), "_s")
-    df = df.withColumn("passes", passes(F.col("_until")))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda k: k * F.col("source_size") + F.col("_end"))).alias("_at")
+    entries = df.where(served).select("_s", "size", "target", at).select((F.col("_at") / F.col("target")).alias("_time"), "_s", "_at", "size")
+    taken = _running(entries, ["_time", "_s", "_at"], scratch, "size", "_served").where(F.col("_served") <= total)
+    ends = taken.groupBy("_s").agg(F.max("_at").alias("_until"))
+    df = df.join(hint(ends), "_s", "left")
+    passes = F.floor((F.col("_until") - F.col("_end")) / F.col("source_size")) + 1
+    df = df.withColumn("passes", F.when(served & (F.col("_until") >= F.col("_end")), passes).otherwise(0).cast("int"))
     df = df.withColumn("taken", F.col("passes").cast("long") * F.col("size")).withColumn("finish", F.when(served, F.col("_end") / F.col("target")))
-    return df.drop("_h", "_b", "_end", "_until", "_s")
+    return df.drop("_end", "_until", "_s")
 
 
 def shares(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
-    """One narrow row per document: doc_id, source, size, source_size, target, taken, passes, finish."""
+    """One narrow row per document: doc_id, source, size, source_size, target, taken, passes, finish and the columns of KEY."""
     scratch = Scratch(docs.sparkSession)
-    narrow = keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_weft_key", word_count(F.col("text")).alias("size"))
+    narrow = keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", *KEY, word_count(F.col("text")).alias("size"))
     return queue(scratch.save(narrow), scratch, weights, repeats, seed)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: int = 7) -> DataFrame:
     """The mix itself: rows of `docs`, each as often as it is taken, in order of virtual finish time."""
-    lap = (F.col("source_size") / F.col("target")).alias("lap")
-    taken = numbered(shares(docs, weights, repeats, seed), "source").where("passes > 0")
-    taken = taken.select(F.col("_weft_key").alias("_weft_k"), F.col("_weft_nth").alias("_weft_n"), F.struct("passes", "finish", lap).alias("_weft_plan"))
-    # A join on the key alone keeps the partitioning that numbered the rows: texts move once here and once to be sorted.
-    match = (F.col("_weft_key") == F.col("_weft_k")) & (F.col("_weft_nth") - F.col("_weft_n") == 0)
-    joined = numbered(keyed(docs), "source").join(taken, match)
+    chosen = F.struct("passes", "finish", (F.col("source_size") / F.col("target")).alias("lap"))
     plan = F.col("_weft_plan")
+    joined = attached(docs, shares(docs, weights, repeats, seed), "finish", "inner", "source", _weft_plan=chosen).where(plan["passes"] > 0)
     times = F.transform(F.sequence(F.lit(0), plan["passes"] - 1), lambda i: plan["finish"] + i * plan["lap"])
     entries = joined.select(*docs.columns, F.explode(times).alias("_weft_at"))
     return entries.repartitionByRange("_weft_at").sortWithinPartitions("_weft_at").drop("_weft_at")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_values, keyed, lean, numbered, slices, wider
+from .common import KEY, Scratch, byte_values, keyed, lean, numbered, slices, wider
 from .components import connected_components, star_labels
 
 SEED = 42
@@ -199,9 +199,9 @@ def classes(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row of docs of each class: that of the smallest doc_id."""
     classed = _classes(keyed(docs.select("doc_id", "text")), distance, shingle)
-    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_weft_key")).alias("best"))
-    rows = keyed(docs).join(best.select("best._weft_key"), "_weft_key", "left_semi")
-    return numbered(rows, "doc_id").where("_weft_nth = 1").select(*docs.columns)
+    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"))
+    rows = keyed(docs).join(best.select(*[f"best.{k}" for k in KEY]), KEY, "left_semi")
+    return numbered(rows).where("_weft_nth = 1").select(*docs.columns)
 
 
 def hex_fingerprint(classed: DataFrame) -> DataFrame:
