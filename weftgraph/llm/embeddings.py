@@ -10,7 +10,7 @@ At a cosine of 0.93 a pair is at most 0.374 apart; the defaults find such a pair
 1 - 1e-5.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null label,
-link with nothing and stand alone; vectors of different lengths have no cosine; equal rows link with each other; a null
+link with nothing and stand alone; a label is of any type; vectors of different lengths have no cosine; equal rows link with each other; a null
 vec_id is kept and is a class id only where there is no other; an empty table gives an empty table.
 """
 
@@ -96,7 +96,8 @@ def classes(vectors: DataFrame, least: float = 0.93, tables: int = 34, projectio
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("label").isNotNull() & e.isNotNull() & finite & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", "embedding", "label", F.coalesce(usable, F.lit(False)).alias("usable"))
+    # Labels of any type, by their 64-bit hash.
+    rows = vectors.select("vec_id", "embedding", F.xxhash64("label").alias("label"), F.coalesce(usable, F.lit(False)).alias("usable"))
     # A class is a distinct vector of a label; its number is drawn once and written.
     grouped = rows.where("usable").groupBy("label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
     distinct = scratch.save(grouped.withColumn("node", F.monotonically_increasing_id()))
@@ -110,7 +111,7 @@ def classes(vectors: DataFrame, least: float = 0.93, tables: int = 34, projectio
                 if not part.num_rows:
                     continue
                 keys = hashes(_units(part.column("embedding")))
-                label = part.column("label").cast(pa.int64()).to_numpy()
+                label = part.column("label").to_numpy()
                 salt = (np.arange(tables, dtype=np.int64) + 1) * np.int64(0x5851F42D4C957F2D)
                 with np.errstate(over="ignore"):
                     bucket = (keys * np.int64(0x2545F4914F6CDD1D)) ^ salt ^ ((label[:, None] * 1_000_003 + dim) * np.int64(0x1B873593CC9E2D51))

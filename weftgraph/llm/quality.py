@@ -3,8 +3,9 @@
 Each labeller looks at a whole text and votes bad, good or abstains; most know one defect and vote bad or abstain. The
 votes of a document form a pattern, and the counts of patterns over all documents hold all that EM needs; there are at
 most 3 ** labellers of them. EM fits the rate of documents that are bad and the accuracy of each labeller's votes. The
-posteriors of a sample of at most SAMPLE documents, drawn by hash, train a logistic scorer over hashed features: words,
-their shapes, and coarse facts of the text. The scorer then judges every document.
+posteriors of a sample train a logistic scorer over hashed features: words, their shapes, and coarse facts of the text. The
+sample is the documents of the smallest hashes of doc_id and text, SAMPLE at most, however they are partitioned. The scorer
+then judges every document.
 
 Defined cases: a null text counts as empty; a text without words is rejected with score 0; equal texts get equal scores;
 an empty table gives an empty table; columns named like an added one are replaced, all others are carried along.
@@ -178,17 +179,19 @@ def classify(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataF
             n, bad = x.n, posterior_bad(votes(x.measures, x.n), labellers)
             of_words, of_text = word_slots(x.distinct)[x.codes], text_slots(x.measures)
             at = np.concatenate([[0], np.cumsum(n)])
-            slots, values = [], []
-            for i in np.nonzero(n)[0]:
+            slots, values, some = [], [], np.nonzero(n)[0]
+            for i in some:
                 s, k = np.unique(of_words[at[i] : at[i + 1]], return_counts=True)
                 slots.append(np.concatenate([s, of_text[i]]).tolist())
                 values.append(np.concatenate([k / n[i], np.ones(len(of_text[i]))]).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(bad[n > 0])], ["slots", "vals", "bad"])
-
-    # About `sample` documents by hash, and never more.
-    share = min(1.0, sample / max(total, 1))
-    drawn = texts.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = drawn.mapInArrow(lean(featured), "slots array<int>, vals array<float>, bad double").limit(sample).toArrow() if total else None
+            yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(some)), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(bad[some])], ["h", "slots", "vals", "bad"])
+
+    # 62 bits of a hash; twice the share of it that the sample needs, of which the driver gets the smallest ones.
+    hashed = docs.select("text", F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id", "text"), 2).alias("h")) if "doc_id" in docs.columns else docs.select("text", F.shiftrightunsigned(F.xxhash64(F.lit(5), "text"), 2).alias("h"))
+    share = int(min(1.0, 2 * sample / max(total, 1)) * (1 << 62))
+    smallest = [r["h"] for r in hashed.select("h").where(F.col("h") < share).orderBy("h").limit(sample + 1).collect()]
+    drawn = hashed.where(F.col("h") < (smallest[sample] if len(smallest) > sample else share))
+    rows = drawn.mapInArrow(lean(featured), "h long, slots array<int>, vals array<float>, bad double").toArrow().sort_by("h") if total else None
     if rows is not None and rows.num_rows:
         pairs = [(np.array(s.values), np.array(v.values, np.float64)) for s, v in zip(rows.column("slots"), rows.column("vals"), strict=True)]
         weights, bias = train(pairs, rows.column("bad").to_numpy())
