@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
 columns of `documents`. Line dedup keeps every row, with a text that may become empty; near-dedup keeps one of the empty
 ones; the mix drops texts without words, and repeats rows of sources whose target is above their size.
+
+Defined cases: a null text counts as empty and is rejected by the first stage, as is a text without words; texts are used
+whole at any length; a null doc_id, lang or source is kept as a value of its own; of equal rows the first stages keep
+both, and near-dedup one; extra columns are carried along as they are, also those named like a column that an operator adds
+inside a stage; an empty table passes through all stages. The last stage returns doc_id, lang and source, as far as they are
+there, with the ids.
 """
 
 from __future__ import annotations
@@ -16,11 +22,15 @@ from weftgraph.llm.common import Scratch
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs).where("kept").select(*docs.columns)
+    added = ("bad_posterior", "score", "kept")
+    own = {c: f"_weft_own_{c}" for c in docs.columns if c in added}
+    judged = quality.classify(docs.withColumnsRenamed(own)).where("kept").drop(*added)
+    return judged.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedupe(docs).withColumn("n_chars", F.length("text").cast("long"))
+    out = lines.dedupe(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +44,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    known = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return out.select(*known, "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
