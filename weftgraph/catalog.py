@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
 from .operators import mutate, query, traverse
-from .sources import listings, typescript, xml_views
+from .plans import Engine, render
+from .sources import class_files, listings, samples, typescript, xml_views
 from .sources.projection import Graph, oracle
+from .storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,18 +76,18 @@ def _(g: Graph) -> DataFrame:
 
 @register("f6_like_anywhere", "SELECT fqn, package FROM nodes WHERE fqn ILIKE '%c12.O%'")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.where(F.col("fqn").ilike("%c12.O%")).select("fqn", "package")
+    return query.named_like(g.nodes, "c12.O").select("fqn", "package")
 
 
 @register("f6_like_suffix", f"SELECT {EDGE} FROM edges WHERE to_fqn ILIKE '%.P7.USE()'")
 def _(g: Graph) -> DataFrame:
-    return g.edges.where(F.col("to_fqn").ilike("%.P7.USE()"))
+    return query.edges_to_name(g.edges, "P7.USE()")
 
 
 @register("f7_in_list", "SELECT fqn, package, line FROM nodes WHERE fqn IN (SELECT concat('shop.P', CAST(l_partkey AS STRING), '.use()') FROM lineitem WHERE l_quantity > 49)")
 def _(g: Graph) -> DataFrame:
     wanted = g.table("lineitem").where("l_quantity > 49").select(F.concat(F.lit("shop.P"), F.col("l_partkey"), F.lit(".use()")).alias("fqn"))
-    return g.nodes.join(wanted, "fqn", "left_semi").select("fqn", "package", "line")
+    return query.among(g.nodes, wanted).select("fqn", "package", "line")
 
 
 @register("f8_domain_prefix", "SELECT fqn FROM nodes WHERE starts_with(fqn, 'shop.R') OR starts_with(fqn, 'shop.S1')")
@@ -100,28 +102,27 @@ def _(g: Graph) -> DataFrame:
 
 @register("f9_transactional_methods", "SELECT fqn, package, line FROM nodes WHERE type = 'method' AND is_transactional")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.where((F.col("type") == "method") & F.col("is_transactional")).select("fqn", "package", "line")
+    return query.methods_where(g.nodes, "is_transactional").select("fqn", "package", "line")
 
 
 @register("f9_public_overrides", "SELECT fqn, package, line FROM nodes WHERE visibility = 'public' AND has_override")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.where((F.col("visibility") == "public") & F.col("has_override")).select("fqn", "package", "line")
+    return query.public_overrides(g.nodes).select("fqn", "package", "line")
 
 
 @register("f10_methods_taking", "SELECT DISTINCT to_fqn FROM edges WHERE edge_type = 'member_of' AND kind = 'argument' AND from_fqn = 'shop.S5'")
 def _(g: Graph) -> DataFrame:
-    return g.edges.where((F.col("edge_type") == "member_of") & (F.col("kind") == "argument") & (F.col("from_fqn") == "shop.S5")).select("to_fqn").distinct().orderBy("to_fqn")
+    return query.methods_taking(g.edges, "shop.S5")
 
 
 @register("f11_find_node", f"SELECT * FROM nodes WHERE fqn = '{PART}' LIMIT 1")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.where(F.col("fqn") == PART).limit(1)
+    return query.find_node(g.nodes, PART)
 
 
 @register("f11_resolve_uri", "SELECT uri FROM symbol_index WHERE fqn = 'shop.C12' AND package IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE') LIMIT 1")
 def _(g: Graph) -> DataFrame:
-    allowed = ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"]
-    return g.symbols.where((F.col("fqn") == "shop.C12") & F.col("package").isin(allowed)).select("uri").limit(1)
+    return query.resolve_uri(g.symbols, "shop.C12", ["BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE"])
 
 
 @register("f12_definition", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' AND usage_type = 'java_declaration' ORDER BY {ORDER} LIMIT 100")
@@ -134,7 +135,7 @@ NODE_TYPE = "CASE WHEN p_size % 10 = 0 THEN 'enum' WHEN p_size % 10 = 1 THEN 'in
 
 @register("f13_skip_enums", f"SELECT p_partkey, {NODE_TYPE} AS node_type FROM part WHERE {NODE_TYPE} <> 'enum'")
 def _(g: Graph) -> DataFrame:
-    return g.table("part").selectExpr("p_partkey", f"{NODE_TYPE} AS node_type").where("node_type <> 'enum'")
+    return class_files.without_enums(g.table("part").selectExpr("p_partkey", f"{NODE_TYPE} AS node_type"))
 
 
 FIELD_TYPE = "CASE l_linenumber WHEN 1 THEN 'int' WHEN 2 THEN 'java.lang.String' WHEN 3 THEN 'java.lang.String[]' WHEN 4 THEN 'int[]' ELSE concat('shop.P', CAST(l_partkey AS STRING)) END"
@@ -151,7 +152,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("f15_indexed_targets", f"SELECT {EDGE} FROM edges WHERE to_fqn IN (SELECT fqn FROM symbol_index)")
 def _(g: Graph) -> DataFrame:
-    return g.edges.join(g.symbols.select(F.col("fqn").alias("to_fqn")), "to_fqn", "left_semi").select(*columns(EDGE))
+    return query.indexed_targets(g.edges, g.symbols)
 
 
 @register(
@@ -169,12 +170,12 @@ SPECIFIER = "CASE WHEN p_partkey % 3 = 0 THEN concat('node_modules/', p_brand) W
 
 @register("f17_own_imports", f"SELECT p_partkey, m FROM (SELECT p_partkey, {SPECIFIER} AS m FROM part) t WHERE starts_with(m, '.') AND NOT contains(m, 'node_modules')")
 def _(g: Graph) -> DataFrame:
-    return g.table("part").selectExpr("p_partkey", f"{SPECIFIER} AS m").where(F.col("m").startswith(".") & ~F.col("m").contains("node_modules"))
+    return g.table("part").selectExpr("p_partkey", f"{SPECIFIER} AS m").where(fn.is_own_module(F.col("m")))
 
 
 @register("p1_drop_column", f"SELECT usage_type, caller_line, caller_symbol, callee_symbol, module FROM ({CALLERS}) c ORDER BY caller_symbol, callee_symbol, caller_line NULLS FIRST LIMIT 50")
 def _(g: Graph) -> DataFrame:
-    return query.slice_rows(query.callers(g.usages, PART), 0, 50).select(*columns(USAGE)).drop("caller_uri")
+    return query.brief_callers(g.usages.select(*columns(USAGE)), PART, 50, "caller_uri")
 
 
 @register(
@@ -196,7 +197,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("p4_usage_documents", "SELECT DISTINCT concat(usage_type, ': ', callee_symbol, ' in module ', module) AS document FROM usages WHERE usage_type = 'java_declaration'")
 def _(g: Graph) -> DataFrame:
-    document = F.concat("usage_type", F.lit(": "), "callee_symbol", F.lit(" in module "), "module")
+    document = fn.usage_document(F.col("usage_type"), F.col("callee_symbol"), F.col("module"))
     return g.usages.where("usage_type = 'java_declaration'").select(document.alias("document")).distinct()
 
 
@@ -239,7 +240,7 @@ def _(g: Graph) -> DataFrame:
 @register("j5_indexed_files", f"SELECT f.relative_uri, f.package FROM ({FILES}) f WHERE EXISTS (SELECT 1 FROM symbol_index s WHERE s.relative_uri = f.relative_uri AND s.package = f.package)")
 def _(g: Graph) -> DataFrame:
     files = g.nodes.select(F.concat(F.translate("fqn", ".", "/"), F.lit(".class")).alias("relative_uri"), "package")
-    return files.join(g.symbols, ["relative_uri", "package"], "left_semi")
+    return mutate.indexed_files(files, g.symbols)
 
 
 @register(
@@ -263,10 +264,8 @@ def _(g: Graph) -> DataFrame:
 )
 def _(g: Graph) -> DataFrame:
     part = g.table("part")
-    everywhere = part.where("p_size % 2 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("of_all"))
-    in_file = part.where("p_size % 3 = 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("of_file"))
-    found = g.table("lineitem").join(everywhere, "l_partkey", "left").join(in_file, "l_partkey", "left")
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("of_all", "of_file").alias("model"))
+    everywhere, in_file = (part.where(x).select(F.col("p_partkey").alias("l_partkey"), F.col(m).alias("model")) for x, m in (("p_size % 2 = 0", "p_brand"), ("p_size % 3 = 0", "p_type")))
+    return query.first_known(g.table("lineitem"), "l_partkey", "model", everywhere, in_file).select("l_orderkey", "l_linenumber", "l_partkey", "model")
 
 
 @register(
@@ -281,14 +280,12 @@ def _(g: Graph) -> DataFrame:
 
 @register("j11_callers_of_callers", f"SELECT b.from_fqn AS outer_caller, count(*) AS n FROM edges a JOIN edges b ON b.to_fqn = a.from_fqn WHERE a.edge_type = 'call' AND b.edge_type = 'call' AND a.to_fqn = '{PART}' GROUP BY 1")
 def _(g: Graph) -> DataFrame:
-    inner = g.calls.where(F.col("to_fqn") == PART).select(F.col("from_fqn").alias("to_fqn"))
-    return g.calls.join(inner, "to_fqn").groupBy(F.col("from_fqn").alias("outer_caller")).agg(F.count("*").alias("n"))
+    return traverse.callers_of_callers(g.calls, PART)
 
 
 @register("j12_annotations", "SELECT fqn, 'Transactional' AS annotation FROM nodes WHERE is_transactional UNION ALL SELECT fqn, 'Override' FROM nodes WHERE has_override")
 def _(g: Graph) -> DataFrame:
-    notes = F.array_compact(F.array(F.when(F.col("is_transactional"), F.lit("Transactional")), F.when(F.col("has_override"), F.lit("Override"))))
-    return g.nodes.select("fqn", F.explode(notes).alias("annotation"))
+    return query.annotations(g.nodes)
 
 
 # Aggregations.
@@ -296,23 +293,22 @@ def _(g: Graph) -> DataFrame:
 
 @register("a1_counts", "SELECT 'nodes' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'symbol_index', count(*) FROM symbol_index")
 def _(g: Graph) -> DataFrame:
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return count(g.nodes, "nodes").unionByName(count(g.edges, "edges")).unionByName(count(g.symbols, "symbol_index"))
+    return query.counts({"nodes": g.nodes, "edges": g.edges, "symbol_index": g.symbols})
 
 
 @register("a2_filtered_counts", "SELECT count(*) FILTER (type = 'class') AS classes, count(*) FILTER (type = 'method') AS methods FROM nodes")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.agg(F.count_if(F.col("type") == "class").alias("classes"), F.count_if(F.col("type") == "method").alias("methods"))
+    return query.kinds(g.nodes)
 
 
 @register("a3_edges_by_type", "SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
 def _(g: Graph) -> DataFrame:
-    return g.edges.groupBy("edge_type").agg(F.count("*").alias("n"))
+    return query.tally(g.edges, "edge_type")
 
 
 @register("a4_index_stats", "SELECT package, count(*) AS n FROM symbol_index GROUP BY package")
 def _(g: Graph) -> DataFrame:
-    return g.symbols.groupBy("package").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "package")
+    return query.most_frequent(g.symbols, "package")
 
 
 @register("a5_symbols_by_package", "SELECT package, count(*) AS symbols, CAST(sum(CASE WHEN type = 'class' THEN 1 ELSE 0 END) AS BIGINT) AS classes, CAST(sum(CASE WHEN type = 'method' THEN 1 ELSE 0 END) AS BIGINT) AS methods FROM nodes GROUP BY package")
@@ -335,7 +331,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("a7_strategy_versions", "SELECT embedding_model_name, document_strategy_version, count(*) AS n FROM usages GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
-    return g.usages.groupBy("embedding_model_name", "document_strategy_version").agg(F.count("*").alias("n"))
+    return query.tally(g.usages, "embedding_model_name", "document_strategy_version")
 
 
 @register("a8_embedding_health", "SELECT count(*) AS total, count(*) FILTER (embedding_model_name <> 'none') AS embedded, count(*) FILTER (embedding_model_name = 'none') AS missing, round(100.0 * count(*) FILTER (embedding_model_name <> 'none') / count(*), 1)::DOUBLE AS percent FROM usages")
@@ -345,32 +341,27 @@ def _(g: Graph) -> DataFrame:
 
 @register("a9_methods_of_class", "SELECT to_fqn AS fqn, string_agg(from_fqn, ',' ORDER BY from_fqn) AS methods FROM edges WHERE edge_type = 'member_of' AND kind = 'method' GROUP BY to_fqn")
 def _(g: Graph) -> DataFrame:
-    members = g.edges.where("edge_type = 'member_of' AND kind = 'method'").groupBy(F.col("to_fqn").alias("fqn"))
-    return members.agg(F.array_join(F.sort_array(F.collect_list("from_fqn")), ",").alias("methods"))
+    return query.methods_of_classes(g.edges)
 
 
 @register("a10_child_actions", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS child_actions, count(*) AS child_count FROM lineitem GROUP BY l_orderkey")
 def _(g: Graph) -> DataFrame:
-    listed = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    grouped = g.table("lineitem").groupBy("l_orderkey").agg(listed.alias("c"))
-    return grouped.select("l_orderkey", F.array_join(F.transform("c", lambda x: x["l_partkey"].cast("string")), ",").alias("child_actions"), F.size("c").cast("long").alias("child_count"))
+    return query.listed(g.table("lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], "l_partkey", "child_actions", "child_count")
 
 
 @register("a11_nested_sums", "SELECT package, count(DISTINCT fqn) FILTER (type = 'class') AS classes, count(DISTINCT fqn) FILTER (type = 'method') AS methods, CAST(sum(c) AS BIGINT) AS calls FROM (SELECT n.fqn, n.type, n.package, (SELECT count(*) FROM edges e WHERE e.edge_type = 'call' AND e.from_fqn = n.fqn) AS c FROM nodes n) t GROUP BY package")
 def _(g: Graph) -> DataFrame:
-    calls = g.calls.groupBy(F.col("from_fqn").alias("fqn")).agg(F.count("*").alias("c"))
-    kinds = [F.count_if(F.col("type") == t).alias(n) for t, n in (("class", "classes"), ("method", "methods"))]
-    return g.nodes.join(calls, "fqn", "left").groupBy("package").agg(*kinds, F.sum(F.coalesce("c", F.lit(0))).alias("calls"))
+    return query.nested_sums(g.nodes, g.calls)
 
 
 @register("a12_distinct", "SELECT DISTINCT from_package, to_package FROM edges")
 def _(g: Graph) -> DataFrame:
-    return g.edges.select("from_package", "to_package").distinct()
+    return query.package_links(g.edges)
 
 
 @register("a13_last_and_first", "SELECT user_id, max_by(event_type, event_id) AS last_type, min_by(event_type, event_id) AS first_type FROM events GROUP BY user_id")
 def _(g: Graph) -> DataFrame:
-    return g.table("events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min_by("event_type", "event_id").alias("first_type"))
+    return query.last_and_first(g.table("events"), "user_id", "event_type", "event_id").withColumnsRenamed({"last": "last_type", "first": "first_type"})
 
 
 @register("a14_content_hashes", "SELECT package, sha256(string_agg(concat(name, chr(0), sha256(content)), chr(10) ORDER BY name)) AS content_hash FROM (SELECT p_brand AS package, CAST(p_partkey AS VARCHAR) AS name, p_name AS content FROM part) t GROUP BY package")
@@ -380,7 +371,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("a15_top_modules", "SELECT module, count(*) AS n FROM usages GROUP BY module ORDER BY n DESC, module LIMIT 10")
 def _(g: Graph) -> DataFrame:
-    return g.usages.groupBy("module").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(10)
+    return query.most_frequent(g.usages, "module", 10)
 
 
 @register(
@@ -402,12 +393,12 @@ def _(g: Graph) -> DataFrame:
 
 @register("l2_nodes_nulls_first", "SELECT fqn, package, line FROM nodes ORDER BY package, line NULLS FIRST, fqn LIMIT 500")
 def _(g: Graph) -> DataFrame:
-    return g.nodes.orderBy("package", F.col("line").asc_nulls_first(), "fqn").limit(500).select("fqn", "package", "line")
+    return query.slice_rows(g.nodes, 0, 500, ["package", "line", "fqn"]).select("fqn", "package", "line")
 
 
 @register("l3_limit_in_order", f"SELECT {EDGE} FROM edges ORDER BY {', '.join(c + ' NULLS FIRST' for c in EDGE.split(', '))} LIMIT 40")
 def _(g: Graph) -> DataFrame:
-    return g.edges.orderBy(*columns(EDGE)).limit(40)
+    return query.slice_rows(g.edges, 0, 40, columns(EDGE))
 
 
 @register("l4_second_page", f"SELECT * FROM ({CALLERS}) c ORDER BY {ORDER} LIMIT 5 OFFSET 5")
@@ -417,7 +408,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("l7_sorted_names", "SELECT p_brand, list_aggregate(list_sort(list(DISTINCT p_type)), 'string_agg', ',') AS names FROM part GROUP BY p_brand")
 def _(g: Graph) -> DataFrame:
-    return g.table("part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_set("p_type")), ",").alias("names"))
+    return query.names_of(g.table("part"), "p_brand", "p_type", "names")
 
 
 # Changes.
@@ -483,8 +474,7 @@ def _(g: Graph) -> DataFrame:
 @register("u9_union_of_extractors", "SELECT 'java' AS source, from_fqn AS symbol, kind FROM edges WHERE edge_type = 'inheritance' UNION ALL SELECT 'xml', fqn, NULL FROM nodes WHERE type = 'class'")
 def _(g: Graph) -> DataFrame:
     java = g.edges.where("edge_type = 'inheritance'").select(F.lit("java").alias("source"), F.col("from_fqn").alias("symbol"), "kind")
-    xml = g.nodes.where("type = 'class'").select(F.lit("xml").alias("source"), F.col("fqn").alias("symbol"))
-    return java.unionByName(xml, allowMissingColumns=True)
+    return query.union_of(java, g.nodes.where("type = 'class'").select(F.lit("xml").alias("source"), F.col("fqn").alias("symbol")))
 
 
 CLAIMS = "SELECT p_brand AS relative_uri, p_type AS package, min(p_partkey) AS package_order, p_brand LIKE '%1' AS is_entity FROM part GROUP BY p_brand, p_type"
@@ -564,7 +554,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("g8_stats_of_module", "SELECT usage_type, source, count(*) AS n FROM usages WHERE module = 'BUILDING' GROUP BY 1, 2")
 def _(g: Graph) -> DataFrame:
-    return g.usages.where("module = 'BUILDING'").groupBy("usage_type", "source").agg(F.count("*").alias("n"))
+    return query.tally(query.chosen(g.usages, module="BUILDING", exclude_generated=False), "usage_type", "source")
 
 
 @register("g12_sql_who_takes", "SELECT DISTINCT to_fqn, to_package FROM edges WHERE edge_type = 'member_of' AND kind = 'argument' AND from_fqn = 'shop.S9'")
@@ -588,8 +578,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("w1_first_callers_of_each", f"SELECT to_fqn, from_fqn, from_line, nth FROM (SELECT *, row_number() OVER (PARTITION BY to_fqn ORDER BY from_fqn, from_line NULLS FIRST, kind) AS nth FROM edges WHERE edge_type = 'call') t WHERE nth <= 3")
 def _(g: Graph) -> DataFrame:
-    order = Window.partitionBy("to_fqn").orderBy("from_fqn", "from_line", "kind")
-    return g.calls.withColumn("nth", F.row_number().over(order)).where("nth <= 3").select("to_fqn", "from_fqn", "from_line", "nth")
+    return query.first_per_group(g.calls, "to_fqn", ["from_fqn", "from_line", "kind"], 3).select("to_fqn", "from_fqn", "from_line", "nth")
 
 
 @register("x5_simple_names", "SELECT fqn, regexp_extract(split_part(fqn, '(', 1), '[^.]*$') AS name FROM nodes")
@@ -629,7 +618,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("x17_truncated_names", "SELECT p_partkey, left(repeat(p_name, 9), 100) AS shown FROM part")
 def _(g: Graph) -> DataFrame:
-    return g.table("part").select("p_partkey", F.left(F.repeat("p_name", 9), F.lit(100)).alias("shown"))
+    return g.table("part").select("p_partkey", fn.shortened(F.repeat("p_name", 9)).alias("shown"))
 
 
 @register("x18_file_names", "SELECT caller_uri, regexp_extract(caller_uri, '([^/:]+)(:\\d+)?$', 1) AS file FROM usages WHERE usage_type = 'java_declaration'")
@@ -678,14 +667,12 @@ def _(g: Graph) -> DataFrame:
 
 @register("x26_shares", "SELECT package, CAST(floor(1000 * (count(*) / (SELECT count(*) FROM nodes))) AS BIGINT) AS per_thousand FROM nodes GROUP BY package")
 def _(g: Graph) -> DataFrame:
-    total = g.nodes.agg(F.count("*").alias("total"))
-    counted = g.nodes.groupBy("package").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
-    return counted.select("package", F.floor(1000 * (F.col("n") / F.col("total"))).alias("per_thousand"))
+    return query.package_shares(g.nodes)
 
 
 @register("s11_json_maps", "SELECT event_id, 'k' AS view_name, json_extract_string(props, '$.k') AS model FROM events")
 def _(g: Graph) -> DataFrame:
-    return g.table("events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("view_name", "model"))
+    return listings.mapped(g.table("events"), "props", "event_id")
 
 
 @register("s5_parsed_listing", "SELECT concat('com.axelor.', p_brand) AS \"group\", p_type AS artifact, '1' AS version, CAST(NULL AS VARCHAR) AS sources FROM part WHERE p_size % 3 = 0 GROUP BY 1, 2")
@@ -696,7 +683,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("k5_copied_rows", f"SELECT {USAGE} FROM usages ORDER BY {ORDER} LIMIT 300")
 def _(g: Graph) -> DataFrame:
-    return query.slice_rows(g.usages, 0, 300).select(*columns(USAGE))
+    return query.copied(g.usages, 300).select(*columns(USAGE))
 
 
 @register(
@@ -704,10 +691,7 @@ def _(g: Graph) -> DataFrame:
     "SELECT c.fqn, count(s.fqn) AS indexed_members, count(*) FILTER (m.from_fqn IS NOT NULL AND s.fqn IS NULL) AS unknown_members FROM (SELECT fqn FROM nodes WHERE type = 'class') c LEFT JOIN (SELECT from_fqn, to_fqn FROM edges WHERE edge_type = 'member_of' AND kind = 'method') m ON m.to_fqn = c.fqn LEFT JOIN symbol_index s ON s.fqn = m.from_fqn GROUP BY c.fqn",
 )
 def _(g: Graph) -> DataFrame:
-    members = g.edges.where("edge_type = 'member_of' and kind = 'method'").select(F.col("to_fqn").alias("fqn"), F.col("from_fqn").alias("member"))
-    known = g.symbols.select(F.col("fqn").alias("member"), F.lit(True).alias("known"))
-    found = g.nodes.where("type = 'class'").select("fqn").join(members, "fqn", "left").join(known, "member", "left")
-    return found.groupBy("fqn").agg(F.count("known").alias("indexed_members"), F.count_if(F.col("member").isNotNull() & F.col("known").isNull()).alias("unknown_members"))
+    return query.known_members(g.nodes, g.edges, g.symbols)
 
 
 @register("w2_files_per_package", "SELECT package, fqn, nth FROM (SELECT package, fqn, row_number() OVER (PARTITION BY package ORDER BY fqn) AS nth FROM symbol_index) t WHERE nth <= 5")
@@ -717,9 +701,7 @@ def _(g: Graph) -> DataFrame:
 
 @register("u10_union_of_matches", "SELECT l_orderkey, string_agg(DISTINCT k, ',' ORDER BY k) AS keys FROM (SELECT l_orderkey, concat('p', CAST(l_partkey AS VARCHAR)) AS k FROM lineitem UNION ALL SELECT l_orderkey, concat('s', CAST(l_suppkey AS VARCHAR)) FROM lineitem) t GROUP BY l_orderkey")
 def _(g: Graph) -> DataFrame:
-    item = g.table("lineitem").groupBy("l_orderkey")
-    sets = item.agg(F.collect_set(F.concat(F.lit("p"), "l_partkey")).alias("a"), F.collect_set(F.concat(F.lit("s"), "l_suppkey")).alias("b"))
-    return sets.select("l_orderkey", F.array_join(F.sort_array(F.array_union("a", "b")), ",").alias("keys"))
+    return query.union_of_matches(g.table("lineitem"), "l_orderkey", [F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")], "keys")
 
 
 @register("g13_edge_suffix", "SELECT e.from_fqn, e.to_fqn, e.kind, e.from_line, n.type AS from_type, n.visibility AS from_visibility FROM edges e LEFT JOIN nodes n ON e.from_fqn = n.fqn WHERE e.edge_type = 'call' AND (e.to_fqn = 'C12' OR e.to_fqn ILIKE '%.C12') ORDER BY 1, 2, 4, 3 LIMIT 100")
@@ -886,3 +868,189 @@ def _(g: Graph) -> DataFrame:
     files, listing = _scripts(g)
     both = typescript.both_ways(typescript.resolved(typescript.extract(files), listing))
     return both.where("usage_type like '%_by'").select("path", "usage_type", "caller_line", "caller_symbol", "callee_symbol", "callee_uri")
+
+
+# Compiled classes, a file for each part.
+
+CLASS = "concat('shop.P', lpad(CAST(p_partkey AS VARCHAR), 6, '0'))"
+RUN = f"concat({CLASS}, '.run(int[], shop.Base)')"
+CLASS_PATH = f"concat('/r/classes/', replace({CLASS}, '.', '/'), '.class')"
+RELATIVE = f"concat(replace({CLASS}, '.', '/'), '.class')"
+
+
+def _classes(g: Graph) -> DataFrame:
+    return samples.class_files(g.table("part"), "p_partkey", "p_brand")
+
+
+def _trees(g: Graph) -> DataFrame:
+    files = _classes(g)
+    return class_files.class_trees(files).join(files.select("package", "path"), "path")
+
+
+def _symbols(g: Graph, trees: DataFrame) -> DataFrame:
+    """Those of the classes, and of the parent that they call."""
+    parent = [(n, "file:///base.java", "base", "shop/Base.class", False, line) for n, line in (("shop.Base", None), ("shop.Base.make(long)", 3))]
+    own = class_files.tree_symbols(trees, F.col("package"))
+    return own.unionByName(g.spark.createDataFrame(parent, own.schema))
+
+
+@register("s1_class_trees", f"SELECT {CLASS_PATH} AS path, {CLASS} AS fqn, 'class' AS node_type, 'public' AS modifiers, 'shop.Base extends' AS inheritance, CAST(1 AS INT) AS methods FROM part")
+def _(g: Graph) -> DataFrame:
+    parents = F.array_join(F.transform("inheritance", lambda p: F.concat_ws(" ", p["fqn"], p["kind"])), ",")
+    return class_files.class_trees(_classes(g)).select("path", "fqn", "node_type", F.array_join("modifiers", ",").alias("modifiers"), parents.alias("inheritance"), F.size("methods").alias("methods"))
+
+
+@register("x2_method_signatures", f"SELECT {RUN} AS method, 'int[],shop.Base' AS arguments, CAST(7 AS INT) AS line, 'shop.Base.make(long)' AS callee, 'standard' AS kind FROM part")
+def _(g: Graph) -> DataFrame:
+    methods = class_files.class_trees(_classes(g)).select(F.explode("methods").alias("m"))
+    return methods.select(F.col("m.fqn").alias("method"), F.array_join("m.arguments", ",").alias("arguments"), F.col("m.line_number").alias("line"), F.col("m.calls")[0]["to_fqn"].alias("callee"), F.col("m.calls")[0]["kind"].alias("kind"))
+
+
+@register("x3_indexed_symbols", f"SELECT {CLASS} AS fqn, p_brand AS package, {RELATIVE} AS relative_uri, concat('file://', {RELATIVE}) AS uri, CAST(NULL AS INT) AS line FROM part UNION ALL SELECT {RUN}, p_brand, {RELATIVE}, concat('file://', {RELATIVE}, ':7'), 7 FROM part")
+def _(g: Graph) -> DataFrame:
+    return class_files.tree_symbols(_trees(g), F.col("package")).select("fqn", "package", "relative_uri", "uri", "line")
+
+
+@register(
+    "k3_class_edges",
+    " UNION ALL ".join([
+        f"SELECT {CLASS} AS from_fqn, 'inheritance' AS edge_type, 'shop.Base' AS to_fqn, 'extends' AS kind, p_brand AS from_package, 'base' AS to_package, CAST(NULL AS INT) AS from_line FROM part",
+        f"SELECT {RUN}, 'member_of', {CLASS}, 'method', p_brand, p_brand, NULL FROM part",
+        f"SELECT 'shop.Base', 'member_of', {RUN}, 'argument', 'base', p_brand, NULL FROM part",
+        f"SELECT {RUN}, 'call', 'shop.Base.make(long)', 'standard', p_brand, 'base', 7 FROM part",
+    ]),
+)
+def _(g: Graph) -> DataFrame:
+    trees = _trees(g)
+    return class_files.tree_edges(trees, _symbols(g, trees)).drop("owner")
+
+
+@register(
+    "k1_class_usages",
+    " UNION ALL ".join([
+        f"SELECT 'java_declaration' AS usage_type, concat('file://', {RELATIVE}) AS caller_uri, CAST(NULL AS INT) AS caller_line, NULL AS caller_symbol, {CLASS} AS callee_symbol, concat('file://', {RELATIVE}) AS callee_uri, p_brand AS module FROM part",
+        f"SELECT 'java_declaration', concat('file://', {RELATIVE}), 7, NULL, {RUN}, concat('file://', {RELATIVE}, ':7'), p_brand FROM part",
+        f"SELECT 'java_method_call', concat('file://', {RELATIVE}), 7, {RUN}, 'shop.Base.make(long)', 'file:///base.java', p_brand FROM part",
+    ]),
+)
+def _(g: Graph) -> DataFrame:
+    trees = _trees(g)
+    return class_files.tree_usages(trees, _symbols(g, trees)).select("usage_type", "caller_uri", "caller_line", "caller_symbol", "callee_symbol", "callee_uri", "module")
+
+
+def _engine(g: Graph) -> Engine:
+    return Engine(g.spark, scratch_path(g.spark, "engine"))
+
+
+@register("k2_ingested_nodes", f"SELECT {CLASS} AS fqn, 'class' AS type, p_brand AS package, CAST(NULL AS INT) AS line, 'public' AS visibility FROM part UNION ALL SELECT {RUN}, 'method', p_brand, 7, 'public' FROM part")
+def _(g: Graph) -> DataFrame:
+    engine = _engine(g)
+    engine.ingest_classes(_classes(g))
+    return engine.table("nodes").select("fqn", "type", "package", "line", "visibility")
+
+
+@register("s6_archive_members", f"SELECT concat({CLASS_PATH}, '.jar') AS path, concat('P', lpad(CAST(p_partkey AS VARCHAR), 6, '0'), '.class') AS member, CAST({len(samples.class_file())} AS INT) AS size FROM part")
+def _(g: Graph) -> DataFrame:
+    return listings.archive_members(samples.archives(_classes(g))).select("path", "member", F.length("content").alias("size"))
+
+
+# More of views, scripts, files and tools.
+
+ACTIONS = (
+    "concat('<views><form name=\"f', CAST(p_partkey AS STRING), '\" model=\"m.', lower(p_brand), '\"><field name=\"pic\"><viewer depends=\"w', CAST(p_size AS STRING), ', h\">{{record.a', CAST(p_size AS STRING), '}} {{b}}</viewer></field></form>"
+    "<action-method name=\"am', CAST(p_partkey AS STRING), '\"><call class=\"x.C', CAST(p_size AS STRING), '\" method=\"run\"/></action-method></views>')"
+)
+
+
+def _action_files(g: Graph) -> DataFrame:
+    return g.table("part").selectExpr("concat('/r/modules/', lower(p_brand), '/v', CAST(p_partkey AS STRING), '.xml') AS path", f"CAST({ACTIONS} AS BINARY) AS content")
+
+
+@register("v3_action_methods", _made([f"'action_method_definition' AS ref_type, concat('am', {P}) AS ref_value, concat('x.C', {S}, '.run') AS java_fqn", f"'xml_calls_java_method', 'run', concat('x.C', {S}, '.run')"]))
+def _(g: Graph) -> DataFrame:
+    found = xml_views.extract(_action_files(g)).where("ref_type in ('action_method_definition', 'xml_calls_java_method')")
+    return found.select("path", "module", "ref_type", "ref_value", F.col("context")["java_fqn"].alias("java_fqn"))
+
+
+@register("v7_viewers", _made([f"'xml_viewer_field_ref' AS ref_type, concat('a', {S}) AS ref_value, 'pic' AS parent_field", "'xml_viewer_field_ref', 'b', 'pic'", f"'xml_viewer_depends', concat('w', {S}), 'pic'", "'xml_viewer_depends', 'h', 'pic'"]))
+def _(g: Graph) -> DataFrame:
+    found = xml_views.extract(_action_files(g)).where("ref_type like 'xml_viewer%'")
+    return found.select("path", "module", "ref_type", "ref_value", F.col("context")["parent_field"].alias("parent_field"))
+
+
+@register("v10_models_of_views", f"SELECT concat('/r/modules/', lower(p_brand), '/v', {P}, '.xml') AS path, concat('f', {P}) AS view_name, concat('m.', lower(p_brand)) AS model FROM part")
+def _(g: Graph) -> DataFrame:
+    return xml_views.models_of_files(_action_files(g))
+
+
+@register("x23_context_json", f"SELECT concat('form_definition: f', {P}, ' in module ', lower(p_brand)) AS document, concat('{{\"view_id\":\"f', {P}, '\",\"is_extension\":\"False\",\"model\":\"m.', lower(p_brand), '\"}}') AS context_json FROM part")
+def _(g: Graph) -> DataFrame:
+    return xml_views.usages(xml_views.extract(_action_files(g))).where("usage_type = 'form_definition'").select("document", "context_json")
+
+
+@register("x11_local_names", "SELECT p_partkey, p_type AS name FROM part")
+def _(g: Graph) -> DataFrame:
+    return g.table("part").select("p_partkey", fn.local_name(F.concat(F.lit("{http://x/"), "p_brand", F.lit("}"), "p_type")).alias("name"))
+
+
+NAMED = "CASE WHEN p_size % 4 = 0 THEN concat('a.db.K', CAST(p_partkey AS VARCHAR)) ELSE concat('a.K', CAST(p_partkey AS VARCHAR)) END"
+
+
+@register(
+    "x8_source_uris",
+    f"SELECT c AS fqn, CASE size % 4 WHEN 0 THEN concat('file:///r/build/src-gen/java/', f) WHEN 1 THEN concat('file:///r/modules/m/src/main/java/', f) WHEN 2 THEN concat('file:///lib/m-1.2/sources/', f) ELSE 'old' END AS uri FROM (SELECT {NAMED} AS c, concat(replace({NAMED}, '.', '/'), '.java') AS f, p_size AS size FROM part) t",
+)
+def _(g: Graph) -> DataFrame:
+    named = g.table("part").selectExpr(f"{NAMED.replace('VARCHAR', 'STRING')} AS fqn", "p_size")
+    file = F.concat(F.translate("fqn", ".", "/"), F.lit(".java"))
+    places = F.array(F.when(F.col("p_size") % 4 < 2, "/r/modules/m/src/main/java/"), F.when(F.col("p_size") % 4 == 0, "/r/build/src-gen/java/"), F.when(F.col("p_size") % 4 == 2, "/lib/m-1.2/sources/"))
+    paths = named.select(F.explode(F.filter(places, lambda x: x.isNotNull())).alias("place"), file.alias("file")).select(F.concat("place", "file").alias("path"))
+    symbols = named.select("fqn", F.lit("old").alias("uri"), F.lit("m-1.2").alias("package"), F.concat(F.translate("fqn", ".", "/"), F.lit(".class")).alias("relative_uri"))
+    return mutate.fix_uris(symbols, mutate.uri_candidates(paths, symbols)).select("fqn", "uri")
+
+
+DECLARATIONS = "concat('const f', CAST(p_size AS STRING), ' = () => 1;\nclass C', CAST(p_size AS STRING), ' { m() { return 2; } }\nexport type T = string;\nconst View = (p) => p;\nlet n = 3;')"
+
+
+@register(
+    "x21_declaration_kinds",
+    " UNION ALL ".join(f"SELECT concat('/r/d', {P}, '.ts') AS path, {name} AS name, '{kind}' AS kind, CAST({line} AS INT) AS line FROM part" for name, kind, line in ((f"concat('f', {S})", "function", 1), (f"concat('C', {S})", "class", 2), ("'m'", "method", 2), ("'T'", "type", 3), ("'View'", "component", 4), ("'n'", "const", 5))),
+)
+def _(g: Graph) -> DataFrame:
+    return typescript.declarations(g.table("part").selectExpr("concat('/r/d', CAST(p_partkey AS STRING), '.ts') AS path", f"CAST({DECLARATIONS} AS BINARY) AS content"))
+
+
+@register("l6_first_files", f"SELECT concat('/r/modules/', lower(p_brand), '/v', {P}, '.xml') AS path FROM part ORDER BY path LIMIT 7")
+def _(g: Graph) -> DataFrame:
+    return listings.first_files(_action_files(g), 7).select("path")
+
+
+def _with_usages(g: Graph) -> Engine:
+    engine = _engine(g)
+    engine.add_usages(g.usages.where(F.col("callee_symbol").contains("P7.use()") | (F.col("caller_symbol") == "shop.C12") | F.col("caller_uri").contains("/BUILDING/shop.C1")))
+    return engine
+
+
+@register("g9_usages_as_text", f"""
+WITH c AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS i, count(*) OVER () AS total FROM ({CALLERS}) x)
+SELECT 0 AS n, concat('{PART}: ', CAST((SELECT count(*) FROM c) AS VARCHAR), ' usages') AS line
+UNION ALL SELECT CAST(i AS INT), concat(CASE WHEN i = 3 OR i = total THEN '└── ' ELSE '├── ' END, caller_symbol, ' (', regexp_extract(caller_uri, '[^/]*$'), ':', CAST(caller_line AS VARCHAR), ')') FROM c WHERE i <= 3
+UNION ALL SELECT 4, concat('… ', CAST(max(total) - 3 AS VARCHAR), ' more from offset 3') FROM c HAVING max(total) > 3""")
+def _(g: Graph) -> DataFrame:
+    page = _with_usages(g).find_usages(PART, query.CALL, limit=3)
+    return g.spark.createDataFrame(list(enumerate(render.usages_text(PART, page).split("\n"))), "n int, line string")
+
+
+@register("g11_tools", f"SELECT 'find_callers' AS tool, count(*) AS total, NULL AS error FROM ({CALLERS}) c UNION ALL SELECT 'raw_usages', count(*), NULL FROM usages WHERE callee_symbol = '{PART}' UNION ALL SELECT 'find_callees', count(*), NULL FROM usages WHERE caller_symbol = 'shop.C12' AND usage_type = 'java_method_call' UNION ALL SELECT 'search_by_file', count(*), NULL FROM usages WHERE contains(caller_uri, '/BUILDING/shop.C1') UNION ALL SELECT 'nothing', NULL, 'unknown tool: nothing'")
+def _(g: Graph) -> DataFrame:
+    engine = _with_usages(g)
+    asked = [("find_callers", {"symbol": PART}), ("raw_usages", {"symbol": PART, "exclude_generated": False}), ("find_callees", {"symbol": "shop.C12"}), ("search_by_file", {"file_path": "/BUILDING/shop.C1"}), ("nothing", {})]
+    said = [(tool, engine.call(tool, arguments)) for tool, arguments in asked]
+    return g.spark.createDataFrame([(tool, x.get("total"), x.get("error")) for tool, x in said], "tool string, total long, error string")
+
+
+@register("k5_copied_usages", f"SELECT {USAGE} FROM usages WHERE callee_symbol = '{PART}' OR caller_symbol = 'shop.C12' OR contains(caller_uri, '/BUILDING/shop.C1') OR contains(callee_symbol, 'P7.use()') ORDER BY {ORDER} LIMIT 50")
+def _(g: Graph) -> DataFrame:
+    copy = _engine(g)
+    copy.copy_from(_with_usages(g), 50)
+    return copy.table("usages").select(*columns(USAGE))

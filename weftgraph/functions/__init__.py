@@ -157,3 +157,31 @@ def template_fields(text: Column) -> Column:
 def strip_empty(context: Column) -> Column:
     """A map without null and empty values."""
     return F.map_filter(context, lambda _, v: v.isNotNull() & (v != ""))
+
+
+def usage_document(kind: Column, value: Column, module: Column) -> Column:
+    """The text that is indexed for a usage."""
+    return F.concat(kind, F.lit(": "), value, F.lit(" in module "), module)
+
+
+def shortened(text: Column, n: int = 100) -> Column:
+    return F.left(text, F.lit(n))
+
+
+def per_thousand(n: Column, total: Column) -> Column:
+    return F.floor(1000 * (n / total))
+
+
+def is_own_module(specifier: Column) -> Column:
+    """Whether an import is of a file of one's own: relative, and not below node_modules."""
+    return specifier.startswith(".") & ~specifier.contains("node_modules")
+
+
+def contains_text(column: Column, text: str) -> Column:
+    """Whether a text occurs, in any case, as SQL's ILIKE has it."""
+    return column.ilike(f"%{text}%")
+
+
+def ends_with_name(column: Column, name: str) -> Column:
+    """Whether a dotted name ends with parts, in any case."""
+    return column.ilike(f"%.{name}")

@@ -1,11 +1,11 @@
-"""Changes to tables as DataFrames: what a table holds after them. storage.replace() then exchanges it."""
+"""Changes to tables as DataFrames: what a table holds after them. storage.Store then holds it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import file_uri, simple_name
+from ..functions import file_uri, module_of_artifact, simple_name
 from ..storage import staged
 
 
@@ -77,19 +77,46 @@ def not_indexed(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return files.join(known, "relative_uri", "left").where(F.col("is_entity") | F.col("known").isNull()).drop("known")
 
 
+def indexed_files(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Files (relative_uri, package) of which symbols are known: those that an analysis reads."""
+    return files.join(symbols, ["relative_uri", "package"], "left_semi")
+
+
 def fix_uris(symbols: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Symbols with the uri of the best ranked of their candidates (relative_uri, rank, uri), or their own."""
-    best = candidates.groupBy("relative_uri").agg(F.min_by("uri", F.struct("rank", "uri")).alias("_uri"))
-    return symbols.join(best, "relative_uri", "left").withColumn("uri", F.coalesce("_uri", "uri")).select(*symbols.columns)
-
-
-def uri_candidates(files: DataFrame) -> DataFrame:
-    """(relative_uri, rank, uri) of source files (path): generated sources stand for persisted classes first, written ones for all others."""
-    root = r"^.*?/(?:build/src-gen/java|src-gen|src/main/java|src)/(.+)\.java$"
-    relative = F.regexp_extract("path", root, 1)
-    generated, persisted = F.col("path").contains("src-gen/"), F.col("path").contains("/db/")
-    rank = F.when(generated == persisted, 0).otherwise(1)
-    return files.select(F.concat(relative, F.lit(".class")).alias("relative_uri"), rank.alias("rank"), file_uri(F.col("path"), F.lit(None).cast("int")).alias("uri")).where(relative != "")
+    """Symbols with the uri of the best ranked of their candidates (relative_uri, rank, uri, and package if it matters), or their own."""
+    keys = [k for k in ("relative_uri", "package") if k in candidates.columns]
+    best = candidates.groupBy(*keys).agg(F.min_by("uri", F.struct("rank", "uri")).alias("_uri"))
+    return symbols.join(best, keys, "left").withColumn("uri", F.coalesce("_uri", "uri")).select(*symbols.columns)
+
+
+# Where sources lie, below a project or one of its modules.
+_MODULE, _MODULE_GENERATED = r"^.*?/modules/([^/]+)/src/main/java/(.+)\.java$", r"^.*?/modules/([^/]+)/build/src-gen/java/(.+)\.java$"
+_GENERATED, _SOURCES, _MAIN = r"^.*?/()(?:build/src-gen/java|src-gen)/(.+)\.java$", r"^(?:.*/)?([^/]+)/sources/(.+)\.java$", r"^.*?/()src/(?:main/java/)?(.+)\.java$"
+
+
+def uri_candidates(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(relative_uri, package, rank, uri) of source files (path) for symbols, best first.
+
+    Classes of a persisted model: the project's generated sources, then those of the module. All: the sources of the module
+    that the package is called after, those that lie beside a package's classes, then any under src.
+    """
+    roots = [("generated", _GENERATED), ("module_generated", _MODULE_GENERATED), ("module", _MODULE), ("sources", _SOURCES), ("main", _MAIN)]
+    found = F.array(*[F.struct(F.lit(name).alias("root"), F.regexp_extract("path", x, 1).alias("place"), F.regexp_extract("path", x, 2).alias("class")) for name, x in roots])
+    known = files.select("path", F.explode(found).alias("f")).select("path", "f.*").where("class <> ''")
+    known = known.where("root <> 'generated' or path not like '%/modules/%/build/%'")
+    wanted = symbols.select("relative_uri", "package").distinct()
+    # An inner class lies in the file of the outer one.
+    wanted = wanted.withColumn("class", F.regexp_extract("relative_uri", r"^(.*?)(\$[^/]*)?\.class$", 1))
+    persisted, module = F.col("class").contains("/db/"), module_of_artifact(F.col("package"))
+    rank = (
+        F.when((F.col("root") == "generated") & persisted, 0)
+        .when((F.col("root") == "module_generated") & persisted & (F.col("place") == module), 1)
+        .when((F.col("root") == "module") & (F.col("place") == module), 2)
+        .when((F.col("root") == "sources") & (F.col("place") == F.col("package")), 3)
+        .when(F.col("root") == "main", 4)
+    )
+    hits = wanted.join(known, "class").withColumn("rank", rank).where("rank is not null")
+    return hits.select("relative_uri", "package", "rank", file_uri(F.col("path"), F.lit(None).cast("int")).alias("uri"))
 
 
 def ordinals(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:

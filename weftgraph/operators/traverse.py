@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import staged
 
-#: Levels of an unbounded search.
-MOST_LEVELS = 50
-
 
 def impact_closure(edges: DataFrame, symbol: str, depth: int, include_root: bool = True) -> DataFrame:
-    """(symbol, depth): callers of a symbol within `depth` steps, each at its smallest distance.
+    """(symbol, depth): callers of a symbol within `depth` steps, all if it is below 0, each at its smallest distance.
+
+    The search ends where a level finds nothing new.
 
     Each level joins the frontier with the edges, drops duplicates before the next join, and is staged in shared storage,
     so that neither lineage nor repeated work grows with the depth. The frontier grows with the graph and is never
@@ -24,13 +24,14 @@ def impact_closure(edges: DataFrame, symbol: str, depth: int, include_root: bool
     callers = edges.select(F.col("to_fqn").alias("symbol"), F.col("from_fqn").alias("caller"))
     seen = spark.createDataFrame([(symbol, 0)], "symbol string, depth int")
     frontier = seen.select("symbol")
-    levels = range(1, (MOST_LEVELS if depth < 0 else min(depth, MOST_LEVELS)) + 1)
-    for level in levels:
+    for level in count(1) if depth < 0 else range(1, depth + 1):
         found = callers.join(frontier, "symbol").select(F.col("caller").alias("symbol")).distinct()
         new = staged(found.join(seen, "symbol", "left_anti"))
         if new.isEmpty():
             break
         seen = seen.unionByName(new.withColumn("depth", F.lit(level)))
+        if level % 16 == 0:  # else the plan grows with the depth
+            seen = staged(seen)
         frontier = new
     return seen if include_root else seen.where("depth > 0")
 
@@ -40,6 +41,12 @@ def callees_closure(edges: DataFrame, symbol: str, depth: int) -> DataFrame:
     return impact_closure(edges.select(F.col("to_fqn").alias("from_fqn"), F.col("from_fqn").alias("to_fqn")), symbol, depth)
 
 
+def callers_of_callers(calls: DataFrame, symbol: str) -> DataFrame:
+    """(outer_caller, n): who calls the callers of a symbol, and how often."""
+    inner = calls.where(F.col("to_fqn") == symbol).select(F.col("from_fqn").alias("to_fqn"))
+    return calls.join(inner, "to_fqn").groupBy(F.col("from_fqn").alias("outer_caller")).agg(F.count("*").alias("n"))
+
+
 @dataclass
 class Tree:
     symbol: str
@@ -59,16 +66,17 @@ class Tree:
 def _levels(calls: DataFrame, order: list[str], symbol: str, depth: int, width: int, limit: int) -> dict[str, tuple[int, list[str]]]:
     """Number of calls, and the first `limit` callers in order, of what a search can reach: `width` ** `depth` symbols at most."""
     by_callee = Window.partitionBy("to_fqn")
-    ranked = calls.withColumn("nth", F.row_number().over(by_callee.orderBy(*order))).withColumn("total", F.count("*").over(by_callee))
     known: dict[str, tuple[int, list[str]]] = {}
     frontier = {symbol}
     for _ in range(depth + 1):
         asked = calls.sparkSession.createDataFrame([(x,) for x in sorted(frontier)], "to_fqn string")
-        rows = ranked.join(asked, "to_fqn", "left_semi").where(F.col("nth") <= limit).select("to_fqn", "nth", "from_fqn", "total").collect()
-        known |= dict.fromkeys(frontier, (0, []))
-        for name in {r["to_fqn"] for r in rows}:
-            mine = sorted((r["nth"], r["from_fqn"], r["total"]) for r in rows if r["to_fqn"] == name)
-            known[name] = mine[0][2], [caller for _, caller, _ in mine]
+        mine = calls.join(asked, "to_fqn", "left_semi")  # only these are ranked
+        totals = mine.groupBy("to_fqn").agg(F.count("*").alias("total"))
+        first = mine.withColumn("nth", F.row_number().over(by_callee.orderBy(*order))).where(F.col("nth") <= limit)
+        rows = first.join(totals, "to_fqn").select("to_fqn", "nth", "from_fqn", "total").collect()
+        known |= {name: (0, []) for name in frontier}
+        for r in sorted(rows, key=lambda r: r["nth"]):
+            known[r["to_fqn"]] = r["total"], [*known[r["to_fqn"]][1], r["from_fqn"]]
         frontier = {c for x in frontier for c in known[x][1][:width] if c} - known.keys()
         if not frontier:
             break

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 SYMBOLS = "fqn string, uri string, package string, relative_uri string, is_entity boolean, line int"
-INDEX_METADATA = "package string, content_hash string, indexed_at timestamp"
+INDEX_METADATA = "package string, content_hash string, package_order int, indexed_at timestamp"
+#: Classes of a package that come from another one.
+OVERRIDDEN = "relative_uri string, package string, by_package string"
 NODES = "fqn string, type string, package string, line int, visibility string, has_override boolean, is_transactional boolean"
 EDGES = "from_fqn string, edge_type string, to_fqn string, kind string, from_package string, to_package string, from_line int"
 USAGES = (

@@ -241,9 +241,18 @@ ARROW_TREE = pa.schema([
 ])
 
 
+def without_enums(trees: DataFrame) -> DataFrame:
+    """Enums are not indexed, and so neither analysed nor linked to."""
+    return trees.where("node_type <> 'enum'")
+
+
+def with_relative_uri(trees: DataFrame) -> DataFrame:
+    return trees.withColumn("relative_uri", fn.relative_path(F.col("fqn"), ".class"))
+
+
 def tree_symbols(trees: DataFrame, package: Column) -> DataFrame:
-    """Symbols of classes and methods; enums are not indexed."""
-    trees = trees.where("node_type <> 'enum'").withColumn("package", package).withColumn("relative_uri", fn.relative_path(F.col("fqn"), ".class"))
+    """Symbols of classes and methods."""
+    trees = with_relative_uri(without_enums(trees).withColumn("package", package))
     classes = trees.select("fqn", "package", "relative_uri", "is_entity", F.col("line_number").alias("line"))
     methods = trees.select("package", "relative_uri", "is_entity", F.explode("methods").alias("m")).select("m.fqn", "package", "relative_uri", "is_entity", F.col("m.line_number").alias("line"))
     both = classes.unionByName(methods)
@@ -260,17 +269,18 @@ def tree_nodes(trees: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def tree_edges(trees: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges between indexed symbols: a member points to what contains it."""
-    method = trees.select("fqn", F.explode("methods").alias("m"))
+    """Edges between indexed symbols, with the package of the file as owner: a member points to what contains it."""
+    trees = trees.withColumn("owner", F.col("package"))
+    method = trees.select("owner", "fqn", F.explode("methods").alias("m"))
     none = F.lit(None).cast("int")
 
     def edge(df: DataFrame, source: str, kind_of_edge: str, target: str, kind: Column, line: Column = none) -> DataFrame:
-        return df.select(F.col(source).alias("from_fqn"), F.lit(kind_of_edge).alias("edge_type"), F.col(target).alias("to_fqn"), kind.alias("kind"), line.alias("from_line"))
+        return df.select("owner", F.col(source).alias("from_fqn"), F.lit(kind_of_edge).alias("edge_type"), F.col(target).alias("to_fqn"), kind.alias("kind"), line.alias("from_line"))
 
-    parents = trees.select("fqn", F.explode("inheritance").alias("p"))
-    fields = trees.select("fqn", F.explode("fields").alias("f"))
-    arguments = method.select("m.fqn", F.explode("m.arguments").alias("a"))
-    calls = method.select(F.col("m.fqn").alias("fqn"), F.explode("m.calls").alias("c"))
+    parents = trees.select("owner", "fqn", F.explode("inheritance").alias("p"))
+    fields = trees.select("owner", "fqn", F.explode("fields").alias("f"))
+    arguments = method.select("owner", "m.fqn", F.explode("m.arguments").alias("a"))
+    calls = method.select("owner", F.col("m.fqn").alias("fqn"), F.explode("m.calls").alias("c"))
     edges = (
         edge(parents, "fqn", "inheritance", "p.fqn", F.col("p.kind"))
         .unionByName(edge(fields, "f.type", "member_of", "fqn", F.lit("attribute")))
@@ -282,4 +292,23 @@ def tree_edges(trees: DataFrame, symbols: DataFrame) -> DataFrame:
     known = symbols.select("fqn", "package").distinct()
     first = known.select(F.col("fqn").alias("from_fqn"), F.col("package").alias("from_package"))
     second = known.select(F.col("fqn").alias("to_fqn"), F.col("package").alias("to_package"))
-    return edges.join(first, "from_fqn").join(second, "to_fqn").select("from_fqn", "edge_type", "to_fqn", "kind", "from_package", "to_package", "from_line")
+    return edges.join(first, "from_fqn").join(second, "to_fqn").select("from_fqn", "edge_type", "to_fqn", "kind", "from_package", "to_package", "from_line", "owner")
+
+
+def tree_usages(trees: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Usages, with the package as owner: a declaration of each class and method, and each call with what is known of its callee."""
+    known = symbols.select("fqn", "uri", "line").dropDuplicates(["fqn"])
+    here = trees.join(known.select("fqn", "uri"), "fqn").withColumn("module", fn.module_of_artifact(F.col("package")))
+    method = here.select("package", "module", "uri", F.explode("methods").alias("m"))
+    kind_of = F.when(F.col("callee_symbol").contains("("), "method").otherwise("class")
+
+    def declared(df: DataFrame, symbol: str, line: Column) -> DataFrame:
+        return df.select(F.lit("java_declaration").alias("usage_type"), F.col("uri").alias("caller_uri"), line.alias("caller_line"), F.lit(None).cast("string").alias("caller_symbol"), F.col(symbol).alias("callee_symbol"), "module", "package")
+
+    calls = method.select("package", "module", "uri", F.col("m.fqn").alias("caller_symbol"), F.explode("m.calls").alias("c"))
+    called = calls.select(F.lit("java_method_call").alias("usage_type"), F.col("uri").alias("caller_uri"), F.col("c.line_number").alias("caller_line"), "caller_symbol", F.col("c.to_fqn").alias("callee_symbol"), "module", "package")
+    rows = declared(here, "fqn", F.col("line_number")).unionByName(declared(method, "m.fqn", F.col("m.line_number"))).unionByName(called)
+    callee = known.select(F.col("fqn").alias("callee_symbol"), F.col("uri").alias("callee_uri"), F.col("line").alias("callee_line"))
+    return rows.join(callee, "callee_symbol", "left").select(
+        F.lit("java").alias("source"), "usage_type", "caller_uri", "caller_line", "caller_symbol", F.when(F.col("caller_symbol").isNotNull(), "method").alias("caller_kind"), "callee_uri", "callee_symbol", "callee_line", kind_of.alias("callee_kind"), "module", F.col("package").alias("owner")
+    )

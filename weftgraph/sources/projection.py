@@ -6,8 +6,11 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.mutate import ordinals
 from ..schemas import EDGE_ORDER
+from ..storage import clustered, exists, scratch_path
 
 NODES_SQL = """
 SELECT concat('shop.R', CAST(r_regionkey AS STRING)) AS fqn, 'class' AS type, 'geo' AS package, CAST(NULL AS INT) AS line,
@@ -69,8 +72,13 @@ def oracle(sql: str) -> str:
     return head + ",\n".join(needed) + rest
 
 
+#: How the projected tables are stored: partition columns, and the order of rows.
+CLUSTERS = {"nodes": (["package"], ["fqn"]), "edges": (["edge_type"], EDGE_ORDER[2:3] + EDGE_ORDER[:1]), "usages": (["usage_type"], ["callee_symbol", "caller_symbol"]), "symbols": (["package"], ["fqn"])}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Graph:
-    """The projected tables of a folder, each planned on first use."""
+    """The projected tables of a folder. Each is stored on first use, clustered as the engine's are, and read from there."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -84,13 +92,26 @@ class Graph:
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
         return self.spark.sql(sql, **frames)
 
+    def _stored(self, name: str, made: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED or not exists(self.spark, _STORED[key]):
+            path = f"{scratch_path(self.spark, 'graph')}/{name}"
+            clustered(made, path, *CLUSTERS[name])
+            _STORED[key] = path
+        return self.spark.read.schema(made.schema).parquet(_STORED[key]).select(*made.columns)
+
+    def store(self) -> None:
+        """Stores all tables."""
+        for name in CLUSTERS:
+            getattr(self, name)
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._sql(NODES_SQL)
+        return self._stored("nodes", self._sql(NODES_SQL))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._sql(EDGES_SQL)
+        return self._stored("edges", self._sql(EDGES_SQL))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -98,15 +119,18 @@ class Graph:
 
     @cached_property
     def event_edges(self) -> DataFrame:
-        return self._sql(EVENT_EDGES_SQL)
+        """An event's user calls the next one's: rows are numbered and joined, so that no task holds them all."""
+        events = ordinals(self.table("events").select("event_id", "user_id"), ["event_id"], "n")
+        one = events.select("n", F.concat(F.lit("u"), "user_id").alias("from_fqn"))
+        return one.join(events.select((F.col("n") - 1).alias("n"), F.concat(F.lit("u"), "user_id").alias("to_fqn")), "n").select("from_fqn", "to_fqn").where("to_fqn is not null")
 
     @cached_property
     def usages(self) -> DataFrame:
-        return self._sql(USAGES_SQL, edges=self.edges, nodes=self.nodes)
+        return self._stored("usages", self._sql(USAGES_SQL, edges=self.edges, nodes=self.nodes))
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self._sql(SYMBOLS_SQL, nodes=self.nodes)
+        return self._stored("symbols", self._sql(SYMBOLS_SQL, nodes=self.nodes))
 
 
 __all__ = ["EDGE_ORDER", "Graph", "oracle"]

@@ -130,6 +130,79 @@ def usages(text: str, path: str) -> list[tuple]:
     return out
 
 
+# Words in front of a declared name, and the kind that they declare.
+DECLARED = {"function": "function", "class": "class", "interface": "interface", "type": "type", "enum": "enum", "namespace": "namespace", "module": "namespace"}
+
+
+def declared(text: str) -> list[tuple[str, str, int]]:
+    """(name, kind, line) of declarations: functions, classes, methods, interfaces, types, enums, namespaces, components and constants."""
+    t = tokens(text)
+    out: list[tuple[str, str, int]] = []
+    depth, waiting, bodies = 0, False, []  # depths of open class bodies
+    for i, (kind, word, line) in enumerate(t):
+        before, behind, third = (t[j][1] if 0 <= j < len(t) else "" for j in (i - 1, i + 1, i + 2))
+        if kind == "name" and before in DECLARED and (before not in ("type", "module") or behind in ("=", "<", "{")):
+            out.append((word, DECLARED[before], line))
+            waiting = waiting or before == "class"
+        elif kind == "name" and before in ("const", "let", "var"):
+            end = next((j for j in range(i + 1, len(t)) if t[j][1] in ("=", ";", ")", "of", "in")), len(t))
+            value = [x[1] for x in t[end + 1 : end + 3]] if end < len(t) and t[end][1] == "=" else []
+            called = bool(value) and (value[0] in ("function", "async") or _is_arrow(t, end + 1))
+            out.append((word, ("component" if word[:1].isupper() else "function") if called else "const", line))
+        elif kind == "name" and bodies and bodies[-1] == depth and behind == "(" and before in ("{", "}", ";", "async", "public", "private", "protected", "static", "get", "set", "override"):
+            out.append((word, "method", line))
+        if word == "{" and kind == "sign":
+            depth += 1
+            if waiting:
+                bodies.append(depth)
+                waiting = False
+        elif word == "}" and kind == "sign":
+            if bodies and bodies[-1] == depth:
+                bodies.pop()
+            depth -= 1
+    return out
+
+
+def _is_arrow(t: list[tuple[str, str, int]], i: int) -> bool:
+    """Whether a value that begins at i is an arrow function."""
+    if i + 1 < len(t) and t[i][0] == "name":
+        return t[i + 1][1] == "=>"
+    depth = 0
+    for j in range(i, len(t)):
+        depth += (t[j][1] in "([{") - (t[j][1] in ")]}") if t[j][0] == "sign" else 0
+        if depth == 0:
+            behind = [x[1] for x in t[j + 1 : j + 12]]
+            return t[i][1] == "(" and "=>" in behind[: behind.index(";") if ";" in behind else None] and behind[:1] in (["=>"], [":"])
+    return False
+
+
+def _own(files: DataFrame) -> DataFrame:
+    return files.where(F.col("path").rlike(r"\.tsx?$") & ~F.col("path").contains("node_modules")).select("path", "content")
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """(path, name, kind, line) of TypeScript files (path, content); of equal names in a file the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = declared((content or b"").decode("utf-8", "replace"))
+                names, kinds, lines = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(lines, pa.int32())], ["path", "name", "kind", "line"])
+
+    every = _own(files).mapInArrow(run, "path string, name string, kind string, line int")
+    return every.groupBy("path", "name").agg(F.min_by("kind", "line").alias("kind"), F.min("line").alias("line"))
+
+
+def with_kinds(found: DataFrame, declared: DataFrame) -> DataFrame:
+    """Usages with caller_kind, callee_kind and callee_line by the declarations; a hook's kind is `hook`."""
+    callers = declared.select("path", F.col("name").alias("caller_symbol"), F.col("kind").alias("caller_kind"))
+    callees = declared.select(F.col("path").alias("callee_uri"), F.col("name").alias("callee_symbol"), F.col("kind").alias("callee_kind"), F.col("line").alias("callee_line"))
+    out = found.join(callers, ["path", "caller_symbol"], "left").join(callees, ["callee_uri", "callee_symbol"], "left")
+    kind = F.when(F.col("usage_type") == "hook_call", "hook").otherwise(F.col("callee_kind"))
+    return out.withColumn("callee_kind", kind).select(*found.columns, "caller_kind", "callee_kind", "callee_line")
+
+
 def extract(files: DataFrame) -> DataFrame:
     """(path, usage columns) of TypeScript files (path, content)."""
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
@@ -142,8 +215,7 @@ def extract(files: DataFrame) -> DataFrame:
                 values = list(zip(*found, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *[pa.array(v, k) for v, k in zip(values, types, strict=True)]], names)
 
-    wanted = files.where(F.col("path").rlike(r"\.tsx?$") & ~F.col("path").contains("node_modules"))
-    return wanted.select("path", "content").mapInArrow(run, f"path string, {USAGE}")
+    return _own(files).mapInArrow(run, f"path string, {USAGE}")
 
 
 def resolved(found: DataFrame, paths: DataFrame) -> DataFrame:
@@ -161,5 +233,9 @@ def both_ways(found: DataFrame) -> DataFrame:
     names = {"function_call": "function_called_by", "hook_call": "hook_called_by", "react_component": "component_used_by"}
     mapped = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     known = found.where(F.col("usage_type").isin(list(names)) & F.col("callee_uri").isNotNull() & (F.col("caller_line") > 0))
-    swapped = known.select(F.col("callee_uri").alias("path"), mapped[F.col("usage_type")].alias("usage_type"), "caller_line", F.col("callee_symbol").alias("caller_symbol"), F.col("caller_symbol").alias("callee_symbol"), F.col("path").alias("callee_uri"), "string_context")
+    back = {"path": "callee_uri", "callee_uri": "path", "caller_symbol": "callee_symbol", "callee_symbol": "caller_symbol", "caller_kind": "callee_kind", "callee_kind": "caller_kind"}
+    if "callee_line" in found.columns:  # where both lines are known, they change places
+        back |= {"caller_line": "callee_line", "callee_line": "caller_line"}
+        known = known.where("callee_line > 0")
+    swapped = known.select(*[mapped[F.col("usage_type")].alias(c) if c == "usage_type" else F.col(back.get(c, c)).alias(c) for c in found.columns])
     return found.unionByName(swapped)

@@ -11,6 +11,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,12 +59,15 @@ def local(tag: object) -> str:
 
 @dataclass
 class Scope:
-    """What stands above an element, nearest first."""
+    """What stands above an element, the root first."""
 
     above: list[ET.Element] = field(default_factory=list)
 
+    def upward(self) -> Iterator[ET.Element]:
+        return reversed(self.above)
+
     def nearest(self, names: list[str]) -> ET.Element | None:
-        return next((x for x in self.above if local(x.tag) in names), None)
+        return next((x for x in self.upward() if local(x.tag) in names), None)
 
     def view(self) -> dict[str, str]:
         found = self.nearest(VIEWS)
@@ -73,11 +77,20 @@ class Scope:
         return {"parent_view_id": found.get("id") or name, "parent_view_name": name, "parent_view_tag": local(found.tag)}
 
 
-def _walk(element: ET.Element, above: list[ET.Element]) -> Iterator[tuple[ET.Element, str, Scope]]:
-    yield element, local(element.tag), Scope(above)
-    inner = [element, *above]
-    for child in element:
-        yield from _walk(child, inner)
+def _walk(root: ET.Element) -> Iterator[tuple[ET.Element, str, Scope]]:
+    """Elements in order of the file, of any depth; what stands above is one list that grows and shrinks."""
+    above: list[ET.Element] = []
+    waiting = [iter([root])]
+    while waiting:
+        element = next(waiting[-1], None)
+        if element is None:
+            waiting.pop()
+            if above:
+                above.pop()
+            continue
+        yield element, local(element.tag), Scope(above)
+        above.append(element)
+        waiting.append(iter(element))
 
 
 def view_models(root: ET.Element) -> dict[str, str]:
@@ -113,8 +126,10 @@ def _group(x: ET.Element, tag: str) -> Iterator[Reference]:
 
 def _method(x: ET.Element, tag: str) -> Iterator[Reference]:
     name = x.get("name")
+    if tag != "action-method" or not name:
+        return
     call = next((c for c in x.iter() if local(c.tag) == "call"), None)
-    if tag != "action-method" or not name or call is None:
+    if call is None:
         return
     owner, method = call.get("class", ""), call.get("method", "")
     yield "action_method_definition", name, {"java_class": owner, "java_method": method, "java_fqn": f"{owner}.{method}" if owner and method else ""}
@@ -128,9 +143,9 @@ def _java_call(action: str, event: str, more: dict[str, str]) -> Iterator[Refere
         yield "xml_calls_java_method", parts[1], {"event_type": event, "java_class": parts[0], "java_fqn": action, "direct_call": "true", **more}
 
 
-def _events(x: ET.Element, tag: str, scope: Scope) -> Iterator[Reference]:
+def _events(x: ET.Element, tag: str, scope: Scope, events: list[str] = EVENTS) -> Iterator[Reference]:
     name, view = x.get("field", "") or x.get("name", ""), None
-    for event in EVENTS:
+    for event in events:
         action = x.get(event)
         if not action:
             continue
@@ -195,7 +210,7 @@ def head_model(x: ET.Element, scope: Scope, models: Models) -> tuple[str, str]:
     """The model that a field belongs or leads to, and how it was found."""
     if (found := _own_target(x, ("field_target", "field_target_name")))[0]:
         return found
-    for i, above in enumerate(scope.above):
+    for i, above in enumerate(scope.upward(), 2):
         tag = local(above.tag)
         if tag == "panel-related":
             if above.get("target"):
@@ -203,7 +218,7 @@ def head_model(x: ET.Element, scope: Scope, models: Models) -> tuple[str, str]:
             found = _panel_model(above, models, "")
             return found if found[0] else ("", "unresolved_panel_related")
         if tag == "editor":
-            owner = scope.above[i + 1] if i + 1 < len(scope.above) else None
+            owner = scope.above[-i] if i <= len(scope.above) else None
             if owner is not None and local(owner.tag) == "field":
                 if model := owner.get("target") or owner.get("target-name"):
                     return model, "editor_parent_field"
@@ -217,7 +232,7 @@ def tail_model(x: ET.Element, scope: Scope, models: Models) -> tuple[str, str]:
     """The model that the last part of a dotted field belongs to."""
     if (found := _own_target(x, ("tail_from_field_target", "tail_from_field_target_name")))[0]:
         return found
-    panel = next((y for y in [x, *scope.above] if local(y.tag) == "panel-related"), None)
+    panel = next((y for y in chain([x], scope.upward()) if local(y.tag) == "panel-related"), None)
     return ("", "") if panel is None else _panel_model(panel, models, "tail_from_")
 
 
@@ -240,7 +255,7 @@ def _fields(x: ET.Element, tag: str, scope: Scope, models: Models) -> Iterator[R
 def _viewer(x: ET.Element, tag: str, scope: Scope) -> Iterator[Reference]:
     if tag != "viewer":
         return
-    owner = scope.above[0] if scope.above else None
+    owner = scope.above[-1] if scope.above else None
     name, above = ("", "") if owner is None else (owner.get("name", ""), local(owner.tag))
     text = x.text or ""
     for shown in template_fields(text) if text.strip() else ():
@@ -250,8 +265,8 @@ def _viewer(x: ET.Element, tag: str, scope: Scope) -> Iterator[Reference]:
             yield "xml_viewer_depends", needed.strip(), {"parent_field": name, "attribute": "depends"}
 
 
-def _expressions(x: ET.Element, tag: str) -> Iterator[Reference]:
-    for attribute in [*CONDITIONS, *EXPRESSIONS]:
+def _expressions(x: ET.Element, tag: str, conditions: list[str] = CONDITIONS) -> Iterator[Reference]:
+    for attribute in dict.fromkeys([*conditions, *EXPRESSIONS]):
         if value := x.get(attribute):
             for name in expression_fields(value):
                 yield "xml_expression_field_ref", name, {"attribute": attribute, "expression": value[:100], "element_tag": tag}
@@ -260,60 +275,107 @@ def _expressions(x: ET.Element, tag: str) -> Iterator[Reference]:
             yield "xml_script_field_ref", name, {"element_tag": tag, "script_type": "groovy" if tag == "action-script" else "expression"}
 
 
-def references(text: str | bytes, global_models: dict[str, str] | None = None) -> list[Reference]:
-    """All references of a file; none of one that isn't well-formed."""
+def _root(text: str | bytes) -> ET.Element | None:
     try:
-        root = ET.fromstring(text)
+        return ET.fromstring(text)
     except ET.ParseError:
+        return None
+
+
+def references(text: str | bytes, global_models: dict[str, str] | None = None, events: list[str] = EVENTS, conditions: list[str] = CONDITIONS) -> list[Reference]:
+    """All references of a file; none of one that isn't well-formed."""
+    root = _root(text)
+    if root is None:
         return []
     models = [global_models or {}, view_models(root)]
     out: list[Reference] = []
-    for x, tag, scope in _walk(root, []):
-        out += [*_definition(x, tag), *_group(x, tag), *_method(x, tag), *_events(x, tag, scope), *_view_uses(x, tag, scope)]
-        out += [*_fields(x, tag, scope, models), *_viewer(x, tag, scope), *_expressions(x, tag)]
+    for x, tag, scope in _walk(root):
+        out += [*_definition(x, tag), *_group(x, tag), *_method(x, tag), *_events(x, tag, scope, events), *_view_uses(x, tag, scope)]
+        out += [*_fields(x, tag, scope, models), *_viewer(x, tag, scope), *_expressions(x, tag, conditions)]
     return out
 
 
+def used_views(text: str | bytes) -> list[str]:
+    """Views whose models a file needs: those that its related panels name."""
+    root = _root(text)
+    panels = [] if root is None else [x for x in root.iter() if local(x.tag) == "panel-related"]
+    return sorted({x.get("grid-view") or x.get("form-view") for x in panels} - {None})
+
+
 def xml_files(files: DataFrame) -> DataFrame:
     """Files (path, content) that are views of sources: no part of their path is an excluded folder."""
     parts = F.split("path", "/")
     return files.where(F.col("path").endswith(".xml") & ~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in EXCLUDED_FOLDERS])))
 
 
-def extract(files: DataFrame, view_map: DataFrame | None = None) -> DataFrame:
+def extract(files: DataFrame, view_map: DataFrame | None = None, vocabulary: DataFrame | None = None) -> DataFrame:
     """(path, module, ref_type, ref_value, line_number, context) of files (path, content).
 
-    view_map: (view_name, model) of all repositories. It is small, one row per view, and goes to the driver; its size is
-    bounded by `MOST_VIEWS`.
+    view_map: (view_name, model) of all repositories. Up to MOST_VIEWS rows go to the driver; of a larger map each file is
+    joined with the views that it names. vocabulary: (path, kind, name) of schemas, few by nature; their events and
+    conditions, if they have any, take the place of the fixed ones.
     """
     known: dict[str, str] = {}
+    rows = files.select("path", "content")
     if view_map is not None:
-        rows = view_map.limit(MOST_VIEWS + 1).collect()
-        if len(rows) > MOST_VIEWS:
-            raise ValueError(f"more than {MOST_VIEWS} views: join them instead")
-        known = {r["view_name"]: r["model"] for r in rows}
+        collected = view_map.limit(MOST_VIEWS + 1).collect()
+        if len(collected) > MOST_VIEWS:
+            rows = rows.join(_views_of_files(rows, view_map), "path", "left")
+        else:
+            known = {r["view_name"]: r["model"] for r in collected}
+    words = {"events": EVENTS, "conditions": CONDITIONS}
+    if vocabulary is not None:
+        for r in vocabulary.where(F.col("kind").isin(list(words))).groupBy("kind").agg(F.sort_array(F.collect_set("name")).alias("names")).collect():
+            words[r["kind"]] = r["names"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found = references(content or b"", known)
+            own = batch.column("views").to_pylist() if "views" in batch.schema.names else [None] * batch.num_rows
+            for path, content, views in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), own, strict=True):
+                found = references(content or b"", dict(views) if views else known, words["events"], words["conditions"])
                 kinds, values, contexts = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([path] * len(found), pa.string()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([0] * len(found), pa.int32()), pa.array([list(c.items()) for c in contexts], pa.map_(pa.string(), pa.string()))],
                     ["path", "ref_type", "ref_value", "line_number", "context"],
                 )
 
-    rows = files.select("path", "content").mapInArrow(run, f"path string, {REFERENCE}")
-    return rows.withColumn("module", fn.module_of_path(F.col("path")))
+    return rows.mapInArrow(run, f"path string, {REFERENCE}").withColumn("module", fn.module_of_path(F.col("path")))
+
 
+def models_of_files(files: DataFrame) -> DataFrame:
+    """(path, view_name, model) of the views that files (path, content) define; the last of a name in a file counts."""
 
-#: Views of a global map that are kept in memory at most.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                root = _root(content or b"")
+                found = {} if root is None else view_models(root)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([path] * len(found), list(found), list(found.values()))], ["path", "view_name", "model"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, view_name string, model string")
+
+
+#: Views of a global map that go to the driver and to each task at most.
 MOST_VIEWS = 1_000_000
 
 
+def _views_of_files(files: DataFrame, view_map: DataFrame) -> DataFrame:
+    """(path, views): the part of a map that a file needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                names = used_views(content or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string())], ["path", "view_name"])
+
+    single = view_map.groupBy("view_name").agg(F.max("model").alias("model"))
+    named = files.mapInArrow(run, "path string, view_name string").join(single, "view_name")
+    return named.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("view_name", "model"))).alias("views"))
+
+
 def usages(extracted: DataFrame) -> DataFrame:
     """Extracted references as rows of the usage table, each with the text that is indexed for it."""
-    document = F.concat("ref_type", F.lit(": "), "ref_value", F.lit(" in module "), "module")
+    document = fn.usage_document(F.col("ref_type"), F.col("ref_value"), F.col("module"))
     return extracted.select(
         F.lit("xml").alias("source"),
         F.col("path").alias("source_file"),

@@ -8,15 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import Engine
 from ..sources.listings import files as listed
+from ..sources.listings import package_of
 
 _BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def package_of(path) -> object:
-    """The folder below which a package's classes lie: the part in front of `/classes/`."""
-    return F.regexp_extract(path, r"([^/]+)/classes/", 1)
-
-
 def ingest_stream(spark: SparkSession, folder: str, engine: Engine, checkpoint: str, domains: list[str] | None = None) -> StreamingQuery:
     """Watches `folder`/<package>/classes; a package is brought up to date as a whole when any of its files is new."""
     stream = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True).option("pathGlobFilter", "*.class").load(folder)
