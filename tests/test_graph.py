@@ -32,7 +32,9 @@ def test_tree_lists_a_symbol_where_the_search_meets_it(calls, depth, expected):
 
 
 @pytest.mark.parametrize(("depth", "expected"), [(0, {"a": 0}), (1, {"a": 0, "b": 1, "c": 1}), (2, {"a": 0, "b": 1, "c": 1, "d": 2}), (-1, {"a": 0, "b": 1, "c": 1, "d": 2})])
-def test_closure_has_smallest_distances(calls, depth, expected):
+@pytest.mark.parametrize("few", [traverse.FEW, 2])
+def test_closure_has_smallest_distances(calls, monkeypatch, depth, expected, few):
+    monkeypatch.setattr(traverse, "FEW", few)
     assert {r["symbol"]: r["depth"] for r in traverse.impact_closure(calls, "a", depth).collect()} == expected
 
 

@@ -10,23 +10,36 @@ from pyspark.sql import functions as F
 
 from ..storage import staged
 
+#: Symbols of a search that the driver holds at most.
+FEW = 10_000
+_SEEN = "symbol string, depth int"
+
 
 def impact_closure(edges: DataFrame, symbol: str, depth: int, include_root: bool = True) -> DataFrame:
     """(symbol, depth): callers of a symbol within `depth` steps, all if it is below 0, each at its smallest distance.
 
     The search ends where a level finds nothing new.
 
-    Each level joins the frontier with the edges, drops duplicates before the next join, and is staged in shared storage,
-    so that neither lineage nor repeated work grows with the depth. The frontier grows with the graph and is never
-    broadcast by a hint; AQE may do so where it measures it as small.
+    Each level joins the frontier with the edges and drops duplicates before the next join. Up to FEW symbols are held by
+    the driver, so that a level is one job; more are staged in shared storage, so that neither lineage nor repeated work
+    grows with the depth. The frontier grows with the graph and is never broadcast by a hint; AQE may do so where it
+    measures it as small.
     """
     spark = edges.sparkSession
     callers = edges.select(F.col("to_fqn").alias("symbol"), F.col("from_fqn").alias("caller"))
-    seen = spark.createDataFrame([(symbol, 0)], "symbol string, depth int")
+    known: list[tuple[str, int]] | None = [(symbol, 0)]
+    seen = spark.createDataFrame(known, _SEEN)
     frontier = seen.select("symbol")
     for level in count(1) if depth < 0 else range(1, depth + 1):
-        found = callers.join(frontier, "symbol").select(F.col("caller").alias("symbol")).distinct()
-        new = staged(found.join(seen, "symbol", "left_anti"))
+        found = callers.join(frontier, "symbol").select(F.col("caller").alias("symbol")).distinct().join(seen, "symbol", "left_anti")
+        few = [(r["symbol"], level) for r in found.limit(FEW + 1).collect()] if known is not None else []
+        if known is not None and len(known) + len(few) <= FEW:
+            if not few:
+                break
+            known += few
+            frontier, seen = spark.createDataFrame(few, _SEEN).select("symbol"), spark.createDataFrame(known, _SEEN)
+            continue
+        known, new = None, staged(found)
         if new.isEmpty():
             break
         seen = seen.unionByName(new.withColumn("depth", F.lit(level)))

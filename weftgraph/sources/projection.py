@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,7 @@ def oracle(sql: str) -> str:
 
 #: How the projected tables are stored: partition columns, and the order of rows.
 CLUSTERS = {"nodes": (["package"], ["fqn"]), "edges": (["edge_type"], EDGE_ORDER[2:3] + EDGE_ORDER[:1]), "usages": (["usage_type"], ["callee_symbol", "caller_symbol"]), "symbols": (["package"], ["fqn"])}
-_STORED: dict[tuple[str, str, str], str] = {}
+_STORED: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 class Graph:
@@ -92,13 +93,13 @@ class Graph:
             sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
         return self.spark.sql(sql, **frames)
 
-    def _stored(self, name: str, made: DataFrame) -> DataFrame:
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _STORED or not exists(self.spark, _STORED[key]):
-            path = f"{scratch_path(self.spark, 'graph')}/{name}"
+        if key not in _STORED or not exists(self.spark, _STORED[key][0]):
+            made, path = make(), f"{scratch_path(self.spark, 'graph')}/{name}"
             clustered(made, path, *CLUSTERS[name])
-            _STORED[key] = path
-        return self.spark.read.schema(made.schema).parquet(_STORED[key]).select(*made.columns)
+            _STORED[key] = path, self.spark.read.schema(made.schema).parquet(path).select(*made.columns)
+        return _STORED[key][1]
 
     def store(self) -> None:
         """Stores all tables."""
@@ -107,11 +108,11 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self._stored("nodes", self._sql(NODES_SQL))
+        return self._stored("nodes", lambda: self._sql(NODES_SQL))
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._stored("edges", self._sql(EDGES_SQL))
+        return self._stored("edges", lambda: self._sql(EDGES_SQL))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -126,11 +127,11 @@ class Graph:
 
     @cached_property
     def usages(self) -> DataFrame:
-        return self._stored("usages", self._sql(USAGES_SQL, edges=self.edges, nodes=self.nodes))
+        return self._stored("usages", lambda: self._sql(USAGES_SQL, edges=self.edges, nodes=self.nodes))
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return self._stored("symbols", self._sql(SYMBOLS_SQL, nodes=self.nodes))
+        return self._stored("symbols", lambda: self._sql(SYMBOLS_SQL, nodes=self.nodes))
 
 
 __all__ = ["EDGE_ORDER", "Graph", "oracle"]
