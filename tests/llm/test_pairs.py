@@ -245,7 +245,7 @@ def test_groups_lose_no_similar_sets(monkeypatch, hot, long, dense, words):
     monkeypatch.setattr(lines, "LONG", long)
     sets = near_sets(np.random.default_rng(words + hot), 400, words)
     text = "\n".join(" ".join(f"w{x}" for x in s) for s in sets)
-    block = lines.block(pa.array([text]), np.array([1]), np.array([0]))
+    block = lines.block(pa.array([text]), np.array([1]), np.array([0]), np.array([0]))
     slot = (block["vocabulary"] >> np.uint64(64 - lines.SLOTS)).astype(np.int64)
     level = np.zeros(1 << lines.SLOTS, np.uint8)
     level[slot] = lines.levels_of(np.bincount(slot, block["frequency"])[slot], hot)

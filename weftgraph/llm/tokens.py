@@ -9,7 +9,7 @@ Texts are cut at ASCII white space, which the tokenizer drops and nothing of it
 once for a worker.
 
 Defined cases: a null text counts as empty and has the end id alone; rows with equal doc_id stand side by side, ordered
-by their ids; a null doc_id comes first; an empty table gives an empty table.
+by their ids; a null doc_id comes first; an empty table gives an empty table; a vocabulary with ids above 65,535 is an error.
 """
 
 from __future__ import annotations
@@ -51,7 +51,10 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids above 65,535 don't fit the files")
+        ends = [i for x, i in vocabulary.items() if x.endswith("</w>")]
         self.ends = np.zeros(1 << 16, bool)
         self.ends[ends] = True
         self.clear()
