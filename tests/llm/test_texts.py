@@ -436,6 +436,17 @@ def test_mix_is_cut_off_at_the_budget(spark):
     assert several
 
 
+@needs_tables
+def test_targets_match_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    theirs = sorted(db.execute(queries.ORACLE_SQL["mixed_targets"]).fetchall())
+    ours = sorted(map(tuple, queries.mixed_targets(spark, SMALL).collect()))
+    assert [x[:3] for x in ours] == [x[:3] for x in theirs] and np.allclose([x[3] for x in ours], [x[3] for x in theirs], atol=0.002)
+
+
 @needs_tables
 def test_pipeline_keeps_what_its_stages_say(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")

@@ -59,6 +59,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", "finish")
 
 
+def mixed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can express: sizes, and the targets of sources."""
+    return mixing.shares(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES = {
     "op1_embedding_links": op1_embedding_links,
     "op2_url_rules": op2_url_rules,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_lm_difference": op8_lm_difference,
     "op9_token_files": op9_token_files,
     "op10_source_mix": op10_source_mix,
+    "mixed_targets": mixed_targets,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_links": """
@@ -98,4 +104,16 @@ f AS (
 )
 SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path AND k = 1""",
+    "mixed_targets": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), r AS (
+  SELECT *, 3 * source_size / w AS ratio, sum(source_size) OVER () AS total, row_number() OVER o AS k,
+         sum(3 * source_size) OVER o - 3 * source_size AS before, sum(w) OVER () - (sum(w) OVER o - w) AS rest
+  FROM s WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), l AS (SELECT arg_min((total - before) / rest, k) AS level FROM r WHERE (total - before) / rest <= ratio)
+SELECT d.doc_id, d.size, r.source_size, round(least(3.0 * r.source_size, coalesce(l.level, 1e300) * r.w)::DOUBLE, 3) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source CROSS JOIN l""",
 }
