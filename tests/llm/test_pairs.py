@@ -48,7 +48,9 @@ def own_fingerprint(text, shingle=3):
     return sum(1 << bit for bit in range(64) if sum(h >> bit & 1 for h in hashes) * 2 > len(hashes))
 
 
-def test_simhash_classes_match_brute_force(spark):
+@pytest.mark.parametrize("share", [simhash.SHARE, 20, 1])  # all, some and no fingerprints are frequent ones
+def test_simhash_classes_match_brute_force(spark, monkeypatch, share):
+    monkeypatch.setattr(simhash, "SHARE", share)
     docs = documents()
     marks = [own_fingerprint(t) for _, t in docs]
     linked = [(i, j) for i in range(len(docs)) for j in range(i) if bin(marks[i] ^ marks[j]).count("1") <= 3]

@@ -30,6 +30,8 @@ SEED = 42
 DENSE = 4096
 #: Shingles whose bits are summed at once.
 CHUNK = 1 << 20
+#: Fingerprints of more than this part of all rows are joined by a broadcast.
+SHARE = 1000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -178,28 +180,35 @@ def close_links(distinct: DataFrame, distance: int = 3, blocks: int = 6) -> Data
     return keyed.mapInArrow(lean(run), "a long, b long")
 
 
-def _classes(docs: DataFrame, distance: int, shingle: int) -> DataFrame:
-    """docs without the text, with fingerprint and component_id."""
-    scratch = Scratch(docs.sparkSession)
-    marked = scratch.save(fingerprints(docs, shingle))
-    distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    found = connected_components(close_links(distinct, distance), scratch)
-    found = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    # A class's smallest doc_id by its root, then each fingerprint's class, then each row's.
-    lowest = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = found.join(lowest, "root").select("fingerprint", "root", "component_id")
-    return marked.join(named, "fingerprint")
+def _roots(distinct: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
+    """distinct (fingerprint and others) with the root of each fingerprint's class."""
+    found = connected_components(close_links(distinct, distance), scratch).select(F.col("node").alias("fingerprint"), "root")
+    return distinct.join(found, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
 
 
 def classes(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable by links."""
-    return _classes(docs.select("doc_id", "text"), distance, shingle).select("doc_id", "fingerprint", "component_id")
+    scratch = Scratch(docs.sparkSession)
+    marked = scratch.save(fingerprints(docs.select("doc_id", "text"), shingle))
+    distinct = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    found = _roots(distinct, distance, scratch)
+    # A class's smallest doc_id by its root, then each fingerprint's class, then each row's.
+    lowest = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = scratch.save(found.join(lowest, "root").select("fingerprint", "component_id", "n"))
+    # Fewer than SHARE fingerprints can have more than that part of all rows: those may be broadcast.
+    often = F.col("n") * SHARE > marked.count()
+    hot = F.broadcast(named.where(often).drop("n"))
+    rest = marked.join(hot, "fingerprint", "left_anti").join(named.where(~often).drop("n"), "fingerprint")
+    return marked.join(hot, "fingerprint").unionByName(rest).select("doc_id", "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
     """One row of docs of each class: that of the smallest doc_id."""
-    classed = _classes(keyed(docs.select("doc_id", "text")), distance, shingle)
-    best = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"))
+    scratch = Scratch(docs.sparkSession)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best")
+    # Copies go before anything is joined: a fingerprint is one row from here on.
+    distinct = scratch.save(fingerprints(keyed(docs.select("doc_id", "text")), shingle).groupBy("fingerprint").agg(first))
+    best = _roots(distinct, distance, scratch).groupBy("root").agg(F.min("best").alias("best"))
     rows = keyed(docs).join(best.select(*[f"best.{k}" for k in KEY]), KEY, "left_semi")
     return numbered(rows).where("_weft_nth = 1").select(*docs.columns)
 
