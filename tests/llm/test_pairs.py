@@ -204,9 +204,10 @@ def line_documents():
     return rows
 
 
-@pytest.mark.parametrize("hot", [lines.HOT, 3])
-def test_removed_lines_match_brute_force(spark, hot):
-    """Also with nearly all words hot, and with a line of 40,000 words."""
+@pytest.mark.parametrize(("hot", "often"), [(lines.HOT, lines.OFTEN), (3, 1), (lines.HOT, 0)])
+def test_removed_lines_match_brute_force(spark, monkeypatch, hot, often):
+    """Also with nearly all words hot, with a line of 40,000 words, and with some or all sets in pairs that are dealt out."""
+    monkeypatch.setattr(lines, "OFTEN", often)
     rows = [*line_documents(), (200, " ".join(f"x{i}" for i in range(40_000))), (201, " ".join(f"x{i}" for i in range(3000, 40_000)))]
     every = [(d if d is not None else -1, k, i, frozenset(x.lower().split())) for i, (d, t) in enumerate(rows) for k, x in enumerate((t or "").split("\n")) if x.split()]
     first = {}

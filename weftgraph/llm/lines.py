@@ -46,6 +46,8 @@ HOT, LONG = 1 << 16, 320
 IS_HOT = 128
 #: Bytes of text in a block: a larger one repeats fewer words in its vocabulary.
 SLICE_BYTES = 8_000_000
+#: A set in more pairs than OFTEN, and than that SHARE of all pairs, has them dealt to SALTS tasks.
+OFTEN, SHARE, SALTS = 512, 1000, 64
 #: Bounds of the later rounds.
 LATER = (1024, 1 << 40)
 NO_ID = -(1 << 63)
@@ -480,7 +482,25 @@ def _ends(pairs: DataFrame) -> np.ndarray:
     return bitmap(pairs.select(F.explode(F.array("a1", "b1")).alias("h")))
 
 
-def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def with_earlier(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """pairs with the columns of their earlier set (a1, a2), of which many later ones may be near copies.
+
+    SHARE sets at most are in more than that part of all pairs: their pairs are dealt to SALTS tasks each, and they alone
+    are copied so often. AQE would not split this join, as the sets come out of an aggregate.
+    """
+    keys, total = ["a1", "a2"], pairs.count()
+    found = scratch.save(pairs.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max(OFTEN, total // SHARE)).select(*keys))
+    if found.isEmpty():
+        return pairs.join(sets, keys)
+    hot = F.broadcast(found)
+    often = pairs.join(hot, keys).withColumn("salt", F.pmod(F.xxhash64("b1", "b2"), F.lit(SALTS)).cast("int"))
+    # An inner join, which unlike a semi-join stays above the aggregate, so that its exchange is reused.
+    copies = sets.join(hot, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rare = pairs.join(hot, keys, "left_anti").join(sets, keys)
+    return rare.unionByName(often.join(copies, [*keys, "salt"]).drop("salt"))
+
+
+def parity_filter(blocks: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs without those whose 256 bits of parity differ too much; far narrower than the sets themselves."""
     marks = blocks.sparkSession.sparkContext.broadcast(_ends(pairs))
 
@@ -493,13 +513,13 @@ def parity_filter(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = blocks.select("block", "vocabulary", "token", "size", "k1", "k2").mapInArrow(lean(run), "k1 long, k2 long, size int, p0 long, p1 long, p2 long, p3 long")
     known = rows.groupBy("k1", "k2").agg(*[F.max(c).alias(c) for c in ("size", *words)])
     a, b = (known.select(F.col("k1").alias(f"{e}1"), F.col("k2").alias(f"{e}2"), *[F.col(c).alias(f"{e}_{c}") for c in ("size", *words)]) for e in "ab")
-    both = pairs.select("a1", "a2", "b1", "b2").join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = with_earlier(pairs.select("a1", "a2", "b1", "b2"), a, scratch).join(b, ["b1", "b2"])
     differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in words), F.lit(0))
     total = F.col("a_size") + F.col("b_size")
     return both.where(differing <= total - 2 * F.ceil(4 * total / 9)).select("a1", "a2", "b1", "b2")
 
 
-def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(blocks: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Distinct (b1, b2) of pairs whose sets are similar. Only sets that the bitmap marks are read out of the blocks."""
     spark = blocks.sparkSession
     marks = spark.sparkContext.broadcast(_ends(pairs))
@@ -519,7 +539,7 @@ def verified(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = sets.groupBy("k1", "k2").agg(F.first("words").alias("words"))
     a = sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("words").alias("wa"))
     b = sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("words").alias("wb"))
-    both = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+    both = with_earlier(pairs, a, scratch).join(b, ["b1", "b2"])
     common = F.size(F.array_intersect("wa", "wb"))
     return both.where(9 * common >= 4 * (F.size("wa") + F.size("wb"))).select("b1", "b2").distinct()
 
@@ -530,7 +550,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS,
     level = context.broadcast(rarity(blocks, hot))
     found = scratch.save(candidate_pairs(prefix_rows(blocks, level), bound))
     pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
-    similar = scratch.save(verified(blocks, scratch.save(parity_filter(blocks, pairs))))
+    similar = scratch.save(verified(blocks, scratch.save(parity_filter(blocks, pairs, scratch)), scratch))
     for later in LATER:
         more = scratch.save(found.where("word is not null").join(similar, ["b1", "b2"], "left_anti").select("b1", "b2", "word"))
         words = bitmap(more.select(F.col("word").alias("h")))
@@ -541,7 +561,7 @@ def similar_classes(blocks: DataFrame, scratch: Scratch, bound: int = PROPOSALS,
         # The bitmaps mark some others too; what those propose is dropped.
         found = scratch.save(candidate_pairs(prefix_rows(blocks, level, only), later, _LATER_ROW).join(sets, ["b1", "b2"], "left_semi"))
         pairs = scratch.save(found.where("word is null").select("a1", "a2", "b1", "b2").distinct())
-        similar = scratch.save(similar.unionByName(verified(blocks, pairs)).distinct())
+        similar = scratch.save(similar.unionByName(verified(blocks, pairs, scratch)).distinct())
     return similar
 
 
