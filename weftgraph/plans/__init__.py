@@ -110,7 +110,7 @@ class Engine:
     def _claimed(self, files: DataFrame, todo: list[str], order: DataFrame, domains: list[str] | None) -> tuple[DataFrame, DataFrame]:
         """Class trees of packages, without classes that another package has; and the claims (relative_uri, package, by_package, stored)."""
         wanted = files.join(self.spark.createDataFrame([(p,) for p in todo], "package string"), "package", "left_semi")
-        trees = class_files.class_trees(wanted, domains).join(wanted.select("package", "path"), "path")
+        trees = class_files.class_trees(wanted, domains)
         trees = storage.staged(class_files.with_relative_uri(class_files.without_enums(trees)))
         mine = trees.select("relative_uri", "package", "is_entity").distinct().withColumn("stored", F.lit(False))
         held = self.store.read("symbol_index", without=set(todo)).select("relative_uri", "package", "is_entity").distinct().withColumn("stored", F.lit(True))

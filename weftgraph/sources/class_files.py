@@ -221,13 +221,20 @@ def _tree(r: _Reader, domains: list[str]) -> dict | None:
 
 
 def class_trees(files: DataFrame, domains: list[str] | None = None) -> DataFrame:
-    """Class trees of files (path, content), one row for each that can be read."""
+    """Class trees of files (path, content), one row for each that can be read, with its package if files have one.
+
+    Files of several packages may have the same path.
+    """
+    own = [c for c in ("path", "package") if c in files.columns]
+    schema = pa.schema([*[(c, pa.string()) for c in own], *ARROW_TREE])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, class_tree(c or b"", domains)) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist([{"path": p, **t} for p, t in rows if t], schema=ARROW_TREE)
+            trees = [class_tree(c or b"", domains) for c in batch.column("content").to_pylist()]
+            rows = zip(*[batch.column(c).to_pylist() for c in own], trees, strict=True)
+            yield pa.RecordBatch.from_pylist([dict(zip(own, x, strict=True)) | t for *x, t in rows if t], schema=schema)
 
-    return files.select("path", "content").mapInArrow(run, f"path string, {CLASS_TREE}")
+    return files.select(*own, "content").mapInArrow(run, f"{', '.join(f'{c} string' for c in own)}, {CLASS_TREE}")
 
 
 _CALL = pa.struct([("to_fqn", pa.string()), ("kind", pa.string()), ("line_number", pa.int32())])
@@ -236,7 +243,7 @@ _METHOD = pa.struct([
     ("return_type", pa.string()), ("arguments", pa.list_(pa.string())), ("calls", pa.list_(_CALL)),
 ])
 ARROW_TREE = pa.schema([
-    ("path", pa.string()), ("fqn", pa.string()), ("node_type", pa.string()), ("modifiers", pa.list_(pa.string())), ("is_entity", pa.bool_()), ("line_number", pa.int32()),
+    ("fqn", pa.string()), ("node_type", pa.string()), ("modifiers", pa.list_(pa.string())), ("is_entity", pa.bool_()), ("line_number", pa.int32()),
     ("inheritance", pa.list_(pa.struct([("fqn", pa.string()), ("kind", pa.string())]))), ("fields", pa.list_(pa.struct([("type", pa.string())]))), ("methods", pa.list_(_METHOD)),
 ])
 
