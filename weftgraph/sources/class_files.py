@@ -275,8 +275,21 @@ def tree_nodes(trees: DataFrame, symbols: DataFrame) -> DataFrame:
     return classes.unionByName(methods).join(known, "fqn").select("fqn", "type", "package", "line", "visibility", "has_override", "is_transactional")
 
 
+def _held(symbols: DataFrame, *columns: str) -> DataFrame:
+    """(fqn, held): by name what each package that holds a symbol says of it, in order of packages."""
+    return symbols.groupBy("fqn").agg(F.sort_array(F.collect_set(F.struct("package", *columns))).alias("held"))
+
+
+def _nearest(held: str, package: str) -> Column:
+    """Of a symbol in several packages that of one's own, else the first."""
+    return F.coalesce(F.get(F.filter(held, lambda h: h["package"].eqNullSafe(F.col(package))), F.lit(0)), F.get(held, F.lit(0)))
+
+
 def tree_edges(trees: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges between indexed symbols, with the package of the file as owner: a member points to what contains it."""
+    """Edges between indexed symbols, with the package of the file as owner: a member points to what contains it.
+
+    An edge stays one, whatever packages hold its ends.
+    """
     trees = trees.withColumn("owner", F.col("package"))
     method = trees.select("owner", "fqn", F.explode("methods").alias("m"))
     none = F.lit(None).cast("int")
@@ -296,10 +309,10 @@ def tree_edges(trees: DataFrame, symbols: DataFrame) -> DataFrame:
         .unionByName(edge(arguments, "a", "member_of", "fqn", F.lit("argument")))
         .unionByName(edge(calls, "fqn", "call", "c.to_fqn", F.col("c.kind"), F.col("c.line_number")))
     )
-    known = symbols.select("fqn", "package").distinct()
-    first = known.select(F.col("fqn").alias("from_fqn"), F.col("package").alias("from_package"))
-    second = known.select(F.col("fqn").alias("to_fqn"), F.col("package").alias("to_package"))
-    return edges.join(first, "from_fqn").join(second, "to_fqn").select("from_fqn", "edge_type", "to_fqn", "kind", "from_package", "to_package", "from_line", "owner")
+    known = _held(symbols)
+    first, second = (known.select(F.col("fqn").alias(f"{end}_fqn"), F.col("held").alias(f"{end}_held")) for end in ("from", "to"))
+    packages = [_nearest(f"{end}_held", "owner")["package"].alias(f"{end}_package") for end in ("from", "to")]
+    return edges.join(first, "from_fqn").join(second, "to_fqn").select("from_fqn", "edge_type", "to_fqn", "kind", *packages, "from_line", "owner")
 
 
 def tree_usages(trees: DataFrame, symbols: DataFrame) -> DataFrame:
