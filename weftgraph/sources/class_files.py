@@ -316,9 +316,12 @@ def tree_edges(trees: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def tree_usages(trees: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Usages, with the package as owner: a declaration of each class and method, and each call with what is known of its callee."""
-    known = symbols.select("fqn", "uri", "line").dropDuplicates(["fqn"])
-    here = trees.join(known.select("fqn", "uri"), "fqn").withColumn("module", fn.module_of_artifact(F.col("package")))
+    """Usages, with the package as owner: a declaration of each class and method, and each call with what is known of its callee.
+
+    Of a symbol in several packages that of one's own counts, else the first.
+    """
+    known = _held(symbols, "uri", "line")
+    here = trees.join(known, "fqn").withColumn("uri", _nearest("held", "package")["uri"]).withColumn("module", fn.module_of_artifact(F.col("package")))
     method = here.select("package", "module", "uri", F.explode("methods").alias("m"))
     kind_of = F.when(F.col("callee_symbol").contains("("), "method").otherwise("class")
 
@@ -328,7 +331,7 @@ def tree_usages(trees: DataFrame, symbols: DataFrame) -> DataFrame:
     calls = method.select("package", "module", "uri", F.col("m.fqn").alias("caller_symbol"), F.explode("m.calls").alias("c"))
     called = calls.select(F.lit("java_method_call").alias("usage_type"), F.col("uri").alias("caller_uri"), F.col("c.line_number").alias("caller_line"), "caller_symbol", F.col("c.to_fqn").alias("callee_symbol"), "module", "package")
     rows = declared(here, "fqn", F.col("line_number")).unionByName(declared(method, "m.fqn", F.col("m.line_number"))).unionByName(called)
-    callee = known.select(F.col("fqn").alias("callee_symbol"), F.col("uri").alias("callee_uri"), F.col("line").alias("callee_line"))
-    return rows.join(callee, "callee_symbol", "left").select(
+    rows = rows.join(known.withColumnRenamed("fqn", "callee_symbol"), "callee_symbol", "left").withColumn("callee", _nearest("held", "package"))
+    return rows.withColumn("callee_uri", F.col("callee.uri")).withColumn("callee_line", F.col("callee.line")).select(
         F.lit("java").alias("source"), "usage_type", "caller_uri", "caller_line", "caller_symbol", F.when(F.col("caller_symbol").isNotNull(), "method").alias("caller_kind"), "callee_uri", "callee_symbol", "callee_line", kind_of.alias("callee_kind"), "module", F.col("package").alias("owner")
     )
