@@ -13,7 +13,7 @@ from weftgraph.sources import class_files
 KEYS = [(7, "Brand#1"), (100000, "Brand#2"), (1000000, "Brand#2"), *((1000000 + i, f"Brand#{i % 4}") for i in range(1, 10)), (10000012, "Brand#9")]
 
 
-@pytest.mark.parametrize("name", ["x3_indexed_symbols", "k3_class_edges", "k1_class_usages"])
+@pytest.mark.parametrize("name", ["x3_indexed_symbols", "k3_class_edges", "k1_class_usages", "k2_ingested_nodes"])
 def test_parts_of_one_name_keep_their_own_rows(spark, tmp_path, name):
     spark.createDataFrame(KEYS, "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
     db = duckdb.connect()

@@ -27,11 +27,16 @@ def class_file(name: str = PREFIX + "0" * DIGITS) -> bytes:
     return struct.pack(">IHHH", 0xCAFEBABE, 0, 52, 13) + pool + struct.pack(">HHHHH", 1, 9, 10, 0, 0) + struct.pack(">H", 1) + method + struct.pack(">H", 0)
 
 
-def class_files(rows: DataFrame, number: str, package: str) -> DataFrame:
-    """(package, path, content) of a class for each row, numbered by a column."""
-    digits = F.lpad(F.col(number).cast("string"), DIGITS, "0")
-    mark = (PREFIX + "0" * DIGITS).encode().hex().upper()
-    content = F.unhex(F.replace(F.lit(class_file().hex().upper()), F.lit(mark), F.hex(F.concat(F.lit(PREFIX), digits))))
+def class_files(rows: DataFrame, number: str, package: str, whole: bool = False) -> DataFrame:
+    """(package, path, content) of a class for each row, numbered by a column.
+
+    Longer numbers are cut, so that several rows have one class; or, if whole, each has its own.
+    """
+    text = F.col(number).cast("string")
+    digits = F.lpad(text, F.greatest(F.lit(DIGITS), F.length(text)) if whole else DIGITS, "0")
+    mark = struct.pack(">H", len(PREFIX) + DIGITS) + (PREFIX + "0" * DIGITS).encode()
+    size = F.lpad(F.hex(F.length(digits) + len(PREFIX)), 4, "0")
+    content = F.unhex(F.replace(F.lit(class_file().hex().upper()), F.lit(mark.hex().upper()), F.concat(size, F.hex(F.concat(F.lit(PREFIX), digits)))))
     return rows.select(F.col(package).alias("package"), F.concat(F.lit("/r/classes/"), F.lit(PREFIX), digits, F.lit(".class")).alias("path"), content.alias("content"))
 
 
