@@ -31,12 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, Scratch, attached, byte_values, keyed, lean, packed, slices, split_words, unpacked
+from .common import KEY, Scratch, attached, byte_values, coded_words, keyed, lean, packed, slices, unpacked, word_hashes
 
 #: log2 of the slots of the frequency table, and of the bits of the candidates' bitmap.
 SLOTS, BITS = 24, 26
@@ -70,7 +69,7 @@ def block(texts: pa.Array, doc_ids: np.ndarray, *keys_of_docs: np.ndarray) -> di
     """What later passes need of some documents."""
     cut = pc.split_pattern(pc.ascii_lower(pc.fill_null(texts, "")), "\n")
     n_lines = pc.list_value_length(cut).to_numpy().astype(np.int64)
-    n_words, codes, distinct = split_words(cut.flatten())
+    n_words, codes, distinct = coded_words(cut.flatten())
     line_doc = np.repeat(np.arange(len(n_lines)), n_lines)
     line_no = np.arange(len(line_doc)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
     blank = n_words == 0
@@ -80,7 +79,7 @@ def block(texts: pa.Array, doc_ids: np.ndarray, *keys_of_docs: np.ndarray) -> di
     keys = np.sort(np.repeat(np.arange(len(n_words)), n_words) << bits | codes)
     keys = keys[np.diff(keys, prepend=-1) != 0]
     line, token = keys >> bits, keys & (1 << bits) - 1
-    vocabulary = np.array([xxhash.xxh64_intdigest(w) for w in distinct], np.uint64)
+    vocabulary = word_hashes(distinct)
     size = np.bincount(line, minlength=len(n_words))
     k1, k2 = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if len(size):
@@ -195,7 +194,8 @@ def prefixes(x: dict[str, np.ndarray], level: np.ndarray) -> tuple[np.ndarray, n
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     of_word = level[(words >> np.uint64(64 - SLOTS)).astype(np.int64)]
-    order = np.lexsort([words, of_word])
+    order = np.argsort(words)
+    order = order[np.argsort(of_word[order], kind="stable")]  # by step, then by word
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
     bits = max(1, len(words).bit_length())
