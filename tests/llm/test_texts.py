@@ -89,6 +89,55 @@ def test_word_tables_start_anew(monkeypatch):
         assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+class OneByOne:
+    """A tokenizer that keeps the texts which it encodes."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+def test_plain_words_skip_the_tokenizers_own_splitting():
+    words, tokenizer = tokens.WordTable(WORDS), Tokenizer.from_file(WORDS)
+    words.tokenizer = OneByOne(words.tokenizer)
+    words.of_parts = OneByOne(getattr(words, "of_parts", None))
+    r = random.Random(3)
+    bits = ["'s", "'S", "'t", "'RE", "'ve", "'m", "'ll", "'Ll", "'d", "'", "''", "l", "e", "r", "a", "B", "\u00e9", "\u00c9", "\u00df", "\u00ff", "\u00de", "\u00c0", "0", "9", "!", "<", ">", " ", "\n"]
+    odd = ["\u00d7", "\u00f7", "<|", "<|endoftext|>", "\u65e5", "\u0301", "\x7f", "\xa0", "\u00b5", "\u00b2"]
+    for more in ([], odd):
+        for _ in range(2):
+            texts = ["".join(r.choice(bits + more) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+            for _ in range(2):  # all is known the second time
+                n, ids = words.encode(pa.array(texts))
+                assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [[*x.ids, 2] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert bool(words.tokenizer.texts) == bool(more)
+    for said in (words.tokenizer.texts, " ".join(words.of_parts.texts).split(" ")):
+        assert len(said) == len(set(said)) > 100
+
+
+def test_parts_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "word_hashes", lambda words: np.zeros(len(words), np.uint64), raising=False)
+    words, tokenizer = tokens.WordTable(WORDS), Tokenizer.from_file(WORDS)
+    for texts in (["one two", "three one"], ["two four", "one", "three's"]):
+        n, ids = words.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [[*x.ids, 2] for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_are_ranked_by_how_often_they_occur(spark):
+    texts = ODD + noise(4)
+    seen = {}
+    for x in texts:
+        for i in [*Tokenizer.from_file(WORDS).encode(x or "", add_special_tokens=False).ids, 2]:
+            seen[i] = seen.get(i, 0) + 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    files, ranks = tokens.write_ids(docs, WORDS, Scratch(spark))
+    assert [r["id"] for r in ranks.orderBy("rank").collect()] == sorted(seen, key=lambda i: (-seen[i], i))
+    assert files.count() == len(texts) and files.agg(F.sum("n_tokens")).first()[0] == sum(seen.values())
+
+
 def test_ranks_of_all_lengths_come_back():
     rng = np.random.default_rng(0)
     counts = np.array([0, 1, 4, 5, 0, 300, 3])
